@@ -30,7 +30,7 @@ WORDS = 3
 SEED = 42
 RADIUS = 3
 #: Variants in one bucket, 10 bytes each: bounds the memory of a task that searches a bucket.
-BUCKET = 1_500_000
+BUCKET = 600_000
 #: Fingerprints expanded together.
 CHUNK = 1024
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.frames import materialise
+from logweave.llm.frames import BROADCAST_ROWS, materialise
 from logweave.llm.splitters import RANGES, plan_ranges, with_prefix
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -92,6 +92,22 @@ def offset(source: Column, seed: str) -> Column:
 
 
 def expand(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mixed corpus: every document as often as it was taken (ids unique; rows without copies go)."""
-    taken = mixed.where(F.col("copies") > 0).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    return docs.join(taken, docs[id_col].eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__id", "__copies", "__copy")
+    """The mixed corpus: every document as often as it was taken, with the columns of docs.
+
+    Rows that share an id are taken for one document, which comes as often as its rows were taken together.
+    """
+    copies = mixed.groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    copies = materialise(copies.select(F.col("doc_id").alias("__id"), F.col("copies").cast("int").alias("__copies"), "rows"), "mix-copies")
+    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = F.broadcast(copies) if few else copies
+
+    def taken(rows: DataFrame, which: DataFrame) -> DataFrame:
+        joined = rows.join(which.drop("rows"), rows[id_col].eqNullSafe(F.col("__id")))
+        return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[rows[c] for c in docs.columns])
+
+    once = taken(docs, held.where("rows = 1"))
+    repeated = copies.where("rows > 1")
+    if repeated.isEmpty():
+        return once
+    again = docs.join(repeated.select("__id"), docs[id_col].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    return once.union(taken(again, repeated))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import chat, decontaminate, licenses, mixing, pii, quality, sharding, simhash, tokens
+from logweave.llm import chat, decontaminate, html, licenses, mixing, pii, quality, sharding, simhash, tokens
 from logweave.llm.frames import table
 
 #: The key of the pseudonyms in the registered query; a deployment passes its own.
@@ -62,8 +62,12 @@ def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii_feistel, op2_mix_sources, op3_token_counts, op4_shard_splitters, op5_chat_prefix_targets, op6_license_rules, op7_decontaminate, op8_quality_fertility, op9_simhash_ball)
+    own = (op1_pii_feistel, op2_mix_sources, op3_token_counts, op4_shard_splitters, op5_chat_prefix_targets, op6_license_rules, op7_decontaminate, op8_quality_fertility, op9_simhash_ball, op10_html_main_text)
     return {f.__name__: f for f in own}
 
 

@@ -7,20 +7,30 @@ as Parquet and read again as the next stage's docs. ``run`` chains them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from logweave.llm import mixing, sharding, simhash
+from logweave.llm import decontaminate, mixing, quality, sharding, simhash
 from logweave.llm.frames import materialise, table
+from logweave.llm.queries import vocabulary
 
 #: The first stage scores texts with a tokeniser, which SQL cannot express.
 ORACLE_SQL = None
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.keep_good(docs, vocabulary("piece_bpe_32k.model"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return simhash.keep_one(docs)
 
 
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an occurrence of a benchmark item's window go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.expand(docs, mixing.mix_sources(docs))
@@ -31,7 +41,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("mix", mix), ("shard", shard)]
+STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", benchmark_leaks), ("mix", mix), ("shard", shard)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date", "secret")
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
 IBAN = r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-PHONE = r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ ]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
+PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2}"
@@ -35,12 +35,6 @@ CANDIDATE = rf"(?<![A-Za-z0-9_+.-])(?:{EMAIL}|{SECRET}|{IBAN}|{SSN}|{DATE}|{IP}(
 FIRST_DAY, DAY_PARTS = "1900-01-01", (17, 4297)
 
 
-def _prf(key: str, kind: str, turn: int, value: Column) -> Column:
-    """A non-negative number below 2 ** 60."""
-    named = F.concat(F.lit(f"{key}\x1f{kind}\x1f{turn}\x1f"), value.cast("string"))
-    return F.conv(F.substring(F.sha2(named.cast("binary"), 256), 1, 15), 16, 10).cast("long")
-
-
 def _let(value: Column, use) -> Column:
     """Binds a value so that its expression is evaluated once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -78,7 +72,7 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
         lefts = F.floor(n / 2).cast("int")
         rights = n - lefts
         size = lambda k: F.rpad(F.lit("1"), k + 1, F.lit("0")).cast("long")
-        halves = feistel(F.coalesce(F.expr("null").cast("long"), F.substring(F.concat(F.lit("0"), d), F.lit(1), lefts + 1).cast("long")), F.substring(d, lefts + 1, rights).cast("long"), size(lefts), size(rights), key, kind)
+        halves = feistel(F.substring(F.concat(F.lit("0"), d), F.lit(1), lefts + 1).cast("long"), F.substring(d, lefts + 1, rights).cast("long"), size(lefts), size(rights), key, kind)
         return _let(halves, lambda h: F.substring(F.concat(F.when(lefts > 0, _zeros(h["left"], lefts)).otherwise(F.lit("")), _zeros(h["right"], rights)), F.lit(1), n))
 
     return _let(digits, run)
@@ -133,15 +127,9 @@ def iban(match: Column, key: str) -> Column:
 
 
 def phone(match: Column, key: str) -> Column:
-    """Area, exchange and line of the North American plan, each in its valid range; a leading 1 stays."""
-
-    def run(d: Column) -> Column:
-        at = lambda start, n: F.substring(F.right(d, F.lit(10)), start, n).cast("long")
-        halves = feistel(at(1, 3) - 200, (at(4, 3) - 200) * 10_000 + at(7, 4), 800, 8_000_000, key, "phone")
-        lead = F.substring(d, F.lit(1), F.length(d) - 10)
-        return _let(halves, lambda h: put_digits(match, F.concat(lead, _zeros(h["left"] + 200, 3), _zeros(h["right"] + 2_000_000, 7))))
-
-    return _let(digits_of(match), run)
+    """The ten digits of area, exchange and line; a country code before them and all punctuation stay."""
+    moved = lambda d: put_digits(match, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), permute_digits(F.right(d, F.lit(10)), key, "phone")))
+    return _let(digits_of(match), moved)
 
 
 def ssn(match: Column, key: str) -> Column:
@@ -190,7 +178,7 @@ def date(match: Column, key: str) -> Column:
         both = lambda a, b: lambda d: F.concat(F.date_format(d, a), sep, F.date_format(d, b), sep, F.date_format(d, "yyyy"))
         return _let(new, lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(day_first, both("dd", "MM")(d)).otherwise(both("MM", "dd")(d)))
 
-    return _let(F.try_to_date(plain, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.expr("null"), lambda d: F.when(d.isNotNull(), run(d)))
+    return _let(F.try_to_date(plain, "yyyy-MM-dd"), lambda d: F.when(d.isNotNull(), run(d)))
 
 
 def permute_text(text: Column, key: str, kind: str) -> Column:
@@ -268,9 +256,10 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     parts = F.split(text, CANDIDATE)
     pieces = F.zip_with(parts, F.col("__values"), lambda p, v: F.concat(p, F.coalesce(v["new"], v["old"], F.lit(""))))
     count = lambda test: F.size(F.filter(F.col("__values"), test)).cast("long")
+    of_kind = lambda k: lambda v: (v["kind"] == k) & v["new"].isNotNull()
     return rows.select(
         "doc_id", F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(text).alias("text"),
         count(lambda v: v["new"].isNotNull()).alias("n_found"),
-        *[count(lambda v, k=k: (v["kind"] == k) & v["new"].isNotNull()).alias(f"n_{k}") for k in KINDS],
+        *[count(of_kind(k)).alias(f"n_{k}") for k in KINDS],
         count(lambda v: v["new"].isNull()).alias("n_invalid"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import chat, decontaminate, html, licenses, mixing, pii, quality, sharding, simhash, tokens
+from logweave.llm import chat, decontaminate, html, licenses, mixing, oracles, pii, quality, sharding, simhash, tokens
 from logweave.llm.frames import table
 
 #: The key of the pseudonyms in the registered query; a deployment passes its own.
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mix_sources": oracles.MIX, "op4_shard_splitters": oracles.SHARDS, "op5_chat_prefix_targets": oracles.CHAT, "op7_decontaminate": oracles.LEAKS}

@@ -175,7 +175,7 @@ def strip_comments(text: str) -> str:
             at = end
         elif _REGEX_BEFORE.search(text[max(0, at - 8) : at]) and (end := _regex_end(text, at)):
             at = end
-        elif text.startswith("//", at) and (at == 0 or text[at - 1] in " \t\n{}") and "=>" not in text[at:line_end]:
+        elif text.startswith("//", at) and (at == 0 or text[at - 1] in " \t\n{}") and ("=>" not in text[at:line_end] or text[at + 2 : at + 3].isspace()):
             blank(at, line_end)
             at = line_end
         else:

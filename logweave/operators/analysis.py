@@ -111,7 +111,6 @@ class Analyzer:
         location = f"line {s.line}: if"
         if len(s.arms) - 1 > R.MAX_ELIF_CHAIN:
             self.warn("long_elif_chain", f"line {s.line}", f"if/else-if chain has {len(s.arms) - 1} elif clauses (threshold {R.MAX_ELIF_CHAIN})")
-        base = state.path_conditions
         branches: list[Branch] = []
         negated: list[str] = []
         implied = tuple(c for cs in state.implicit.values() for c in cs)
@@ -138,8 +137,7 @@ class Analyzer:
             self.warn("unreachable_branch", location, "the else branch contradicts prior literal branch facts; branch skipped")
         if branches:
             # A path's conditions include those that lead to the block.
-            merge(state, [Branch(b.state, unique(conditions + b.conditions), b.idle) for b in branches], location)
-        state.path_conditions = unique(base + state.path_conditions)
+            merge(state, [Branch(b.state, unique(conditions + b.conditions), b.idle, b.conditions) for b in branches], location)
 
     def forked(self, state: State) -> State:
         branch = state.fork()
@@ -234,7 +232,7 @@ class Analyzer:
             self.warn("static_loop_fanout", location, f"loop over {len(values)} literals is summarized after limit {R.MAX_STATIC_LOOP}")
             self.taint("static_loop_fanout", location, "a literal loop is summarized")
             values = values[:1]
-        saved = {n: {t: state.get(t) for t in [n, *state.under(n)]} for n in s.variables}
+        saved = {n: {t: dict(state.get(t)) for t in [n, *state.under(n)]} for n in s.variables}
         for k, v in enumerate(values):
             constant = lambda text: Lineage("constant", (Source("constant", expression=text),), text, parser_locations=(location,), value_type="string")
             names = s.variables
@@ -244,7 +242,7 @@ class Analyzer:
             self.statements(s.body, state, conditions, depth + 1)
         for n, old in saved.items():
             for t in [n, *state.under(n)]:
-                state.own[t] = old.get(t, ())
+                state.own[t] = old.get(t, {})
 
     # Reading
 
@@ -257,7 +255,7 @@ class Analyzer:
         return (Lineage("unresolved", (Source("unknown", token),), token, parser_locations=(location,), taints=(taint,)),)
 
     def find(self, token: str, state: State) -> tuple[Lineage, ...]:
-        return state.get(token) or self.infer(token, state)
+        return tuple(state.get(token)) or self.infer(token, state)
 
     def infer(self, token: str, state: State) -> tuple[Lineage, ...]:
         found: list[Lineage] = []
@@ -405,7 +403,7 @@ class Analyzer:
     def assign(self, dest: str, rows, state: State, append: bool) -> None:
         old = state.get(dest)
         if append and old and not all(r.status == "removed" for r in old):
-            state.set(dest, (*old, *rows))
+            state.append(dest, rows)
             return
         if not append:
             for t in state.under(dest):
@@ -843,7 +841,7 @@ class Analyzer:
         if len(fixed) < len(tags):
             state.tags = replace(state.tags, dynamic=True)
         rows = [Lineage("derived", (Source("constant", expression=t),), t, (op,), (), (location,), value_type="array").under(conditions) for t in tags]
-        state.set("tags", (*state.get("tags"), *rows))
+        state.append("tags", rows)
 
     # Transforms
 

@@ -60,6 +60,14 @@ class Lineage:
     taints: tuple[Taint, ...] = ()
     value_type: str = "unknown"
 
+    def __hash__(self) -> int:
+        """Computed once: rows are kept in sets of thousands."""
+        held = self.__dict__.get("_hash")
+        if held is None:
+            held = hash((self.status, self.sources, self.expression, self.transformations, self.conditions, self.parser_locations, self.notes, self.value_type))
+            object.__setattr__(self, "_hash", held)
+        return held
+
     def under(self, conditions: tuple[str, ...]) -> Lineage:
         """The same assignment under more conditions, which makes a plain status conditional."""
         if not conditions:

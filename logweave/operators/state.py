@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import islice
 
 from logweave.operators.model import Anchor, Diagnostics, Hint, IoAnchor, Lineage, unique
 from logweave.operators.registry import MAX_DROP_CONDITIONS, MAX_MERGE_ALTERNATIVES, MAX_NOOP_ALTERNATIVES
@@ -53,7 +54,8 @@ class State:
 
     def __init__(self, shared: Shared, parent: State | None = None) -> None:
         self.shared, self.parent = shared, parent
-        self.own: dict[str, tuple[Lineage, ...]] = {}
+        #: The rows of each token, as the keys of a dict: in order, each once.
+        self.own: dict[str, dict[Lineage, None]] = {}
         self.depth = parent.depth + 1 if parent else 0
         self.hints: list[Hint] = list(parent.hints) if parent else []
         self.hint_base = len(self.hints)
@@ -68,22 +70,29 @@ class State:
     def fork(self) -> State:
         return State(self.shared, self)
 
-    def get(self, token: str) -> tuple[Lineage, ...]:
+    def get(self, token: str) -> dict[Lineage, None]:
         state: State | None = self
         while state is not None:
             if token in state.own:
                 return state.own[token]
             state = state.parent
-        return ()
+        return {}
 
     def has(self, token: str) -> bool:
         return bool(self.get(token))
 
     def set(self, token: str, rows: Iterable[Lineage]) -> None:
-        rows = tuple(dict.fromkeys(rows))
-        if len(rows) > MAX_MERGE_ALTERNATIVES:
-            rows = (self.summary(token, rows),)
-        self.own[token] = rows
+        self.own[token] = dict.fromkeys(rows)
+        self.register(token)
+
+    def append(self, token: str, rows: Iterable[Lineage]) -> None:
+        """Add to a token's rows; what the parent path has is copied at the first time only."""
+        if token not in self.own:
+            self.own[token] = dict(self.get(token))
+            self.register(token)
+        self.own[token].update(dict.fromkeys(rows))
+
+    def register(self, token: str) -> None:
         at = token.rfind(".")
         while at > 0:
             names = self.shared.below.setdefault(token[:at], {})
@@ -92,17 +101,17 @@ class State:
             names[token] = None
             at = token.rfind(".", 0, at)
 
-    def summary(self, token: str, rows: tuple[Lineage, ...]) -> Lineage:
+    def summary(self, token: str, rows: dict[Lineage, None]) -> Lineage:
         message = f"token {token!r} has {len(rows)} alternatives; summarized after limit {MAX_MERGE_ALTERNATIVES}"
         self.shared.diagnostics.add("branch_lineage_fanout", "warning", message, None, token)
-        return Lineage("conditional", unique(s for r in rows[:64] for s in r.sources), f"{len(rows)} alternatives", conditions=("summarized branch alternatives",), notes=(message,))
+        return Lineage("conditional", unique(s for r in islice(rows, 64) for s in r.sources), f"{len(rows)} alternatives", conditions=("summarized branch alternatives",), notes=(message,))
 
     def under(self, token: str) -> list[str]:
         """Tokens below a token that exist on this path."""
         return [t for t in self.shared.below.get(token, ()) if self.has(t)]
 
     def forget(self, token: str) -> None:
-        self.own[token] = ()
+        self.own[token] = {}
 
     def unbind(self, token: str) -> None:
         """Facts that patterns implied about a token, and what lies below it, no longer hold."""
@@ -126,6 +135,20 @@ class Branch:
     state: State
     conditions: tuple[str, ...]
     idle: bool = False  # an arm that does nothing
+    #: What the arm itself requires, where conditions also has what leads to the block.
+    label: tuple[str, ...] | None = None
+
+
+def survived(state: State, conditions: list[str]) -> None:
+    """The path goes on because events were not dropped; many such conditions are counted instead of listed."""
+    held = [c for c in state.path_conditions if c.startswith("NOT(drop path:")]
+    counted = next((c for c in state.path_conditions if c.startswith("NOT(any of ") and c.endswith(" drop paths)")), None)
+    number = int(counted.split()[2]) if counted else 0
+    if number or len(held) + len(conditions) > MAX_DROP_CONDITIONS:
+        rest = tuple(c for c in state.path_conditions if c not in held and c != counted)
+        state.path_conditions = (*rest, f"NOT(any of {number + len(held) + len(conditions)} drop paths)")
+    else:
+        state.path_conditions = unique((*state.path_conditions, *conditions))
 
 
 def merge(base: State, branches: list[Branch], location: str) -> None:
@@ -143,9 +166,8 @@ def merge(base: State, branches: list[Branch], location: str) -> None:
         return
     gone = [b for b in branches if b.state.dropped]
     if gone:
-        texts = [" AND ".join(b.conditions) or "always" for b in gone]
-        texts = texts if len(texts) <= MAX_DROP_CONDITIONS else [f"any of {len(texts)} drop paths"]
-        base.path_conditions = unique(base.path_conditions + tuple(f"NOT(drop path: {t})" for t in texts))
+        texts = [" AND ".join(b.conditions if b.label is None else b.label) or "always" for b in gone]
+        survived(base, [f"NOT(drop path: {t})" for t in texts])
     changed = sorted({t for b in alive for t in b.state.own})
     for token in changed:
         old = base.get(token)
@@ -163,7 +185,7 @@ def merge(base: State, branches: list[Branch], location: str) -> None:
             elif "." not in token and token in base.shared.mutated:
                 note = "not assigned on this branch path"
                 rows[Lineage("unresolved", (), token, conditions=b.conditions, parser_locations=(location,), notes=(note,))] = None
-        base.set(token, rows)
+        base.set(token, rows if len(rows) <= MAX_MERGE_ALTERNATIVES else [base.summary(token, rows)])
     for b in alive:
         s = b.state
         base.hints += [h for h in s.hints[s.hint_base :] if h not in base.hints]

@@ -327,7 +327,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of docs in which no window of an item occurs. All columns stay, whatever their names."""
+    """Rows of docs in which no window of an item occurs, with all columns. Rows with a null id stay."""
     found = find_items(docs, items, id_col=id_col, text_col=text_col, **options)
     hit = materialise(found.where("n_hit > 0").select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
     return without_ids(docs, hit, id_col)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.frames import BROADCAST_ROWS, materialise
+from logweave.llm.frames import BROADCAST_ROWS, materialise, own_name
 from logweave.llm.splitters import RANGES, plan_ranges, with_prefix
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -96,18 +96,20 @@ def expand(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFra
 
     Rows that share an id are taken for one document, which comes as often as its rows were taken together.
     """
+    key, count = own_name(docs, "id"), own_name(docs, "copies")
     copies = mixed.groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
-    copies = materialise(copies.select(F.col("doc_id").alias("__id"), F.col("copies").cast("int").alias("__copies"), "rows"), "mix-copies")
+    copies = materialise(copies.select(F.col("doc_id").alias(key), F.col("copies").cast("int").alias(count), F.col("rows").alias(f"{count}_rows")), "mix-copies")
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    held = F.broadcast(copies) if few else copies
+    many = F.col(f"{count}_rows") > 1
 
     def taken(rows: DataFrame, which: DataFrame) -> DataFrame:
-        joined = rows.join(which.drop("rows"), rows[id_col].eqNullSafe(F.col("__id")))
-        return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[rows[c] for c in docs.columns])
+        side = F.broadcast(which) if few else which
+        joined = rows.join(side, rows[id_col].eqNullSafe(side[key]))
+        return joined.withColumn(f"{count}_n", F.explode(F.sequence(F.lit(1), F.col(count)))).select(*[rows[c] for c in docs.columns])
 
-    once = taken(docs, held.where("rows = 1"))
-    repeated = copies.where("rows > 1")
+    once = taken(docs, copies.where(~many))
+    repeated = copies.where(many)
     if repeated.isEmpty():
         return once
-    again = docs.join(repeated.select("__id"), docs[id_col].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    again = docs.join(repeated, docs[id_col].eqNullSafe(repeated[key]), "left_semi").dropDuplicates([id_col])
     return once.union(taken(again, repeated))

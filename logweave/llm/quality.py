@@ -180,7 +180,8 @@ def score_quality(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def keep_good(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that the rules keep, with all columns. Rows of one id are kept or dropped together."""
+    """The rows of docs that the rules keep, with all columns. Rows of one id are kept or dropped
+    together, and rows with a null id stay."""
     scored = score_quality(docs, path, id_col, text_col, **options)
     gone = materialise(scored.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "low-quality")
     return without_ids(docs, gone, id_col)

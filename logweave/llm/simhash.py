@@ -182,9 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those whose component has a smaller id: one document of each group stays.
 
-    Rows that share an id are one document; rows with a null id stay only if their whole group has none.
+    Rows that share an id are one document, and rows with a null id stay.
     """
     found = materialise(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "simhash-components")
     goes = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = without_ids(docs, goes, id_col)
-    return kept
+    return without_ids(docs, goes, id_col)

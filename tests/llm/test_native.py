@@ -1,0 +1,228 @@
+"""Mixing, sharding, chat formatting, licence scans and PII pseudonyms on small tables."""
+
+import datetime
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from logweave.llm import chat, license_rules, licenses, mixing, oracles, pii, queries, sharding, splitters
+from tests.compare import duck_rows, spark_rows
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, None) for i, t, s in rows], SCHEMA)
+
+
+ODD = [(1, None, "a"), (2, "", "a"), (None, "x y", None), (4, "same text", "b"), (5, "same text", "b"), (5, "same text", "b"), (6, "wörd " * 5000, "c"), (7, " \t\n ", None)]
+
+
+@pytest.mark.parametrize("name", ["op2_mix_sources", "op4_shard_splitters", "op5_chat_prefix_targets", "op7_decontaminate"])
+def test_query_equals_sql(spark, sf, name):
+    names, rows = spark_rows(queries.queries()[name](spark, sf))
+    assert rows == duck_rows(queries.oracle_sql()[name], sf, names)
+    assert oracles.MIX in queries.oracle_sql().values()
+
+
+def test_native_plans_have_no_python(spark, sf):
+    for name in ("op1_pii_feistel", "op4_shard_splitters", "op5_chat_prefix_targets", "op6_license_rules"):
+        plan = queries.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan), name
+
+
+def test_shards_of_odd_rows(spark):
+    out = sharding.shard_by_bytes(docs(spark, ODD)).collect()
+    assert len(out) == len(ODD) and {r["law"] for r in out} == {"bytes"} and all(r["grown_shard"] is None for r in out)
+    sizes = Counter((r["size"], r["text_crc32"]) for r in out)
+    assert sizes == Counter((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, _ in ODD)
+    slots = defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.shard_by_bytes(docs(spark, [])).count() == 0
+
+
+def test_shards_balance_a_hot_text(spark):
+    rows = [(i, "hot text" if i % 3 == 0 else f"text {i}" * (1 + i % 7), "s") for i in range(3000)]
+    sizes = Counter()
+    for r in sharding.shard_by_bytes(docs(spark, rows)).collect():
+        sizes[r["shard"]] += r["size"]
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) < 200
+
+
+def test_ranges_are_even_and_prefixes_exact(spark):
+    df = spark.range(5000).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("i"), (F.col("id") % 5 + 1).alias("w"))
+    plan = splitters.plan_ranges(df, ["k", "i"], "w", 50)
+    assert sum(plan.weights) == 15000 and max(plan.weights) <= splitters.OVERFULL * 15000 / 50
+    rows = sorted(splitters.with_prefix(df, ["k", "i"], "w", plan).collect(), key=lambda r: r["i"])
+    before = 0
+    for n, r in enumerate(rows):
+        assert (r["rank"], r["before"]) == (n, before)
+        before += r["w"]
+
+
+def test_mix_of_odd_rows(spark):
+    out = mixing.mix_sources(docs(spark, ODD)).collect()
+    assert len(out) == len(ODD) and all(0 <= r["taken"] <= 3 * r["size"] for r in out)
+    assert sorted(r["size"] for r in out) == sorted(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in ODD)
+    assert mixing.mix_sources(docs(spark, [])).count() == 0
+    assert sum(r["taken"] for r in mixing.mix_sources(docs(spark, [(1, None, "a"), (2, "", None)])).collect()) == 0
+
+
+def water(sizes):
+    """Targets by resharing until none is above its cap."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, open_, target = float(sum(sizes.values())), set(order), dict.fromkeys(order, 0.0)
+    while open_ and left > 1e-9:
+        total = sum(weight[s] for s in open_)
+        full = {s for s in open_ if target[s] + left * weight[s] / total >= 3 * sizes[s]}
+        if not full:
+            for s in open_:
+                target[s] += left * weight[s] / total
+            break
+        share = {s: left * weight[s] / total for s in open_}
+        left = 0.0
+        for s in open_:
+            new = min(3.0 * sizes[s], target[s] + share[s])
+            left += target[s] + share[s] - new
+            target[s] = new
+        open_ -= full
+    return target
+
+
+def test_mix_targets_and_totals(spark):
+    rows = [(i, "w " * (1 + i % 40), None if i % 50 == 0 else f"s{min(i % 9, 4)}" if i % 2 else "tiny" if i < 4 else "s9") for i in range(4000)]
+    out = mixing.mix_sources(docs(spark, rows)).collect()
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in out:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    expected = water(sizes)
+    for s in sizes:
+        assert target[s] == pytest.approx(expected[s])
+        assert abs(taken[s] - target[s]) <= 41
+    again = mixing.mix_sources(docs(spark, rows[::-1]), ranges=7)
+    assert sorted((r["doc_id"], r["taken"]) for r in again.collect()) == sorted((r["doc_id"], r["taken"]) for r in out)
+
+
+def test_expansion_keeps_columns_and_counts(spark):
+    rows = [(i, "w " * (1 + i % 3), "a" if i % 2 else "b") for i in range(60)] + [(5, "w w w ", "a")]
+    given = docs(spark, rows).withColumn("__id", F.lit("clash")).withColumn("__copies", F.lit(1))
+    mixed = mixing.mix_sources(given)
+    wanted = Counter()
+    for r in mixed.collect():
+        wanted[r["doc_id"]] += r["copies"]
+    got = mixing.expand(given, mixed)
+    assert got.columns == given.columns and Counter(r["doc_id"] for r in got.collect()) == +wanted
+
+
+TALK = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\b </s>[INST] [ROLE]<s>"), (1, 2, "user", "more"), (1, 3, "assistant", "end\\"), (2, 0, "system", None), (2, 0, None, ""), (3, 0, "assistant", "ü🙂" * 500), (None, 5, "assistant", "x"), (4, 1, "user", "[/INST]</s>"), (4, None, "assistant", "first")]
+
+
+def test_chat_reads_back(spark):
+    given = spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    out = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(given)).collect()}
+    by = defaultdict(list)
+    for c, t, r, x in TALK:
+        by[c].append((-1 if t is None else t, r or "", x or ""))
+    assert set(out) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        assert out[c]["n_turns"] == len(turns) and out[c]["loss_chars"] == len(loss)
+        assert out[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+        assert out[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert chat.format_conversations(given.limit(0)).count() == 0
+
+
+def test_examples_have_all_turns_before_as_context(spark):
+    given = spark.createDataFrame(TALK[:4], "conv_id long, turn long, role string, text string")
+    rows = sorted(chat.example_texts(chat.format_conversations(given)).collect(), key=lambda r: r["example"])
+    assert [r["example"] for r in rows] == [0, 1]
+    assert rows[0]["context"] == "<s>[ROLE]user[INST]hi[/INST]</s><s>[ROLE]assistant[INST]"
+    assert rows[1]["context"].startswith(rows[0]["context"] + rows[0]["target"]) and rows[1]["target"] == "end\\\\"
+    assert not any(m in rows[0]["target"] for m in ("</s>", "<s>", "[INST]", "[ROLE]"))
+
+
+LICENSED = [
+    (1, "Released under the MIT License. See LICENSE."), (2, "SPDX-License-Identifier: Apache-2.0"), (3, "GNU Lesser General Public License, version 2.1 or later"), (4, None), (5, ""),
+    (6, "no rights here"), (7, "mit license mit license general public license"), (8, "Mit licenses and permit license"), (9, "Licensed under the Apache License, Version 2.0 (the License)"),
+    (10, "this work is under Creative Commons Attribution-ShareAlike 4.0 International"), (11, ("word " * 3000) + "apache license " + "é " * 100), (12, "All rights reserved."),
+]
+
+
+def test_licenses(spark):
+    given = spark.createDataFrame(LICENSED, "doc_id long, text string").withColumn("labels", F.lit("clash"))
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(given).collect()}
+    for i, text in LICENSED:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        places = [(k, label) for phrase, label in licenses.BASE for p in [phrase.split()] for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
+        r = out[i]
+        assert r["n_words"] == len(words) and r["n_base"] == len(places)
+        assert (r["first_word"], r["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        base = sorted({label for _, label in places})
+        assert r["base_labels"] == ",".join(base) and set(base) <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1
+    labels = {i: r["labels"] for i, r in out.items()}
+    assert labels[1] == "mit" and labels[2] == "apache-2.0" and labels[3] == "gpl,lgpl-2.1" and labels[6] == "" == labels[8] and labels[12] == "proprietary"
+    assert labels[9] == "apache,apache-2.0" and labels[10] == "cc-by-sa-4.0" and labels[7] == "gpl,mit"
+    spans = {d["label"]: (d["first"], d["end"]) for d in out[9]["detections"]}
+    assert spans["apache-2.0"][0] == 0
+    assert licenses.scan_licenses(given.limit(0)).count() == 0
+
+
+def test_hundreds_of_rules_in_order():
+    rules = license_rules.rules()
+    assert len(rules) > 300 and [r.priority for r in rules] == sorted(r.priority for r in rules)
+    for r in rules:
+        re.compile(r.pattern)
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+PERSONAL = "card 4111 1111 1111 1111, bad card 4111111111111112; mail ann.b@example.com; call +1 (372) 555-7739; ssn 078-05-1120, not 000-12-3456; ip 10.0.0.1 not 300.1.1.1; born 1980-02-29 or 31.12.1999, never 2021-02-30; iban DE89 3704 0044 0532 0130 00; key 0123456789abcdef0123456789abcdef"
+
+
+def test_pii(spark):
+    rows = [(1, PERSONAL), (2, "again ann.b@example.com and 4111 1111 1111 1111"), (3, None), (4, ""), (5, "plain words 12"), (5, "plain words 12"), (6, "x " * 20000 + "10.0.0.1")]
+    given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__found", F.lit("clash"))
+    out = [r.asDict() for r in pii.pseudonymise(given, "k").collect()]
+    by = {r["doc_id"]: r for r in out}
+    assert len(out) == len(rows) and by[3]["text"] is None and by[4]["text"] == "" and by[5]["text"] == "plain words 12"
+    new = by[1]["text"]
+    for old in ("4111 1111 1111 1111", "ann.b@", "555-7739", "078-05-1120", "10.0.0.1", "1980-02-29", "31.12.1999", "DE89 3704", "0123456789abcdef"):
+        assert old not in new
+    for kept in ("4111111111111112", "000-12-3456", "300.1.1.1", "2021-02-30", "@example.com", "+1 ("):
+        assert kept in new
+    card = re.search(r"card (\d{4} \d{4} \d{4} \d{4}),", new)[1]
+    assert luhn(card.replace(" ", ""))
+    assert mod97(re.search(r"iban (DE[0-9 ]+);", new)[1].replace(" ", "")) == 1
+    datetime.date.fromisoformat(re.search(r"born (\S+)", new)[1])
+    datetime.datetime.strptime(re.search(r"or (\S+),", new)[1], "%d.%m.%Y")
+    assert all(int(x) < 256 for x in re.search(r"ip (\S+)", new)[1].split("."))
+    assert card in by[2]["text"] and re.search(r"mail (\S+);", new)[1] in by[2]["text"]
+    assert by[1]["n_found"] == 9 and by[6]["n_ip"] == 1
+    other = pii.pseudonymise(given, "another key").where("doc_id = 1").first()["text"]
+    assert other != new
+    assert pii.pseudonymise(given.limit(0), "k").count() == 0
+
+
+def test_feistel_is_a_bijection(spark):
+    df = spark.range(17 * 43).select(pii.feistel(F.floor(F.col("id") / 43), F.col("id") % 43, 17, 43, "k", "t").alias("h"))
+    got = {(r["h"]["left"], r["h"]["right"]) for r in df.collect()}
+    assert got == {(a, b) for a in range(17) for b in range(43)}
+    for n in (1, 3):
+        out = spark.range(10**n).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), n, "0"), "k", "t").alias("d")).collect()
+        assert len({r["d"] for r in out}) == 10**n and all(len(r["d"]) == n for r in out)

@@ -546,7 +546,7 @@ class Analyzer:
         out = []
         for u in upstream:
             status = row.status if u.status in ("exact", "exact_capture", "constant", "conditional", "derived", "repeated") else u.status
-            made = replace(row, status=status, transformations=u.transformations, conditions=u.conditions, parser_locations=unique(u.parser_locations + row.parser_locations), notes=unique(u.notes + row.notes), taints=tuple(dict.fromkeys(u.taints + row.taints)))
+            made = replace(row, status=status, transformations=u.transformations + row.transformations, conditions=u.conditions, parser_locations=unique(u.parser_locations + row.parser_locations), notes=unique(u.notes + row.notes), taints=tuple(dict.fromkeys(u.taints + row.taints)))
             out.append(made.under(u.conditions).under(conditions))
         return tuple(dict.fromkeys(out))
 

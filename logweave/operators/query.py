@@ -75,8 +75,6 @@ class ParserLineage:
         diagnostics = list(self.diagnostics)
         for name in names:
             found = list(state.get(name))
-            if not found and name == field:
-                found = list(self.analyzer.infer(name, state))
             for token, pattern in templates:
                 if token != name and pattern.match(name):
                     note = f"matched dynamic destination {token}"

@@ -15,7 +15,7 @@ from logweave.functions.transforms import FACILITIES, SEVERITIES
 from logweave.operators import registry as R
 from logweave.operators.facts import compatible
 from logweave.operators.model import Anchor, Hint, IoAnchor, Lineage, Source, Taint, unique
-from logweave.operators.state import Branch, Shared, State, merge
+from logweave.operators.state import Branch, Shared, State, Tags, merge
 from logweave.plans.syntax import REFERENCE, For, If, Io, Pairs, Plugin, Program, Unknown, field_name, parse
 
 EVENT_TIME = "event.idm.read_only_udm.metadata.event_timestamp"
@@ -162,6 +162,8 @@ class Analyzer:
         if not m:
             return None
         held = state.tags.holds(m[2])
+        if held is False and state.tags == Tags() and not state.has("tags"):
+            return None  # nothing is known about tags on this path
         if held is None:
             self.warn("conditional_tag_check", "tags", f"tag {m[2]!r} is possible but not definite", "tags", False)
             return None
@@ -268,6 +270,10 @@ class Analyzer:
                     sources = tuple(replace(s, path=f"{s.path or s.source_token}.{rest}") for s in row.sources)
                     found.append(replace(row, sources=sources, expression=token))
             at = token.rfind(".", 0, at)
+        if len(found) > R.MAX_MEMBER_ALTERNATIVES:
+            self.warn("member_inference_fanout", "member", f"{token!r} has {len(found)} inferred alternatives; summarized after limit {R.MAX_MEMBER_ALTERNATIVES}", token)
+            taint = self.taint("member_inference_fanout", "member", f"{token!r} has too many inferred alternatives", token)
+            return (Lineage("dynamic", found[0].sources, token, taints=(taint,)),)
         if found:
             return tuple(found)
         untargeted = 0
@@ -352,6 +358,9 @@ class Analyzer:
                 row = Lineage(status, unique(s for r in combo for s in r.sources), text, value_type="string")
             row = replace(row, transformations=unique(t for r in combo for t in (*r.transformations, "template_interpolation"))[: 128], parser_locations=unique((*(p for r in combo for p in r.parser_locations), location)), notes=unique(n for r in combo for n in r.notes), taints=tuple(dict.fromkeys(t for r in combo for t in r.taints)))
             out.append(row.under(unique(held + conditions)))
+        if not out:  # no combination of the references can happen on this path
+            taint = self.taint("unresolved_expression", location, f"expression {text!r} could not be resolved")
+            out.append(Lineage("unresolved", (Source("unknown", expression=text),), text, conditions=conditions, parser_locations=(location,), taints=(taint,)))
         return tuple(dict.fromkeys(out))
 
     def value(self, value, state: State, conditions: tuple[str, ...], location: str, bare_token: bool = False) -> tuple[Lineage, ...]:
@@ -446,9 +455,13 @@ class Analyzer:
                 values = p.config.all(key)
                 if len(values) > 1 and key not in ("match", "mapping", *R.DECORATORS):
                     self.warn("duplicate_config_key", location, f"duplicate singleton config key {key!r} appears {len(values)} times; using the first value")
+        for _, v in p.config:
+            if isinstance(v, list) and len(v) > R.MAX_ARRAY_LITERAL:
+                self.warn("large_array_literal", f"line {p.line}", f"array literal has {len(v)} elements (threshold {R.MAX_ARRAY_LITERAL}); large literals slow lineage analysis")
         wrong, odd = R.problems(p.name, p.config)
         for text in wrong:
             self.warn("config_validation", f"line {p.line}", f"{p.name} config validation failure: {text}")
+            self.taint("invalid_config", location, text)
         for key in odd:
             self.warn("unknown_config_key", location, f"unknown config key {key!r} ignored by static analyzer", strict=False)
         if p.name == "on_error":
@@ -489,6 +502,9 @@ class Analyzer:
         self.shared.mutated.add(field_name(name))
 
     def on_error_block(self, p: Plugin, state: State, conditions: tuple[str, ...], depth: int, location: str) -> None:
+        for s in p.fallback or []:
+            if isinstance(s, Unknown):
+                self.warn("on_error_parse", location, f"could not parse fallback body at line {s.line}: {s.text[:80]}")
         branch = self.forked(state)
         self.statements(p.fallback or [], branch, unique((*conditions, "on_error")), depth + 1)
         merge(state, [Branch(branch, unique((*conditions, "on_error"))), Branch(self.forked(state), unique((*conditions, "NOT(on_error)")), True)], location)

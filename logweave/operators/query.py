@@ -7,7 +7,7 @@ from collections import Counter
 from dataclasses import asdict, replace
 
 from logweave.operators.analysis import Analyzer
-from logweave.operators.model import Anchor, Diagnostic, Lineage, QueryResult, sampled, unique
+from logweave.operators.model import STATUSES, Anchor, Diagnostic, Lineage, QueryResult, sampled, unique
 from logweave.operators.registry import CLASS_OF
 
 UDM = "idm.read_only_udm."
@@ -70,9 +70,15 @@ class ParserLineage:
         state, field = self.analyze(), field.strip()
         anchors = self.anchors()
         names = candidates(field, list(dict.fromkeys(a.anchor for a in anchors)))
-        templates = [(t, re.compile(template_regex(t))) for t in state.tokens() if "%{" in t]
         rows: dict[Lineage, None] = {}
         diagnostics = list(self.diagnostics)
+        templates = []
+        for t in state.tokens():
+            if "%{" in t:
+                try:
+                    templates.append((t, re.compile(template_regex(t))))
+                except (re.error, OverflowError) as e:
+                    diagnostics.append(Diagnostic("dynamic_template_regex", "warning", f"destination {t!r} cannot be matched: {e}", None, t))
         for name in names:
             found = list(state.get(name))
             for token, pattern in templates:
@@ -86,6 +92,8 @@ class ParserLineage:
             for r in found:
                 for a in own or [None]:
                     rows[r.under(a.conditions) if a else r] = None
+        for odd in {r.status for r in rows} - set(STATUSES):
+            diagnostics.append(Diagnostic("invalid_lineage_status", "warning", f"unknown status {odd!r}", None, field))
         if not rows:
             diagnostics.append(Diagnostic("no_assignment", "warning", f"no assignment found for {field!r}", None, field))
         return QueryResult(

@@ -45,6 +45,8 @@ MAX_SOURCE_DEPTH = 32
 MAX_ELIF_CHAIN = 1000
 MAX_SYSLOG_LITERALS = 32
 MAX_IO_VALUE = 256
+MAX_ARRAY_LITERAL = 100_000
+MAX_MEMBER_ALTERNATIVES = 2048
 MAX_SIGNATURE_BYTES = 1 << 20
 
 #: Keys of plugins whose configuration is validated: the kind of each value.
@@ -89,8 +91,8 @@ def problems(plugin: str, config) -> tuple[list[str], list[str]]:
             wrong.append(f"{key}: expected a list")
         elif kind == "texts" and not all(isinstance(v, str) for v in value):
             wrong.append(f"{key}: expected a list of strings")
-        elif kind == "flag" and not isinstance(value, bool):
-            wrong.append(f"{key}: expected true or false")
+        elif kind == "flag" and value is not True:  # only the bare key is a flag; words are strings
+            wrong.append(f"{key}: expected a flag")
     return wrong, unknown
 
 

@@ -87,7 +87,8 @@ def test_loops():
 
 def test_failures():
     code = 'grok { match => { "message" => "%{INT:n}" } } if "_grokparsefailure" in [tags] { mutate { replace => { "t" => "1" } } }'
-    assert "unreachable_branch" in codes(code) and "conditional_tag_check" in codes(code, dialect="logstash")
+    assert "unreachable_branch" not in codes(code) and "conditional_tag_check" in codes(code, dialect="logstash")
+    assert "unreachable_branch" in codes('mutate { add_tag => ["other"] } ' + code)
     assert kinds(ask('json { on_error => "bad" }', "bad")) == ["error_flag"]
     r = ask('json { } on_error { mutate { replace => { "t" => "1" } } }', "t")
     assert any("on_error" in m.conditions for m in r.mappings)

@@ -927,6 +927,11 @@ class Analyzer:
             rows = calc if calc and isinstance(calc[0], list) else [calc]
             names += [str(r[1]) for r in rows if len(r) > 2]
             dests += [str(r[-1]) for r in rows if len(r) > 2]
+        for value in p.config.all("coalesce") if p.name == "alter" else []:
+            items = strings(value)
+            rows = [r for x in items[1:] for r in self.expression(x, state, conditions, location) if r.status != "unresolved"]
+            self.store(items[0], [r.transformed("alter") for r in rows], state, location, True)
+            names += items[:1]
         if not names:
             self.warn("missing_source_field", location, "no source/field discovered")
             return

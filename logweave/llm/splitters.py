@@ -14,8 +14,10 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that an order is cut into, and samples drawn for each; both bound what reaches the driver.
-RANGES = 512
+#: Ranges that an order is cut into at least and at most, rows of one above the least number, and samples
+#: drawn for each range; together they bound what reaches the driver (200,000 keys).
+RANGES, MAX_RANGES = 512, 8192
+ROWS_PER_RANGE = 1_000_000
 SAMPLES_PER_RANGE = 24
 #: A range with more than this many times its share is subdivided.
 OVERFULL = 2.0
@@ -76,7 +78,8 @@ def plan_ranges(df: DataFrame, keys: list[str], weight: str, ranges: int = RANGE
     keys are non-null longs that order the rows; weight is a non-negative number. Ranges that come out
     overfull are sampled again and subdivided, for as long as a round still splits one.
     """
-    total = df.agg(F.sum(weight)).first()[0] or 0
+    total, count = df.agg(F.sum(weight), F.count(F.lit(1))).first()
+    total, ranges = total or 0, max(ranges, min(MAX_RANGES, count // ROWS_PER_RANGE))
     cuts: list[tuple] = []
     if total:
         step = float(total) / (ranges * SAMPLES_PER_RANGE)

@@ -28,7 +28,7 @@ def nation_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.analyze_corpus(nation_parsers(spark, sf_dir))
+    return corpus.stored(corpus.analyze_corpus(nation_parsers(spark, sf_dir)))
 
 
 def lineage_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from logweave.operators.model import LIVE, Diagnostic
 from logweave.operators.query import UDM, ParserLineage
 from logweave.operators.registry import DIALECTS, MAX_PARSER_BYTES
+from logweave.sources.folders import shared_path
 
 SOURCE = "struct<kind:string,source_token:string,path:string,capture_name:string,column:int,pattern:string,expression:string,details:string>"
 TAINT = "struct<code:string,message:string,parser_location:string,source_token:string>"
@@ -81,6 +82,14 @@ def analyze_corpus(parsers: DataFrame, dialects: tuple[str, ...] = ("secops",),
     return spread.mapInPandas(run, RAW)
 
 
+def stored(raw: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, one partition for each kind, so that the parsers are analyzed
+    once and a question reads only the tables that it needs."""
+    path = shared_path(raw.sparkSession, "corpus")
+    raw.write.partitionBy("kind").parquet(path)
+    return raw.sparkSession.read.schema(RAW).parquet(path).select("path", "dialect", "kind", "ord", "payload")
+
+
 def corpus_table(raw: DataFrame, kind: str) -> DataFrame:
     """One of the tables in SCHEMAS, with path, dialect and ord."""
     rows = raw.where(F.col("kind") == kind).select("path", "dialect", "ord", F.from_json("payload", SCHEMAS[kind]).alias("r"))
@@ -105,8 +114,7 @@ def query_fields(raw: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFram
     mappings: path, dialect, udm_field, token, ord and the lineage columns, once for each output anchor above
     the token. A field without mappings is unresolved.
     """
-    spark = raw.sparkSession
-    asked = spark.createDataFrame([(f,) for f in dict.fromkeys(x.strip() for x in fields)], "udm_field string")
+    asked = F.explode(F.array(*[F.lit(f) for f in dict.fromkeys(x.strip() for x in fields)])).alias("udm_field")
     parsers = raw.select("path", "dialect").distinct()
     anchors = corpus_table(raw, "anchor").select("path", "dialect", "anchor", F.col("conditions").alias("anchor_conditions")).distinct()
     roots = parsers.withColumn("root", F.lit("event")).union(anchors.select("path", "dialect", F.col("anchor").alias("root"))).distinct()
@@ -115,8 +123,7 @@ def query_fields(raw: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFram
     below = F.concat("root", F.lit("."), suffix)
     deep = F.when(~F.startswith(suffix, F.lit("idm.")), F.concat("root", F.lit(f".{UDM}"), suffix))
     plain = F.when(~F.startswith("udm_field", F.lit("idm.")) & ~F.startswith("udm_field", F.lit("event.")), F.concat(F.lit(UDM), "udm_field"))
-    # The fields that are asked for are a literal list, so this product is (parsers x anchors) x that list.
-    named = roots.join(F.broadcast(asked)).withColumn("token", F.explode(F.array_compact(F.array("udm_field", below, deep, plain))))
+    named = roots.select("*", asked).withColumn("token", F.explode(F.array_compact(F.array("udm_field", below, deep, plain))))
     named = named.select("path", "dialect", "udm_field", "token").distinct()
     lineage = corpus_table(raw, "lineage")
     fixed = lineage.where(~F.contains("token", F.lit("%{"))).join(named, ["path", "dialect", "token"])
@@ -137,8 +144,7 @@ def query_fields(raw: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFram
         F.sort_array(F.collect_set("status")).alias("statuses"), F.count(F.lit(1)).alias("mappings"), F.bool_or(F.size("conditions") > 0).alias("is_conditional"),
         F.bool_or(F.col("status") == "dynamic").alias("has_dynamic"), F.bool_or(F.col("status") == "unresolved").alias("has_unresolved"), F.bool_or(F.size("taints") > 0).alias("has_taints"), F.bool_or(words).alias("repeating"),
     )
-    every = parsers.join(F.broadcast(asked))
-    joined = every.join(totals, ["path", "dialect", "udm_field"], "left").fillna({"mappings": 0, "is_conditional": False, "has_dynamic": False, "has_taints": False, "has_unresolved": True, "repeating": False})
+    joined = parsers.select("*", asked).join(totals, ["path", "dialect", "udm_field"], "left").fillna({"mappings": 0, "is_conditional": False, "has_dynamic": False, "has_taints": False, "has_unresolved": True, "repeating": False})
     results = joined.select("path", "dialect", "udm_field", status_column(F.coalesce("statuses", F.array().cast("array<string>")), F.col("mappings"), F.col("repeating")).alias("status"), "is_conditional", "has_dynamic", "has_unresolved", "has_taints", "mappings")
     return results, mapped
 

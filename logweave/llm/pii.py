@@ -27,7 +27,7 @@ PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2}"
-SECRET = r"[0-9a-f]{32,128}"
+SECRET = r"[0-9a-f]{32,128}|[0-9A-F]{32,128}"
 #: Candidates in this order at each place; none begins or ends inside a longer run of letters and digits.
 CANDIDATE = rf"(?<![A-Za-z0-9_+.-])(?:{EMAIL}|{SECRET}|{IBAN}|{SSN}|{DATE}|{IP}(?!\.?[0-9])|{PHONE}|{CARD})(?![A-Za-z0-9_])"
 
@@ -97,13 +97,14 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def card(match: Column, key: str) -> Column:
-    """All digits but the last are permuted; the last makes the Luhn sum right again."""
+    """The first digit (the network's, 2 to 6) stays, the others are permuted, and the last makes the Luhn sum right."""
 
     def run(d: Column) -> Column:
-        body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
-        return _let(body, lambda p: put_digits(match, F.concat(p, F.pmod(-luhn_sum(F.concat(p, F.lit("0"))), F.lit(10)).cast("string"))))
+        moved = permute_digits(F.substring(d, F.lit(2), F.length(d) - 2), key, "card")
+        return _let(F.concat(F.substring(d, 1, 1), moved), lambda p: put_digits(match, F.concat(p, F.pmod(-luhn_sum(F.concat(p, F.lit("0"))), F.lit(10)).cast("string"))))
 
-    return F.when(luhn_sum(digits_of(match)) % 10 == 0, _let(digits_of(match), run))
+    digits = digits_of(match)
+    return F.when(digits.rlike("^[2-6]") & (luhn_sum(digits) % 10 == 0), _let(digits, run))
 
 
 def _mod97(text: Column) -> Column:
@@ -183,7 +184,7 @@ def date(match: Column, key: str) -> Column:
 
 def permute_text(text: Column, key: str, kind: str) -> Column:
     """A string of the same length and classes of characters: digits, lower- and upper-case letters move
-    within their class, others stay. Its halves take turns in shifting by a key stream made from the other."""
+    within their class, others stay (of a secret, hexadecimal digits among each other). Its halves take turns in shifting by a key stream made from the other."""
     move = lambda c, by, low, n: F.char(F.pmod(F.ascii(c) - low + by, F.lit(n)) + low)
 
     def shifted(part: Column, other: Column, turn: Column) -> Column:
@@ -194,6 +195,8 @@ def permute_text(text: Column, key: str, kind: str) -> Column:
         def one(hexed: Column):
             def go(c: Column, i: Column) -> Column:
                 by = F.conv(F.substring(hexed, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+                if kind == "secret":
+                    return F.lower(F.hex(F.pmod(F.conv(c, 16, 10).cast("int") + by, F.lit(16))))
                 return F.when(c.rlike("[0-9]"), move(c, by, 48, 10)).when(c.rlike("[a-z]"), move(c, by, 97, 26)).when(c.rlike("[A-Z]"), move(c, by, 65, 26)).otherwise(c)
 
             return go
@@ -220,13 +223,9 @@ def email(match: Column, key: str) -> Column:
 
 
 def secret(match: Column, key: str) -> Column:
-    """Hexadecimal keys: every digit moves among the sixteen."""
-
-    def run(t: Column) -> Column:
-        stream = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1)), lambda b: F.sha2(F.concat(F.lit(f"{key}\x1fsecret\x1f"), b.cast("string"), F.lit("\x1f"), t).cast("binary"), 256)), "")
-        return F.substring(stream, F.lit(1), F.length(t))
-
-    return _let(match, run)
+    """Hexadecimal keys: every digit moves among the sixteen, the case stays."""
+    moved = permute_text(F.lower(match), key, "secret")
+    return F.when(match.rlike("[A-F]"), F.upper(moved)).otherwise(moved)
 
 
 def classify(match: Column) -> Column:

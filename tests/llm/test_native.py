@@ -192,7 +192,9 @@ def mod97(s):
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
 
 
-PERSONAL = "card 4111 1111 1111 1111, bad card 4111111111111112; mail ann.b@example.com; call +1 (372) 555-7739; ssn 078-05-1120, not 000-12-3456; ip 10.0.0.1 not 300.1.1.1; born 1980-02-29 or 31.12.1999, never 2021-02-30; iban DE89 3704 0044 0532 0130 00; key 0123456789abcdef0123456789abcdef"
+#: A Luhn-valid number that is no card's, as no network begins with 9.
+NINE = next(n for d in "0123456789" if luhn(n := "911111111111111" + d))
+PERSONAL = "card 4111 1111 1111 1111, bad card 4111111111111112; mail ann.b@example.com; call +1 (372) 555-7739; ssn 078-05-1120, not 000-12-3456; ip 10.0.0.1 not 300.1.1.1; born 1980-02-29 or 31.12.1999, never 2021-02-30; iban DE89 3704 0044 0532 0130 00; key 0123456789abcdef0123456789abcdef; order " + NINE
 
 
 def test_pii(spark):
@@ -206,6 +208,7 @@ def test_pii(spark):
         assert old not in new
     for kept in ("4111111111111112", "000-12-3456", "300.1.1.1", "2021-02-30", "@example.com", "+1 ("):
         assert kept in new
+    assert re.search(r"key [0-9a-f]{32};", new) and f"order {NINE}" in new
     card = re.search(r"card (\d{4} \d{4} \d{4} \d{4}),", new)[1]
     assert luhn(card.replace(" ", ""))
     assert mod97(re.search(r"iban (DE[0-9 ]+);", new)[1].replace(" ", "")) == 1

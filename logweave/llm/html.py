@@ -64,8 +64,9 @@ def _unwanted(name: str, attributes: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes, re.I)) and "aria-hidden" not in attributes
 
 
-def read_blocks(html: str) -> tuple[list[str], list[str], list[str]]:
-    """Blocks inside articles, inside a main part, and elsewhere; elements passed over are in none."""
+def read_blocks(html: str, cues: bool = True) -> tuple[list[str], list[str], list[str]]:
+    """Blocks inside articles, inside a main part, and elsewhere; elements passed over are in none. Without
+    cues, only elements' names count, and not their attributes."""
     inside: dict[str, list[str]] = {"article": [], "main": [], "": []}
     depth = {"article": 0, "main": 0}
     piece: list[str] = []
@@ -100,7 +101,10 @@ def read_blocks(html: str) -> tuple[list[str], list[str], list[str]]:
             if not ends and name in RAW:
                 at = _after(html, at, name)
                 continue
-            if not ends and name in depth and name != skip and not _unwanted(name, m[3]):
+            implied = name in BLOCKS and name != skip if ends else name in BLOCKS
+            if implied and (skip == "p" or skip not in BLOCKS):
+                skip, nested = "", 0  # a paragraph or an inline element ends where a block begins or ends
+            elif not ends and name in depth and name != skip and not (cues and _unwanted(name, m[3])):
                 skip, nested = "", 0  # what was passed over has never been closed
             else:
                 if name == skip:
@@ -125,13 +129,14 @@ def read_blocks(html: str) -> tuple[list[str], list[str], list[str]]:
             continue
         if name in VOID:
             continue
-        if name == "header" and depth["article"] and not _unwanted(name, m[3]):
+        odd = cues and _unwanted(name, m[3])
+        if name == "header" and depth["article"] and not odd:
             heading = True
             continue
         if heading and name in ("p", "div", "ul", "ol", "time", "span", "address", "section"):
             skip, nested = name, 1
             continue
-        if name in DROPPED or _unwanted(name, m[3]):
+        if name in DROPPED or odd:
             if not m[3].endswith("/") or name in DROPPED:
                 skip, nested = name, 1
             continue
@@ -153,6 +158,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, blocks = [], []
         for html in b.column("html").to_pylist():
             article, main, other = read_blocks(html or "")
+            if html and not (article or main or other):  # a wrapper's attributes have hidden everything
+                article, main, other = read_blocks(html, False)
             marked = article or main
             texts.append("\n\n".join(marked) if marked else None)
             blocks.append(other)

@@ -224,6 +224,20 @@ def test_marked_articles(spark):
     assert html.extract_main_text(given.limit(0)).count() == 0
 
 
+def test_elements_that_are_not_closed():
+    read = lambda h: html.read_blocks(h)
+    assert read('<article><p class="notice">x<p>a<p>b</article>')[0] == ["a", "b"]
+    assert read('<article><p>a <span class="share">x</p><p>b</p></article>')[0] == ["a", "b"]
+    assert read('<nav><ul><li>x<article><p>a</p></article>')[0] == ["a"]
+    assert read("<head><title>t</title><body><p>a")[2] == ["a"]
+    assert read('<div class="ad">x<div>y</div></div>a')[2] == ["a"]
+
+
+def test_wrappers_with_cues(spark):
+    given = spark.createDataFrame([(1, "http://a.com", '<div class="has-sidebar"><p>a</p><nav>n</nav><p>b</p></div>')], "page_id long, url string, html string")
+    assert html.extract_main_text(given).first()["text"] == "a\n\nb"
+
+
 def test_suffix_array_removes_what_pages_of_a_host_share(spark):
     rng = random.Random(2)
     prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40))

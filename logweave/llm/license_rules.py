@@ -1,12 +1,13 @@
 """Signature rules for licences, over text in lower case whose words are parted by one space.
 
-A rule is a label, a priority (smaller wins), a confidence, a keyword that must occur for the pattern to be
-tried, and a pattern that matches whole words. Families of licences are written as a name and its
+A rule is a label, a priority (smaller wins), a confidence, two keywords that must occur for the pattern to
+be tried (the second may be empty), and a pattern that matches whole words. Families of licences are written as a name and its
 variants, from which the rules for identifiers, notices and full names follow in one order.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
@@ -17,6 +18,7 @@ class Rule:
     score: float
     keyword: str
     pattern: str
+    also: str = ""
 
 
 GRANT = r"(?:licensed|released|distributed|available|published|provided|covered) (?:\w+ ){0,4}?(?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
@@ -152,9 +154,10 @@ def rules() -> list[Rule]:
             named.append((f"cc-{deed}-{v}", "creative commons|cc by", rf"creative commons {words}(?: license)? (?:version |v )?{dotted}(?: international| unported| generic)?|cc {deed.replace('-', ' ')} {dotted}", rf"cc {deed.replace('-', ' ')} {dotted}"))
     for label, keyword, name, ident in named:
         for k in keyword.split("|"):
+            k = f" {k} " if len(k) < 4 and label.startswith(k) and k not in ("gpl", "mpl", "epl", "bsd") else k
             out.append(Rule(label, 2, 0.95, k, rf"{GRANT}(?:{name}){OR_LATER}"))
             out.append(Rule(label, 3, 0.8, k, rf"(?:{name}){OR_LATER}"))
         out.append(Rule(label, 1, 1.0, "spdx license identifier", rf"{TAG}(?:{ident})"))
-        out.append(Rule(label, 5, 0.5, "license", rf"license (?:is |type |name |field |id )?(?:{ident})"))
+        out.append(Rule(label, 5, 0.5, "license", rf"license (?:is |type |name |field |id )?(?:{ident})", " " + re.match(r"\w+ ?", ident.split("|")[0])[0] if "|" not in ident else ""))
     out += [Rule(label, 4, score, keyword, pattern) for label, score, keyword, pattern in SENTENCES]
     return sorted(out, key=lambda r: r.priority)

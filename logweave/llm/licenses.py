@@ -35,7 +35,7 @@ def word_line(text: Column) -> Column:
 
 def _literal(own: list[Rule]) -> Column:
     quoted = lambda s: "r'" + s + "'"
-    row = lambda r: f"named_struct('label', {quoted(r.label)}, 'priority', {r.priority}, 'score', {r.score}D, 'keyword', {quoted(r.keyword)}, 'pattern', {quoted('(?<= )(?:' + r.pattern + ')(?= )')})"
+    row = lambda r: f"named_struct('label', {quoted(r.label)}, 'priority', {r.priority}, 'score', {r.score}D, 'keyword', {quoted(r.keyword)}, 'also', {quoted(r.also)}, 'pattern', {quoted('(?<= )(?:' + r.pattern + ')(?= )')})"
     return F.expr("array(" + ", ".join(map(row, own)) + ")")
 
 
@@ -101,7 +101,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     none = F.array().cast("array<struct<n:int,first:int,last:int,label:string>>")
     rows = rows.withColumn("__base", F.when(F.contains(line, F.lit(" license ")), F.filter(F.array(*_base(line, F.col("n_words"))), lambda b: b["n"] > 0)).otherwise(none))
     gate = reduce(lambda a, b: a | b, [F.contains(line, F.lit(s)) for s in STEMS])
-    tried = F.filter(table, lambda r: F.contains(line, r["keyword"]))
+    tried = F.filter(table, lambda r: F.contains(line, r["keyword"]) & F.contains(line, r["also"]) & F.rlike(line, r["pattern"]))
     found = _survivors(F.flatten(F.transform(tried, lambda r: _matches(line, r))))
     rows = rows.withColumn("detections", F.when(gate, found).otherwise(F.array().cast("array<struct<label:string,first:int,end:int,score:double>>")))
     base, own_labels = F.col("__base"), F.col("detections.label")

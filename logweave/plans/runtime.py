@@ -38,6 +38,8 @@ class Hint:
     target: str = ""
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
+    #: Of a kv hint: what stands before and behind a key, what is trimmed from values, and the prefix of names.
+    shape: tuple[str, ...] = ()
 
 
 @dataclass
@@ -119,7 +121,12 @@ class Compiler:
         if hint.kind == "csv":
             m = re.fullmatch(r"column(\d+)", token)
             return F.get(q(hint.column), F.lit(int(m[1]) - 1)) if m else None
-        return F.element_at(q(hint.column), F.lit(token))
+        before, behind, trim, prefix = hint.shape
+        if not token.startswith(prefix):
+            return None
+        key = re.sub(r"([^\w ])", r"\\\1", token[len(prefix) :])
+        value = F.regexp_extract(q(hint.column), f"{before}{key}{behind}", 1)
+        return F.nullif(F.regexp_replace(value, trim, "") if trim else value, F.lit(""))
 
     def text(self, token: str) -> Column:
         column, kind = self.read(token)
@@ -347,21 +354,22 @@ class Compiler:
         return ~F.coalesce(valid, F.lit(False))
 
     def do_kv(self, p: Plugin) -> Column:
+        """Nothing is split: each field that is read later is one regex over the source, which finds its last
+        pair. Empty values count as absent."""
         c = p.config
+        one_of = lambda key, default: re.sub(r"([\[\]\\^&-])", r"\\\1", str(c.first(key, default)))
+        own_split = c.first("field_split_pattern")
+        chars = one_of("field_split", " ")
+        fields, body = (f"(?:{own_split})", f"(?:(?!{own_split}).)*") if own_split is not None else (f"[{chars}]", f"[^{chars}]*")
+        values = f"(?:{c.first('value_split_pattern')})" if c.first("value_split_pattern") is not None else f"[{one_of('value_split', '=')}]"
+        around = f"[{one_of('trim_key', '')}]*" if isinstance(c.first("trim_key"), str) else ""
+        trim = f"^[{one_of('trim_value', '')}]+|[{one_of('trim_value', '')}]+$" if isinstance(c.first("trim_value"), str) else ""
         text = self.text(self.fallback_source(c))
-        splits = lambda key, regex, default: str(c.first(regex)) if c.first(regex) is not None else f"[{re.escape(str(c.first(key, default)))}]+" if key == "field_split" else f"[{re.escape(str(c.first(key, default)))}]"
-        fields, values = splits("field_split", "field_split_pattern", " "), splits("value_split", "value_split_pattern", "=")
-        pairs = F.filter(F.split(F.trim(text), fields), lambda x: x.rlike(values))
-        trim = lambda x, key: F.regexp_replace(x, f"^[{re.escape(str(c.first(key)))}]+|[{re.escape(str(c.first(key)))}]+$", "") if isinstance(c.first(key), str) else x
-        prefix = str(c.first("prefix", ""))
-        entry = lambda x: F.struct(F.concat(F.lit(prefix), trim(F.get(F.split(x, values, 2), 0), "trim_key")).alias("key"), trim(F.get(F.split(x, values, 2), 1), "trim_value").alias("value"))
-        entries = F.transform(pairs, entry)
-        # The last of a repeated key counts; the others go first, as a map takes each key once.
-        kept = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"]))
-        held = self.temp("kv", self.guarded(F.map_from_entries(kept), None))
+        held = self.temp("kv", self.guarded(F.trim(text), None))
         target = c.first("target")
-        self.hints.append(Hint("kv", held, field_name(target) if isinstance(target, str) else "", tuple(strings(c.first("include_keys"))), tuple(strings(c.first("exclude_keys")))))
-        return F.coalesce(F.size(pairs) <= 0, F.lit(True))
+        shape = (f"(?s)^(?:.*{fields})?{around}", f"{around}{values}({body})", trim, str(c.first("prefix", "")))
+        self.hints.append(Hint("kv", held, field_name(target) if isinstance(target, str) else "", tuple(strings(c.first("include_keys"))), tuple(strings(c.first("exclude_keys"))), shape))
+        return ~F.coalesce(F.rlike(text, F.lit(values)), F.lit(False))
 
     def do_csv(self, p: Plugin) -> Column:
         c = p.config

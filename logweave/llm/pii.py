@@ -21,13 +21,34 @@ ROUNDS = 6
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date", "secret")
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
-IBAN = r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?"
-CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+#: Lengths of account numbers by country; one of an unknown country takes what looks like it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI BJ DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV SN ML CI BF", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = [rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"[ ]?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items()]
+IBAN = rf"(?:{'|'.join(_KNOWN)})(?![A-Za-z0-9_])|[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?"
+NATIONAL = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2}"
 SECRET = r"[0-9a-f]{32,128}|[0-9A-F]{32,128}"
+#: What a run of digits does not go on into, as it is a candidate itself.
+_NEXT = rf"(?!(?:{SSN}|{DATE}|{IP}|{NATIONAL}|{SECRET})(?![A-Za-z0-9_]))"
+_CARD_NEXT = r"(?![0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -]|[0-9]{13})"
+#: After a plus sign any country's number, of 8 to 15 digits; the trunk zero may stand in brackets.
+PHONE = rf"{NATIONAL}|\+[1-9][0-9]{{0,2}}(?:[ ./-]?\([0-9]{{1,5}}\))?(?:(?:[ ./-]{_NEXT}{_CARD_NEXT})?[0-9]){{6,13}}"
+#: All groups of digits parted by single spaces or dashes; cards are looked for inside, at the bounds of groups.
+CARD = rf"(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z_@])(?:[ -]{_NEXT}[0-9]++(?![A-Za-z_@]))*+"
+#: How cards are written, in the order of trial, and last a run of digits with any breaks.
+CARD_FORMS = (
+    r"[2-6][0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}", r"3[0-9]{3}([ -])[0-9]{6}\1[0-9]{4,5}", r"[2-6][0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}\1[0-9]{1,3}",
+    r"[2-6][0-9]{3}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,3}", r"[2-6][0-9]{12,18}",
+)
+CARD_RUN = r"[0-9](?:[ -]?[0-9]){12,18}"
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Candidates in this order at each place; none begins or ends inside a longer run of letters and digits.
 CANDIDATE = rf"(?<![A-Za-z0-9_+.-])(?:{EMAIL}|{SECRET}|{IBAN}|{SSN}|{DATE}|{IP}(?!\.?[0-9])|{PHONE}|{CARD})(?![A-Za-z0-9_])"
 
@@ -96,15 +117,50 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, b: a + b)
 
 
-def card(match: Column, key: str) -> Column:
+def _valid_card(digits: Column) -> Column:
+    return digits.rlike("^[2-6]") & (luhn_sum(digits) % 10 == 0)
+
+
+def _one_card(match: Column, key: str) -> Column:
     """The first digit (the network's, 2 to 6) stays, the others are permuted, and the last makes the Luhn sum right."""
 
     def run(d: Column) -> Column:
         moved = permute_digits(F.substring(d, F.lit(2), F.length(d) - 2), key, "card")
         return _let(F.concat(F.substring(d, 1, 1), moved), lambda p: put_digits(match, F.concat(p, F.pmod(-luhn_sum(F.concat(p, F.lit("0"))), F.lit(10)).cast("string"))))
 
-    digits = digits_of(match)
-    return F.when(digits.rlike("^[2-6]") & (luhn_sum(digits) % 10 == 0), _let(digits, run))
+    return _let(digits_of(match), run)
+
+
+def card(match: Column, key: str) -> Column:
+    """struct(new, n): the run of digits with its n cards replaced; new is null if there is none.
+
+    From group to group, what is written like a card and validates is one; so an expiry date or a code beside
+    it does not matter. Only where no group begins such a card, stretches of up to 19 digits count whole.
+    """
+
+    def walk(pieces: Column, forms: tuple[str, ...], passing: bool) -> Column:
+        start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"), F.lit(0).alias("n"))
+
+        def step(acc: Column, i: Column) -> Column:
+            head = F.regexp_replace(F.array_join(F.slice(pieces, i, F.lit(19)), ""), "^[ -]", "")
+            lead = F.regexp_extract(F.element_at(pieces, i), "^[ -]?", 0)
+
+            def found(h: Column) -> Column:
+                made = F.array(*[F.regexp_extract(h, f"^(?:{f})(?![0-9])", 0) for f in forms])
+                return F.get(F.filter(made, lambda m: (m != "") & (F.lit(passing) | _valid_card(digits_of(m)))), 0)
+
+            def put(m: Column) -> Column:
+                ok = _valid_card(digits_of(m)) if passing else F.lit(True)
+                return F.when(m.isNull(), F.struct((i + 1).alias("at"), F.concat(acc["out"], F.element_at(pieces, i)).alias("out"), acc["n"].alias("n"))).otherwise(
+                    _let(ok, lambda o: F.struct((i + F.size(F.split(m, "[ -]"))).alias("at"), F.concat(acc["out"], lead, F.when(o, _one_card(m, key)).otherwise(m)).alias("out"), (acc["n"] + F.when(o, 1).otherwise(0)).alias("n")))
+                )
+
+            return F.when(i < acc["at"], acc).otherwise(_let(_let(head, found), put))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(pieces)), start, step, lambda acc: F.struct(F.when(acc["n"] > 0, acc["out"]).alias("new"), acc["n"].alias("n")))
+
+    pieces = F.regexp_extract_all(match, F.lit("[ -]?[0-9]+"), F.lit(0))
+    return _let(pieces, lambda p: _let(walk(p, CARD_FORMS, False), lambda w: F.when(w["n"] > 0, w).otherwise(walk(p, (CARD_RUN,), True))))
 
 
 def _mod97(text: Column) -> Column:
@@ -128,9 +184,14 @@ def iban(match: Column, key: str) -> Column:
 
 
 def phone(match: Column, key: str) -> Column:
-    """The ten digits of area, exchange and line; a country code before them and all punctuation stay."""
-    moved = lambda d: put_digits(match, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), permute_digits(F.right(d, F.lit(10)), key, "phone")))
-    return _let(digits_of(match), moved)
+    """The digits after the country code, without one all ten; the code, a trunk zero in brackets and all punctuation stay."""
+
+    def run(d: Column) -> Column:
+        code = F.length(F.regexp_extract(d, COUNTRY, 0)) + F.when(F.contains(match, F.lit("(0)")), 1).otherwise(0)
+        fixed = F.when(F.startswith(match, F.lit("+")), code).otherwise(F.length(d) - 10)
+        return _let(fixed, lambda n: put_digits(match, F.concat(F.substring(d, F.lit(1), n), permute_digits(F.substring(d, n + 1, F.length(d)), key, "phone"))))
+
+    return _let(digits_of(match), run)
 
 
 def ssn(match: Column, key: str) -> Column:
@@ -234,9 +295,11 @@ def classify(match: Column) -> Column:
 
 
 def pseudonym(match: Column, kind: Column, key: str) -> Column:
-    """The pseudonym of a candidate, or null if it does not validate."""
-    made = {"email": email, "secret": secret, "iban": iban, "ssn": ssn, "date": date, "ip": ip, "phone": phone, "card": card}
-    return reduce(lambda rest, k: F.when(kind == k, made[k](match, key)).otherwise(rest), made, F.lit(None).cast("string"))
+    """struct(new, n): the pseudonym of a candidate, or null if nothing in it validates, and how many values it replaces."""
+    made = {"email": email, "secret": secret, "iban": iban, "ssn": ssn, "date": date, "ip": ip, "phone": phone}
+    one = reduce(lambda rest, k: F.when(kind == k, made[k](match, key)).otherwise(rest), made, F.lit(None).cast("string"))
+    counted = _let(one, lambda v: F.struct(v.alias("new"), F.when(v.isNull(), 0).otherwise(1).alias("n")))
+    return F.when(kind == "card", card(match, key)).otherwise(counted)
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,15 +313,16 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     some = text.rlike("[0-9]|@")
     rows = rows.withColumn("__found", F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    values = F.transform(F.col("__found"), lambda m: _let(classify(m), lambda k: F.struct(m.alias("old"), k.alias("kind"), pseudonym(m, k, key).alias("new"))))
-    rows = rows.withColumn("__values", F.when(F.size("__found") > 0, values).otherwise(F.array().cast("array<struct<old:string,kind:string,new:string>>")))
+    values = F.transform(F.col("__found"), lambda m: _let(classify(m), lambda k: _let(pseudonym(m, k, key), lambda v: F.struct(m.alias("old"), k.alias("kind"), v["new"].alias("new"), v["n"].alias("n")))))
+    rows = rows.withColumn("__values", F.when(F.size("__found") > 0, values).otherwise(F.array().cast("array<struct<old:string,kind:string,new:string,n:int>>")))
     parts = F.split(text, CANDIDATE)
     pieces = F.zip_with(parts, F.col("__values"), lambda p, v: F.concat(p, F.coalesce(v["new"], v["old"], F.lit(""))))
     count = lambda test: F.size(F.filter(F.col("__values"), test)).cast("long")
-    of_kind = lambda k: lambda v: (v["kind"] == k) & v["new"].isNotNull()
+    of_kind = lambda k: lambda v: v["kind"] == k
+    total = lambda test: F.aggregate(F.filter(F.col("__values"), test), F.lit(0), lambda a, v: a + v["n"]).cast("long")
     return rows.select(
         "doc_id", F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(text).alias("text"),
-        count(lambda v: v["new"].isNotNull()).alias("n_found"),
-        *[count(of_kind(k)).alias(f"n_{k}") for k in KINDS],
+        total(lambda v: v["new"].isNotNull()).alias("n_found"),
+        *[total(of_kind(k)).alias(f"n_{k}") for k in KINDS],
         count(lambda v: v["new"].isNull()).alias("n_invalid"),
     )

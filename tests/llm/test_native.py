@@ -222,6 +222,26 @@ def test_pii(spark):
     assert pii.pseudonymise(given.limit(0), "k").count() == 0
 
 
+BESIDE = [
+    ("card 4111 1111 1111 1111 12/27", ["4111 1111"], ["12/27"], 1), ("4111111111111111 123", ["4111111111111111"], [" 123"], 1), ("no 12 4111-1111-1111-1111 2027 123", ["4111-"], ["no 12 ", " 2027 123"], 1),
+    ("4111 1111 1111 1111 5500 0000 0000 0004", ["4111", "5500 0000"], [], 2), ("4111 1111 1111 1111 078-05-1120", ["4111", "078-05-1120"], [], 2), ("3782 822463 10005 1234", ["822463"], [" 1234"], 1),
+    ("ES91 2100 0418 4502 0005 1332 BIC: X", ["2100 0418"], [" BIC: X"], 1), ("AT611904300234573201 EUR", ["1904300234573201"], ["AT", " EUR"], 1), ("BE68 5390 0754 7034 EUR", ["5390 0754"], [" EUR"], 1),
+    ("+49 30 12345678", ["12345678"], ["+49 "], 1), ("+33 1 42 68 53 00", ["42 68 53"], ["+33 "], 1), ("+44 (0)20 7946 0958", ["7946 0958"], ["+44 (0)"], 1), ("+4930123456 4111 1111 1111 1111", ["30123456", "4111 1111"], ["+49"], 2),
+    ("1 " * 6000 + "4111 1111 1111 1111", ["4111 1111"], [], 1), ("4111 1111 1111 1112 12/27", [], ["4111 1111 1111 1112 12/27"], 0),
+]
+
+
+def test_pii_beside_other_words(spark):
+    given = spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(BESIDE)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.pseudonymise(given, "k").collect()}
+    for k, (text, gone, kept, n) in enumerate(BESIDE):
+        new = out[k]["text"]
+        assert len(new) == len(text) and out[k]["n_found"] == n, (text[-40:], new[-40:])
+        assert not any(g in new for g in gone) and all(g in new for g in kept), (text[-40:], new[-40:])
+    alone = pii.pseudonymise(spark.createDataFrame([(1, "4111 1111 1111 1111")], "doc_id long, text string"), "k").first()["text"]
+    assert alone in out[0]["text"] and mod97(out[7]["text"][:-4]) == 1
+
+
 def test_feistel_is_a_bijection(spark):
     df = spark.range(17 * 43).select(pii.feistel(F.floor(F.col("id") / 43), F.col("id") % 43, 17, 43, "k", "t").alias("h"))
     got = {(r["h"]["left"], r["h"]["right"]) for r in df.collect()}

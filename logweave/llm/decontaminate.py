@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.frames import materialise, utf8, without_ids
+from logweave.llm.frames import materialise, own_name, utf8, without_ids
 
 WINDOW = 10
 SHINGLE = 3
@@ -327,9 +327,12 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of docs in which no window of an item occurs, with all columns. Rows with a null id stay."""
-    found = find_items(docs, items, id_col=id_col, text_col=text_col, **options)
-    hit = materialise(found.where("n_hit > 0").select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
-    return without_ids(docs, hit, id_col)
+    """Rows of docs in which no window of an item occurs, with all columns. The text alone decides, whatever
+    the id, so texts are named by their digests."""
+    key = own_name(docs, "digest")
+    keyed = docs.withColumn(key, F.unhex(F.md5(utf8(F.col(text_col)))))
+    found = find_items(keyed, items, id_col=key, text_col=text_col, **options)
+    hit = materialise(found.where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return without_ids(keyed, hit, key).drop(key)
 
 

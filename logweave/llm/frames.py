@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A set of ids is broadcast only while it has at most this many rows (8 bytes each).
+#: A set of ids or digests is broadcast only while it has at most this many rows (8 or 16 bytes each).
 BROADCAST_ROWS = 1_000_000
 
 
@@ -55,6 +55,12 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def row_key(df: DataFrame, text_col: str = "text") -> Column:
+    """128 bits of a digest over all columns: the identity of a row where ids are null or repeated. Equal rows share it."""
+    others = F.to_json(F.struct(*[df[c] for c in df.columns if c != text_col], F.lit(0).alias("__")))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("-")), others).cast("binary")))
+
+
 def digest60(text: Column) -> Column:
     """60 bits of MD5 as a long: a key that other SQL engines can compute, too."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.frames import BROADCAST_ROWS, materialise, own_name
+from logweave.llm.frames import BROADCAST_ROWS, materialise, own_name, row_key
 from logweave.llm.splitters import RANGES, plan_ranges, with_prefix
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -58,15 +58,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_c
     )
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ranges: int = RANGES) -> DataFrame:
-    """One row for each row of docs: id, size, source, source_size, target, copies and taken.
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ranges: int = RANGES, keyed: bool = True) -> DataFrame:
+    """One row for each row of docs: id, size, source, source_size, target, copies, taken, and if keyed row_key.
 
     size counts words, copies is how often the mix holds the document, taken is size * copies. A null text
     has size 0; null sources form one source, placed last; null ids sort first; equal rows share a key, and
     the order among them does not change the rows; an empty table gives no rows. A source without words has
     target 0 and no copies. Results depend on the rows alone, so reruns agree.
+    row_key is a digest of all columns of docs and settles the order of rows that share source, size and id.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
+    own = ["row_key"] if keyed else []
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), *([row_key(docs, text_col).alias("row_key")] if keyed else []))
     slim = materialise(slim, "mix-sizes")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     targets = materialise(source_targets(sizes, weights, max_copies), "mix-targets")
@@ -74,13 +76,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copie
     joined = slim.join(F.broadcast(targets) if few else targets, slim["source"].eqNullSafe(targets["source"])).select(
         "doc_id", slim["source"], "size", "source_size", "place", "first_rank", "target",
         (-F.col("size")).alias("__falling"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__id"), F.col("place").cast("long").alias("__place"), F.lit(1).cast("long").alias("__one"),
+        *own, *[F.xxhash64(c).alias("__row") for c in own],
     )
-    keys = ["__place", "__falling", "__id"]
+    keys = ["__place", "__falling", "__id"] + (["__row"] if keyed else [])
     ranked = with_prefix(joined, keys, "__one", plan_ranges(joined, keys, "__one", ranges))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.col("rank") - F.col("first_rank")
     return ranked.select(
-        "doc_id", "size", "source", "source_size", "target",
+        "doc_id", "size", "source", "source_size", "target", *own,
         (F.floor((at + 1) * rate + offset(F.col("source"), seed)) - F.floor(at * rate + offset(F.col("source"), seed))).alias("copies"),
     ).withColumn("taken", F.col("size") * F.col("copies"))
 
@@ -91,25 +94,24 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def expand(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mixed corpus: every document as often as it was taken, with the columns of docs.
+def expand(docs: DataFrame, mixed: DataFrame, text_col: str = "text") -> DataFrame:
+    """The mixed corpus: every row as often as it was taken, with the columns of docs, which must be those
+    that were mixed: rows are found again by their digests and not by their ids.
 
-    Rows that share an id are taken for one document, which comes as often as its rows were taken together.
+    Rows that are equal in all columns come as often as they were taken together.
     """
-    key, count = own_name(docs, "id"), own_name(docs, "copies")
-    copies = mixed.groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
-    copies = materialise(copies.select(F.col("doc_id").alias(key), F.col("copies").cast("int").alias(count), F.col("rows").alias(f"{count}_rows")), "mix-copies")
+    key, count = own_name(docs, "row"), own_name(docs, "copies")
+    keyed = docs.withColumn(key, row_key(docs, text_col))
+    copies = mixed.groupBy("row_key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    copies = materialise(copies.select(F.col("row_key").alias(key), F.col("copies").cast("int").alias(count), (F.col("rows") > 1).alias("many")), "mix-copies")
     few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    many = F.col(f"{count}_rows") > 1
 
     def taken(rows: DataFrame, which: DataFrame) -> DataFrame:
-        side = F.broadcast(which) if few else which
-        joined = rows.join(side, rows[id_col].eqNullSafe(side[key]))
+        joined = rows.join(F.broadcast(which) if few else which, key)
         return joined.withColumn(f"{count}_n", F.explode(F.sequence(F.lit(1), F.col(count)))).select(*[rows[c] for c in docs.columns])
 
-    once = taken(docs, copies.where(~many))
-    repeated = copies.where(many)
+    once = taken(keyed, copies.where("not many").drop("many"))
+    repeated = copies.where("many").drop("many")
     if repeated.isEmpty():
         return once
-    again = docs.join(repeated, docs[id_col].eqNullSafe(repeated[key]), "left_semi").dropDuplicates([id_col])
-    return once.union(taken(again, repeated))
+    return once.union(taken(keyed.join(repeated, key, "left_semi").dropDuplicates([key]), repeated))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.frames import materialise, utf8, without_ids
+from logweave.llm.frames import materialise, own_name, utf8, without_ids
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -179,9 +179,12 @@ def score_quality(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return slim.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {_OUT}")
 
 
-def keep_good(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that the rules keep, with all columns. Rows of one id are kept or dropped
-    together, and rows with a null id stay."""
-    scored = score_quality(docs, path, id_col, text_col, **options)
-    gone = materialise(scored.where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "low-quality")
-    return without_ids(docs, gone, id_col)
+def keep_good(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of docs that the rules keep, with all columns. Text and language alone decide, whatever the id,
+    so rows are named by a digest of both."""
+    key = own_name(docs, "digest")
+    both = F.concat(F.md5(utf8(F.col(text_col))), F.coalesce(F.concat(F.lit(":"), F.col(lang_col).cast("string")), F.lit("")))
+    keyed = docs.withColumn(key, F.unhex(F.md5(both.cast("binary"))))
+    scored = score_quality(keyed, path, key, text_col, lang_col, **options)
+    gone = materialise(scored.where("not kept").select(F.col("doc_id").alias(key)).distinct(), "low-quality")
+    return without_ids(keyed, gone, key).drop(key)

@@ -26,7 +26,7 @@ def op1_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), keyed=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

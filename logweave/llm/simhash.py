@@ -20,11 +20,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.components import connected_components
-from logweave.llm.frames import materialise, utf8, without_ids
+from logweave.llm.frames import materialise, own_name, row_key, utf8, without_ids
 
 WORDS = 3
 SEED = 42
@@ -81,8 +81,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def simhashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; null and blank texts have fingerprint 0."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("t"))
-    return slim.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return _prints(docs, F.col(id_col).cast("long"), text_col)
+
+
+def _prints(docs: DataFrame, name: Column, text_col: str) -> DataFrame:
+    slim = docs.select(name.alias("doc_id"), utf8(F.col(text_col)).alias("t"))
+    return slim.mapInArrow(_fingerprints, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _variants(buckets: int):
@@ -166,7 +170,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint and are one node. A null id keeps its row and is ignored in minima (the component of rows
     that all have null ids is null); rows with equal ids are separate rows. An empty table gives no rows.
     """
-    prints = materialise(simhashes(docs, id_col, text_col), "simhash")
+    return _components(simhashes(docs, id_col, text_col))
+
+
+def _components(named_prints: DataFrame) -> DataFrame:
+    prints = materialise(named_prints, "simhash")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = connected_components(fingerprint_links(nodes))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -180,10 +188,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those whose component has a smaller id: one document of each group stays.
+    """The rows of docs without those whose component has an earlier row: one row of each group stays.
 
-    Rows that share an id are one document, and rows with a null id stay.
+    Rows are ordered by id, null last, then by a digest of all columns; of equal rows one stays.
     """
-    found = materialise(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "simhash-components")
-    goes = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return without_ids(docs, goes, id_col)
+    key = own_name(docs, "row")
+    keyed = docs.withColumn(key, row_key(docs, text_col))
+    name = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(key).alias("key"))
+    found = _components(_prints(keyed, name, text_col)).select(F.col("doc_id.key").alias(key), (F.col("doc_id.key") != F.col("component_id.key")).alias("goes"))
+    moved = found.groupBy(key).agg(F.max("goes").alias("goes"), F.count(F.lit(1)).alias("n")).where("goes or n > 1")
+    moved = materialise(moved.select(key, "goes"), "simhash-components")
+    once = without_ids(keyed, moved.select(key), key).drop(key)
+    repeated = moved.where("not goes").select(key)
+    if repeated.isEmpty():
+        return once
+    return once.union(keyed.join(repeated, key, "left_semi").dropDuplicates([key]).drop(key))

@@ -1,5 +1,11 @@
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from logweave.llm import decontaminate, mixing, quality, simhash
 from logweave.llm.frames import table
+from logweave.llm.queries import vocabulary
 
 
 def test_stages_run_in_order(spark, sf):
@@ -20,3 +26,27 @@ def test_pipeline_of_an_empty_table(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame([], stage(spark, docs, sf).schema)
     assert docs.count() == 0
+
+
+def test_rows_without_a_unique_id(spark, sf):
+    good = [r["text"] for r in quality.keep_good(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model")).where("lang = 'en'").orderBy("doc_id").limit(4).collect()]
+    assert len(set(good)) == 4
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    junk = "# $ % " * 60
+    rows = [(None, junk), (None, good[0]), (7, junk), (7, good[1]), (None, None)]
+    assert texts(quality.keep_good(frame(rows), vocabulary("piece_bpe_32k.model"))) == Counter({(None, good[0]): 1, (7, good[1]): 1})
+
+    rows = [(None, good[0]), (None, good[0]), (7, good[1]), (7, good[1]), (8, good[2]), (None, good[2]), (8, good[3])]
+    assert texts(simhash.keep_one(frame(rows))) == Counter({(None, good[0]): 1, (7, good[1]): 1, (8, good[2]): 1, (8, good[3]): 1})
+
+    bench = spark.createDataFrame([(1, " ".join(good[0].split()[:20]))], "item_id long, text string")
+    rows = [(None, good[0]), (None, good[1]), (7, good[0]), (7, good[2]), (7, good[2])]
+    assert texts(decontaminate.drop_contaminated(frame(rows), bench)) == Counter({(None, good[1]): 1, (7, good[2]): 2})
+
+    rows = [(None if k % 2 else 7, "w " * (k + 1) + str(k)) for k in range(30)] + [(None, "w w"), (None, "w w")] + [(5, f"x{k}") for k in range(9)]
+    mixed = mixing.mix_sources(frame(rows))
+    taken = {r["row_key"]: r["copies"] for r in mixed.groupBy("row_key").agg(F.sum("copies").alias("copies")).collect()}
+    got = mixing.expand(frame(rows), mixed)
+    assert len(taken) == len(set(rows)) and got.count() == sum(taken.values()) == len(rows)
+    assert set(texts(got)) == set(rows) and texts(mixing.expand(frame(rows[::-1]), mixing.mix_sources(frame(rows[::-1]), ranges=5))) == texts(got)

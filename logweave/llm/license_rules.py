@@ -30,9 +30,9 @@ NAMED = [
     ("apache-2.0", "apache", r"apache (?:software )?license (?:version |v )?2(?: 0)?", r"apache 2(?: 0)?"),
     ("apache-1.1", "apache", r"apache (?:software )?license (?:version |v )?1 1", r"apache 1 1"),
     ("apache-1.0", "apache", r"apache (?:software )?license (?:version |v )?1 0", r"apache 1 0"),
-    ("mit", "mit", r"(?:the )?mit x11 license|mit licence|mit expat license|expat license", r"mit"),
+    ("mit", "mit|expat", r"(?:the )?mit x11 license|mit licence|mit expat license|expat license", r"mit"),
     ("mit-0", "mit", r"mit no attribution(?: license)?", r"mit 0"),
-    ("x11", "x11", r"x11 license|x consortium license", r"x11"),
+    ("x11", "x11|x consortium", r"x11 license|x consortium license", r"x11"),
     ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd|freebsd) license", r"bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd) license", r"bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|old bsd|bsd 4 clause|4 clause bsd|four clause bsd) license", r"bsd 4 clause"),
@@ -140,8 +140,8 @@ SENTENCES = [
     ("copyright-notice", 0.4, "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?"),
 ]
 
-#: Words of which a document must have one before any rule's keyword is looked for.
-STEMS = ("licen", "copyright", "gpl", "spdx", "rights reserved", "public domain", "common", "permission", "redistribution", "warrant", "proprietary", "prohibited", "apache", "mozilla", "unencumbered", "misrepresented", "advertising", "endorse", "reserved font", "non commercial", "cc0", "what the")
+#: Words of which a document must have one before any rule's keyword is looked for; every match of a rule has one.
+STEMS = ("licen", "copyright", "gpl", "spdx", "rights reserved", "public domain", "common", "permission", "redistribution", "warrant", "proprietary", "prohibited", "apache", "mozilla", "unencumbered", "misrepresented", "advertising", "endorse", "reserved font", "non commercial", "cc0", "what the", " cc by ", " mit no attribution ", " under mit ", " under the mit ")
 
 
 def rules() -> list[Rule]:

@@ -36,12 +36,19 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dir
 SPACES = frozenset("br td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-#: Words of class and id values that mark what is not article text.
+#: Whole class names and ids that mark what is not article text, alone or with PARTS in a compound.
 CUES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices "
     "newsletter subscribe subscription signup paywall nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets related recommended "
     "share sharing social footer masthead topbar toolbar popup modal overlay comment comments commentlist disqus respond replies pagination pager login search skip skiplink".split()
 )
+PARTS = frozenset(
+    "site main page post posts article articles story stories content global primary secondary top bottom left right header inner outer box boxes bar container wrapper wrap list lists item items "
+    "form forms button buttons btn link links icon icons area section block blocks slot unit title label toggle text".split()
+)
+#: Of the cues those that hold even where cues have removed most of a page.
+READERS = frozenset("comment comments commentlist disqus respond replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -49,25 +56,38 @@ _WORD = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _unwanted(name: str, attributes: str) -> bool:
-    """Whether an element is none of the article's, by its name or attributes."""
+def _cue(name: str, cues: frozenset[str]) -> bool:
+    words = _WORD.findall(_CAMEL.sub(" ", name).lower())
+    return not cues.isdisjoint(words) and all(w in CUES or w in PARTS or w.isdigit() for w in words)
+
+
+def _unwanted(name: str, attributes: str, cues: frozenset[str], inside: bool) -> bool:
+    """Whether an element is none of the article's, by its name or attributes. Headings' names and, inside an
+    article, sections' ids are made from the text and say nothing."""
     if "=" not in attributes and "hidden" not in attributes:
         return False
     if name in ("html", "body", "main"):
         return False
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), unescape(value.strip("\"'"))
-        if key in ("class", "id") and not CUES.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
+        named = name not in HEADINGS and (key == "class" or key == "id" and not (inside and name == "section"))
+        if named and any(_cue(v, cues) for v in value.split()):
             return True
         if key == "role" and value.lower() in ROLES or key == "style" and _HIDDEN.search(value) or key == "aria-hidden" and value == "true":
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes, re.I)) and "aria-hidden" not in attributes
 
 
-def read_blocks(html: str, cues: bool = True) -> tuple[list[str], list[str], list[str]]:
-    """Blocks inside articles, inside a main part, and elsewhere; elements passed over are in none. Without
-    cues, only elements' names count, and not their attributes."""
-    inside: dict[str, list[str]] = {"article": [], "main": [], "": []}
+def read_blocks(html: str, cues: frozenset[str] | bool = True) -> tuple[list[str], list[str], list[str]]:
+    """Blocks inside articles, inside a main part, and elsewhere; elements passed over are in none."""
+    placed = ordered_blocks(html, CUES if cues is True else cues or None)
+    return tuple([b for w, b in placed if w == where] for where in ("article", "main", ""))
+
+
+def ordered_blocks(html: str, cues: frozenset[str] | None = CUES) -> list[tuple[str, str]]:
+    """(article, main or nothing; text) of each block in page order. Without cues, only elements' names
+    count, and not their attributes."""
+    placed: list[tuple[str, str]] = []
     depth = {"article": 0, "main": 0}
     piece: list[str] = []
     skip, nested = "", 0  # the element that is passed over, and how often it is open
@@ -84,7 +104,7 @@ def read_blocks(html: str, cues: bool = True) -> tuple[list[str], list[str], lis
             piece.clear()
             if words:
                 where = "article" if depth["article"] else "main" if depth["main"] else ""
-                inside[where].append(" ".join(words))
+                placed.append((where, " ".join(words)))
 
     while at < size:
         m = _TAG.search(html, at)
@@ -104,7 +124,7 @@ def read_blocks(html: str, cues: bool = True) -> tuple[list[str], list[str], lis
             implied = name in BLOCKS and name != skip if ends else name in BLOCKS
             if implied and (skip == "p" or skip not in BLOCKS):
                 skip, nested = "", 0  # a paragraph or an inline element ends where a block begins or ends
-            elif not ends and name in depth and name != skip and not (cues and _unwanted(name, m[3])):
+            elif not ends and name in depth and name != skip and not (cues and _unwanted(name, m[3], cues, False)):
                 skip, nested = "", 0  # what was passed over has never been closed
             else:
                 if name == skip:
@@ -129,7 +149,7 @@ def read_blocks(html: str, cues: bool = True) -> tuple[list[str], list[str], lis
             continue
         if name in VOID:
             continue
-        odd = cues and _unwanted(name, m[3])
+        odd = cues and _unwanted(name, m[3], cues, depth["article"] > 0)
         if name == "header" and depth["article"] and not odd:
             heading = True
             continue
@@ -143,7 +163,20 @@ def read_blocks(html: str, cues: bool = True) -> tuple[list[str], list[str], lis
         if name in depth:
             depth[name] += 1
     close()
-    return inside["article"], inside["main"], inside[""]
+    return placed
+
+
+def page_blocks(html: str) -> list[tuple[str, str]]:
+    """The blocks of a page; if cues have removed most of its text, they were a wrapper's, and count no more."""
+    size = lambda placed: sum(len(b) for _, b in placed)
+    own = ordered_blocks(html)
+    for fewer in (READERS, None):
+        if own and fewer is None:
+            break
+        more = ordered_blocks(html, fewer)
+        if 2 * size(own) < size(more):
+            own = more
+    return own
 
 
 def _after(html: str, at: int, name: str) -> int:
@@ -157,9 +190,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, blocks = [], []
         for html in b.column("html").to_pylist():
-            article, main, other = read_blocks(html or "")
-            if html and not (article or main or other):  # a wrapper's attributes have hidden everything
-                article, main, other = read_blocks(html, False)
+            article, main, other = ([b for w, b in placed if w == where] for placed in [page_blocks(html or "")] for where in ("article", "main", ""))
             marked = article or main
             texts.append("\n\n".join(marked) if marked else None)
             blocks.append(other)

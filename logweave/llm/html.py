@@ -186,16 +186,23 @@ def _after(html: str, at: int, name: str) -> int:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text is null where the page marks no article; then blocks has what is undecided."""
+    """text is null where something is undecided; then blocks has the page's blocks in order and sure those
+    that stay anyway. An article's blocks are sure, but may be teasers, so the page's other text is undecided;
+    without one, a main part's blocks are the text."""
     for b in batches:
-        texts, blocks = [], []
+        texts, blocks, sures = [], [], []
         for html in b.column("html").to_pylist():
-            article, main, other = ([b for w, b in placed if w == where] for placed in [page_blocks(html or "")] for where in ("article", "main", ""))
-            marked = article or main
-            texts.append("\n\n".join(marked) if marked else None)
-            blocks.append(other)
+            placed = page_blocks(html or "")
+            if not any(w == "article" for w, _ in placed) and any(w == "main" for w, _ in placed):
+                placed = [("article", t) for w, t in placed if w == "main"]
+            sure = [w == "article" for w, _ in placed]
+            decided = bool(placed) and all(sure)
+            texts.append("\n\n".join(t for _, t in placed) if decided else None)
+            blocks.append([] if decided else [t for _, t in placed])
+            sures.append([] if decided else sure)
         columns = [b.column(c) for c in ("page_id", "url", "host", "part")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(blocks, pa.list_(pa.string()))], ["page_id", "url", "host", "part", "text", "blocks"])
+        made = [pa.array(texts, pa.string()), pa.array(blocks, pa.list_(pa.string())), pa.array(sures, pa.list_(pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([*columns, *made], ["page_id", "url", "host", "part", "text", "blocks", "sure"])
 
 
 def shared_tokens(pages: list[list[list[str]]], run: int = RUN, share: float = PAGE_SHARE) -> list[list[np.ndarray]]:
@@ -248,14 +255,14 @@ def shared_tokens(pages: list[list[list[str]]], run: int = RUN, share: float = P
 def _decide(pages: list[dict]) -> list[str]:
     if all(p["text"] is not None for p in pages):
         return [p["text"] for p in pages]
-    split = [[b.split(" ") for b in p["blocks"] or []] for p in pages]
-    shared = shared_tokens(split)
+    shared = shared_tokens([[b.split(" ") for b, sure in zip(p["blocks"], p["sure"], strict=True) if not sure] for p in pages])
     out = []
     for p, own in zip(pages, shared, strict=True):
         if p["text"] is not None:
             out.append(p["text"])
         else:
-            out.append("\n\n".join(b for b, c in zip(p["blocks"] or [], own, strict=True) if c.mean() < COVERED))
+            covered = iter(own)
+            out.append("\n\n".join(b for b, sure in zip(p["blocks"], p["sure"], strict=True) if sure or next(covered).mean() < COVERED))
     return out
 
 
@@ -296,6 +303,6 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     dealt = slim.join(F.broadcast(parts) if few else parts, F.col("host") == F.col("__host"))
     dealt = dealt.select("page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).alias("part"))
     kind = pages.schema[id_col].dataType.simpleString()
-    parsed = dealt.mapInArrow(_parse, f"page_id {kind}, url string, host string, part long, text string, blocks array<string>")
+    parsed = dealt.mapInArrow(_parse, f"page_id {kind}, url string, host string, part long, text string, blocks array<string>, sure array<boolean>")
     sorted_groups = parsed.repartition("host", "part").sortWithinPartitions("host", "part")
     return sorted_groups.mapInArrow(_groups, f"page_id {kind}, url string, text string, n_chars long")

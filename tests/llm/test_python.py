@@ -248,6 +248,15 @@ def test_cues_are_whole_names(spark):
     assert out[1].count("all the text") == 3 and out[1].endswith("note") and out[2] == "short"
 
 
+def test_teasers_do_not_hide_the_body(spark):
+    body = {k: " ".join(f"word{k}x{j}" for j in range(40)) for k in range(6)}
+    foot = "<div>Contact us at this place or by phone any time of day</div>"
+    page = lambda k, wrap: f"<{wrap}><p>{body[k]}</p></{wrap}><article><p>teaser {k}</p></article>{foot}"
+    rows = [(k, f"https://h.org/{k}", page(k, "main" if k % 2 else "div")) for k in body]
+    got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == {k: f"{t}\n\nteaser {k}" for k, t in body.items()}
+
+
 def test_suffix_array_removes_what_pages_of_a_host_share(spark):
     rng = random.Random(2)
     prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40))

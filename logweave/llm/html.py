@@ -4,7 +4,7 @@ A page is read into blocks in page order. Elements that are never article text (
 footers, asides, forms, scripts, notices, adverts, reader comments) are passed over; where a page marks its
 article (or its main part), the blocks inside are the text. Everything else is undecided: such blocks and
 the other unmarked text of the host's pages form token streams, concatenated and sorted as suffixes, and
-stretches that distinct pages share are boilerplate; blocks that are mostly covered go, unique runs stay.
+stretches that distinct pages share are boilerplate; covered runs of tokens are cut out of their blocks, unique runs stay.
 
 Marked articles are not cut by the suffix array: pages quote and copy each other, and the passages they
 share are text. A host's pages are dealt into groups of bounded bytes, so a host of any size works; what is
@@ -26,8 +26,8 @@ from logweave.llm.frames import materialise
 
 #: Bytes of html in one group of a host's pages.
 GROUP_BYTES = 4_000_000
-#: Tokens that a shared stretch has at least, and the share of a group's distinct pages that have it.
-RUN, PAGE_SHARE, COVERED = 8, 0.2, 0.6
+#: Tokens that a shared stretch has at least, and the share of a group's distinct pages that have it, up to so many pages.
+RUN, PAGE_SHARE, PAGES = 8, 0.2, 5
 HOSTS_BROADCAST = 100_000
 
 RAW = frozenset("script style textarea title noscript template svg iframe object select button canvas audio video math xmp noframes noembed map".split())
@@ -205,7 +205,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, *made], ["page_id", "url", "host", "part", "text", "blocks", "sure"])
 
 
-def shared_tokens(pages: list[list[list[str]]], run: int = RUN, share: float = PAGE_SHARE) -> list[list[np.ndarray]]:
+def shared_tokens(pages: list[list[list[str]]], run: int = RUN, share: float = PAGE_SHARE, most: int | None = None) -> list[list[np.ndarray]]:
     """For each page and block, which tokens lie in a stretch of ``run`` tokens that enough distinct pages have.
 
     Suffixes of the concatenated streams are sorted by prefix doubling up to run tokens; neighbours of one
@@ -235,7 +235,7 @@ def shared_tokens(pages: list[list[list[str]]], run: int = RUN, share: float = P
         depth += step
     pairs = np.unique(rank * (len(pages) + 1) + page)
     distinct = np.bincount(pairs // (len(pages) + 1), minlength=int(rank.max()) + 1 if len(rank) else 0)
-    need = max(2, int(np.ceil(share * len(content))))
+    need = max(2, min(int(np.ceil(share * len(content))), most or len(pages)))
     begins = np.flatnonzero(distinct[rank] >= need) if len(rank) else np.zeros(0, np.int64)
     edge = np.zeros(len(tokens) + run + 1, dtype=np.int64)
     np.add.at(edge, begins, 1)
@@ -252,17 +252,22 @@ def shared_tokens(pages: list[list[list[str]]], run: int = RUN, share: float = P
     return out
 
 
+def _rest(block: str, covered: np.ndarray) -> str:
+    return block if not covered.any() else " ".join(w for w, c in zip(block.split(" "), covered, strict=True) if not c)
+
+
 def _decide(pages: list[dict]) -> list[str]:
     if all(p["text"] is not None for p in pages):
         return [p["text"] for p in pages]
-    shared = shared_tokens([[b.split(" ") for b, sure in zip(p["blocks"], p["sure"], strict=True) if not sure] for p in pages])
+    shared = shared_tokens([[b.split(" ") for b, sure in zip(p["blocks"], p["sure"], strict=True) if not sure] for p in pages], most=PAGES)
     out = []
     for p, own in zip(pages, shared, strict=True):
         if p["text"] is not None:
             out.append(p["text"])
         else:
             covered = iter(own)
-            out.append("\n\n".join(b for b, sure in zip(p["blocks"], p["sure"], strict=True) if sure or next(covered).mean() < COVERED))
+            kept = [b if sure else _rest(b, next(covered)) for b, sure in zip(p["blocks"], p["sure"], strict=True)]
+            out.append("\n\n".join(b for b in kept if b))
     return out
 
 

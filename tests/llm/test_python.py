@@ -267,6 +267,14 @@ def test_suffix_array_removes_what_pages_of_a_host_share(spark):
         assert {r["page_id"]: r["text"] for r in got.collect()} == own
 
 
+def test_covered_runs_are_cut_out_of_blocks(spark):
+    menu = "Menu One Two Three Four Five Six Seven Eight"
+    own = {k: " ".join(f"w{k}x{j}" for j in range(4 if k % 2 else 40)) for k in range(60)}
+    rows = [(k, f"https://h.org/{k}", f"<div>{menu} {t}</div>" if k < 10 else f"<div>{t}</div>") for k, t in own.items()]
+    got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in got.collect()} == own
+
+
 def brute_shared(pages, run, share):
     content = {}
     owner = [content.setdefault(tuple(map(tuple, p)), k) for k, p in enumerate(pages)]

@@ -6,9 +6,9 @@ article (or its main part), the blocks inside are the text. Everything else is u
 the other unmarked text of the host's pages form token streams, concatenated and sorted as suffixes, and
 stretches that distinct pages share are boilerplate; covered runs of tokens are cut out of their blocks, unique runs stay.
 
-Marked articles are not cut by the suffix array: pages quote and copy each other, and the passages they
-share are text. A host's pages are dealt into groups of bounded bytes, so a host of any size works; what is
-on every page of a host is on every page of each group.
+Blocks of marked articles lose only stretches that are on most of a host's pages, and only on hosts with a few
+pages: pages quote and copy each other, and such passages are text. A host's pages are dealt into groups of
+bounded bytes, so a host of any size works; what is on most pages of a host is on most pages of each group.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from logweave.llm.frames import materialise
 GROUP_BYTES = 4_000_000
 #: Tokens that a shared stretch has at least, and the share of a group's distinct pages that have it, up to so many pages.
 RUN, PAGE_SHARE, PAGES = 8, 0.2, 5
+#: The same for blocks of marked articles: more than this share, where so many distinct pages have any.
+ARTICLE_SHARE, ARTICLE_PAGES = 0.51, 4
 HOSTS_BROADCAST = 100_000
 
 RAW = frozenset("script style textarea title noscript template svg iframe object select button canvas audio video math xmp noframes noembed map".split())
@@ -186,23 +188,19 @@ def _after(html: str, at: int, name: str) -> int:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text is null where something is undecided; then blocks has the page's blocks in order and sure those
-    that stay anyway. An article's blocks are sure, but may be teasers, so the page's other text is undecided;
-    without one, a main part's blocks are the text."""
+    """blocks has the page's blocks in order and sure whether they are an article's. They may be teasers, so the
+    page's other text is undecided; without an article, a main part's blocks are taken for one."""
     for b in batches:
-        texts, blocks, sures = [], [], []
+        blocks, sures = [], []
         for html in b.column("html").to_pylist():
             placed = page_blocks(html or "")
             if not any(w == "article" for w, _ in placed) and any(w == "main" for w, _ in placed):
                 placed = [("article", t) for w, t in placed if w == "main"]
-            sure = [w == "article" for w, _ in placed]
-            decided = bool(placed) and all(sure)
-            texts.append("\n\n".join(t for _, t in placed) if decided else None)
-            blocks.append([] if decided else [t for _, t in placed])
-            sures.append([] if decided else sure)
+            blocks.append([t for _, t in placed])
+            sures.append([w == "article" for w, _ in placed])
         columns = [b.column(c) for c in ("page_id", "url", "host", "part")]
-        made = [pa.array(texts, pa.string()), pa.array(blocks, pa.list_(pa.string())), pa.array(sures, pa.list_(pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([*columns, *made], ["page_id", "url", "host", "part", "text", "blocks", "sure"])
+        made = [pa.array(blocks, pa.list_(pa.string())), pa.array(sures, pa.list_(pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([*columns, *made], ["page_id", "url", "host", "part", "blocks", "sure"])
 
 
 def shared_tokens(pages: list[list[list[str]]], run: int = RUN, share: float = PAGE_SHARE, most: int | None = None) -> list[list[np.ndarray]]:
@@ -257,17 +255,18 @@ def _rest(block: str, covered: np.ndarray) -> str:
 
 
 def _decide(pages: list[dict]) -> list[str]:
-    if all(p["text"] is not None for p in pages):
-        return [p["text"] for p in pages]
-    shared = shared_tokens([[b.split(" ") for b, sure in zip(p["blocks"], p["sure"], strict=True) if not sure] for p in pages], most=PAGES)
+    """Article blocks and undecided ones are compared among each other, as they have thresholds of their own."""
+    split = lambda sure: [[b.split(" ") for b, s in zip(p["blocks"], p["sure"], strict=True) if s == sure] for p in pages]
+    own = {False: [iter(x) for x in shared_tokens(split(False), most=PAGES)]}
+    articles = split(True)
+    some = [k for k, a in enumerate(articles) if a]
+    if len({tuple(map(tuple, articles[k])) for k in some}) >= ARTICLE_PAGES:
+        found = shared_tokens([articles[k] for k in some], share=ARTICLE_SHARE)
+        own[True] = dict(zip(some, map(iter, found), strict=True))
     out = []
-    for p, own in zip(pages, shared, strict=True):
-        if p["text"] is not None:
-            out.append(p["text"])
-        else:
-            covered = iter(own)
-            kept = [b if sure else _rest(b, next(covered)) for b, sure in zip(p["blocks"], p["sure"], strict=True)]
-            out.append("\n\n".join(b for b in kept if b))
+    for k, p in enumerate(pages):
+        kept = [b if s and True not in own else _rest(b, next(own[s][k])) for b, s in zip(p["blocks"], p["sure"], strict=True)]
+        out.append("\n\n".join(b for b in kept if b))
     return out
 
 
@@ -308,6 +307,6 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     dealt = slim.join(F.broadcast(parts) if few else parts, F.col("host") == F.col("__host"))
     dealt = dealt.select("page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).alias("part"))
     kind = pages.schema[id_col].dataType.simpleString()
-    parsed = dealt.mapInArrow(_parse, f"page_id {kind}, url string, host string, part long, text string, blocks array<string>, sure array<boolean>")
+    parsed = dealt.mapInArrow(_parse, f"page_id {kind}, url string, host string, part long, blocks array<string>, sure array<boolean>")
     sorted_groups = parsed.repartition("host", "part").sortWithinPartitions("host", "part")
     return sorted_groups.mapInArrow(_groups, f"page_id {kind}, url string, text string, n_chars long")

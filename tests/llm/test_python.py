@@ -275,6 +275,16 @@ def test_covered_runs_are_cut_out_of_blocks(spark):
     assert {r["page_id"]: r["text"] for r in got.collect()} == own
 
 
+def test_articles_lose_what_most_pages_of_a_host_have(spark):
+    share = "<p>Please share this post with all of your friends today</p>"
+    quote = "this passage is quoted by some pages of the host only"
+    own = {k: " ".join(f"w{k}x{j}" for j in range(20)) + (f" {quote}" if k < 4 else "") for k in range(12)}
+    rows = [(k, f"https://h.org/{k}", f"<article><p>{t}</p>{share}</article>") for k, t in own.items()]
+    rows += [(100 + k, f"https://few.org/{k}", f"<article><p>same copied text on every page of a small host</p><p>{k}</p></article>") for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: got[k] for k in own} == own and all(got[100 + k].startswith("same copied") for k in range(3))
+
+
 def brute_shared(pages, run, share):
     content = {}
     owner = [content.setdefault(tuple(map(tuple, p)), k) for k, p in enumerate(pages)]

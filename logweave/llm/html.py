@@ -169,11 +169,12 @@ def ordered_blocks(html: str, cues: frozenset[str] | None = CUES) -> list[tuple[
 
 
 def page_blocks(html: str) -> list[tuple[str, str]]:
-    """The blocks of a page; if cues have removed most of its text, they were a wrapper's, and count no more."""
+    """The blocks of a page; if cues have removed most of an unmarked page's text, or all of any, they were a
+    wrapper's, and count no more."""
     size = lambda placed: sum(len(b) for _, b in placed)
     own = ordered_blocks(html)
     for fewer in (READERS, None):
-        if own and fewer is None:
+        if own and (fewer is None or any(w for w, _ in own)):
             break
         more = ordered_blocks(html, fewer)
         if 2 * size(own) < size(more):

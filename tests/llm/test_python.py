@@ -243,6 +243,7 @@ def test_cues_are_whole_names(spark):
     assert read('<article><section id="related-work"><h2 id="social-media">A</h2><p>b</p></section><section id="search"><h2 id="search">C</h2></section><div class="search-results">d</div></article>')[0] == ["A", "b", "C", "d"]
     assert read('<article><p>a</p><div class="x related-posts">b</div><div id="shareButtons">c</div><section class="related">d</section></article>')[0] == ["a"]
     long = "<p>all the text of the page</p>" * 3
+    assert html.page_blocks(f'<article><p>short</p><div class="ad">{long}</div></article>') == [("article", "short")]
     given = [(1, "http://a.com", f'<div class="sidebar">{long}</div><p>note</p>'), (2, "http://b.com", f'<p>short</p><div class="comments">{long}</div>')]
     out = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(given, "page_id long, url string, html string")).collect()}
     assert out[1].count("all the text") == 3 and out[1].endswith("note") and out[2] == "short"

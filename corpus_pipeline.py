@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.llm import decontaminate, mixing, quality, sharding, simhash
-from logweave.llm.frames import materialise, table
+from logweave.llm.frames import discard, materialise, table, written
 from logweave.llm.queries import vocabulary
 
 #: The first stage scores texts with a tokeniser, which SQL cannot express.
@@ -33,7 +33,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.expand(docs, mixing.mix_sources(docs))
+    return mixing.mix_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,10 @@ STAGES = [("quality", quality_rules), ("near_duplicates", near_duplicates), ("de
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"stage-{name}")
+            discard(spark, mark, but=1)  # all but the stage's own result
     return docs

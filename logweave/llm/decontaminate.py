@@ -7,8 +7,10 @@ shingle's place in the window, and must lie inside the document (the length and
 then are the words compared.
 
 Documents are searched as flat byte and word arrays. Hashes of words only choose candidates; each hit's
-bytes are compared with the item's words. The index over the items goes to executors in blocks of bounded
-size, and the documents pass through one kernel for each block, so it works for benchmarks of any size.
+bytes are compared with the item's words. Where all items' texts are small by measure, their index goes to
+every task and the documents are searched in place. Any larger benchmark is joined by shuffling: documents
+emit the places whose shingle passes a bit table of fixed size, with the words around them, and these meet
+the windows on their anchors. Both ways read the documents twice, whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -20,15 +22,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.frames import materialise, own_name, utf8, without_ids
+from logweave.llm.frames import filter_rows, materialise, own_name, utf8, without_ids
 
 WINDOW = 10
 SHINGLE = 3
-#: Bytes of item text in one block of the index; it takes about 30 times as much memory.
+#: Bytes of item text up to which its index goes to every task; it takes about 30 times as much memory.
 BLOCK_BYTES = 2_000_000
+#: Bits (as a power of two) of the tables that documents' shingles must pass before they are shuffled.
+LOG_BITS = 26
 #: Bytes of document text that are tokenised together.
 CHUNK_BYTES = 1 << 20
 
@@ -284,55 +288,191 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items"])
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of about block_bytes of text, each gathered only when it is its turn."""
-    slim = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), utf8(F.col(text_col)).alias("t")).distinct()
-    total = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = -(-total // block_bytes)
-    for k in range(blocks):
-        part = slim.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == k)
-        yield sorted((r["id"], bytes(r["t"])) for r in part.collect())
+def _bits(keys: DataFrame, log: int) -> np.ndarray:
+    """A table of 2 ** log bits with one set for each key (column ``key``): merged by stretches of the table, so its
+    fixed size is all that reaches a task or the driver."""
+    stretch = 1 << 15
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << log, dtype=bool)
+        for b in batches:
+            own[_bit_of(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), log)] = True
+        packed = np.packbits(own)
+        some = [k for k in range(0, len(packed), stretch) if packed[k : k + stretch].any()]
+        for k in some:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed[k : k + stretch].tobytes()])], ["at", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                new = np.frombuffer(bits, np.uint8)
+                held[k] = held[k] | new if k in held else new
+        for k, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([bits.tobytes()])], ["at", "bits"])
+
+    out = np.zeros((1 << log) // 8, dtype=np.uint8)
+    for k, bits in keys.select("key").mapInArrow(partial, "at long, bits binary").repartition("at").mapInArrow(merge, "at long, bits binary").collect():
+        out[k : k + len(bits)] |= np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _bit_of(keys: np.ndarray, log: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - log)).astype(np.int64)
+
+
+def _held(packed: np.ndarray, keys: np.ndarray, log: int) -> np.ndarray:
+    at = _bit_of(keys, log)
+    return np.flatnonzero(packed[at >> 3] & (128 >> (at & 7)).astype(np.uint8))
+
+
+def _windows(window: int):
+    """(item, words, length, keys) of each distinct window of each item: its words, and its shingles' hashes in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher()
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = [b" ".join(w) for w in distinct_windows([(item, text)], window, hasher)]
+                keys = [_window_shingles(tuple(w.split(b" ")), hasher).view(np.int64).tolist() for w in words]
+                made = [pa.array([item] * len(words), pa.string()), pa.array([w.decode() for w in words], pa.string()), pa.array([w.count(b" ") + 1 for w in words], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(made, ["item", "words", "length", "keys"])
+
+    return run
+
+
+def _all_counts(shared, log: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, hasher = np.frombuffer(shared.value, np.uint8), _Hasher()
+        for batch in batches:
+            for _, group in _grouped(batch.column(0).to_pylist()):
+                hashes = tokenise(group, hasher).hashes
+                every = [shingles(hashes, n) for n in range(1, SHINGLE + 1)]
+                keys, n = np.unique(np.concatenate([k[_held(packed, k, log)] for k in every]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
+    return run
 
-def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+
+def _candidates(shared, log: int, window: int):
+    """For each document a row with its words' number, and one for each place whose shingle may be an anchor: the
+    place, and the words around it that any window with this shingle can reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed, hasher = np.frombuffer(shared.value, np.uint8), _Hasher()
+        for batch in batches:
+            kind = batch.column("doc_id").type
+            for first, group in _grouped(batch.column("t").to_pylist()):
+                words, n = tokenise(group, hasher), len(group)
+                sizes = np.diff(words.firsts)
+                heads = [batch.column("row").slice(first, n), batch.column("doc_id").slice(first, n), pa.array(sizes), *[pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.string())]]
+                names = ["row", "doc_id", "n_words", "key", "at", "low", "around"]
+                yield pa.RecordBatch.from_arrays(heads, names)
+                text_of = np.searchsorted(words.firsts, np.arange(len(words.hashes)), side="right") - 1
+                for k in range(1, SHINGLE + 1):
+                    keys = shingles(words.hashes, k)
+                    at = _held(packed, keys, log)
+                    for cut in range(0, len(at), 20_000):
+                        part = at[cut : cut + 20_000]
+                        own = text_of[part]
+                        low = np.maximum(words.firsts[own], part - window + 1)
+                        high = np.minimum(words.firsts[own + 1], part + window)
+                        around = [b" ".join(words.window(i, j - i)).decode() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+                        rows = batch.column("row").take(pa.array(first + own))
+                        made = [rows, pa.nulls(len(part), kind), pa.array(sizes[own]), pa.array(keys[part].view(np.int64)), pa.array(part - words.firsts[own]), pa.array(part - low), pa.array(around, pa.string())]
+                        yield pa.RecordBatch.from_arrays(made, names)
+
+    return run
+
+
+def _join_items(slim: DataFrame, items: DataFrame, window: int, log: int) -> DataFrame:
+    """The search as a shuffled join on windows' anchors, for benchmarks of any size: two passes over the documents."""
+    sc, kind = slim.sparkSession.sparkContext, slim.schema["doc_id"].dataType.simpleString()
+    windows = materialise(items.mapInArrow(_windows(window), "item string, words string, length long, keys array<long>"), "item-windows")
+    wanted = windows.select(F.explode("keys").alias("key")).distinct()
+    counted = slim.select("t").mapInArrow(_all_counts(sc.broadcast(_bits(wanted, log).tobytes()), log), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    placed = windows.select("item", "words", "length", F.posexplode("keys").alias("place", "key")).join(counted, "key", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "place"))
+    anchors = placed.groupBy("item", "words", "length").agg(rarest.alias("a")).select("item", "words", "length", "a.key", "a.place")
+    anchors = materialise(anchors, "item-anchors")
+    emit = _candidates(sc.broadcast(_bits(anchors, log).tobytes()), log, window)
+    numbered = slim.select(F.monotonically_increasing_id().alias("row"), "doc_id", "t")
+    seen = materialise(numbered.mapInArrow(emit, f"row long, doc_id {kind}, n_words long, key long, at long, low long, around string"), "item-candidates")
+    begin = F.col("at") - F.col("place")
+    fits = (begin >= 0) & (begin + F.col("length") <= F.col("n_words"))
+    same = F.array_join(F.slice(F.split("around", " "), (F.col("low") - F.col("place") + 1).cast("int"), F.col("length").cast("int")), " ") == F.col("words")
+    hits = seen.where("key is not null").join(anchors, "key").where(fits).where(same).select("row", "item", begin.alias("begin"), (begin + F.col("length")).alias("end"))
+    hits = materialise(hits, "item-hits")
+    before = Window.partitionBy("row").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("begin", F.coalesce(F.max("end").over(before), F.lit(0))))
+    n_hit = hits.select("row", "begin", "end").distinct().select("row", fresh.alias("fresh")).groupBy("row").agg(F.sum("fresh").alias("n_hit"))
+    found = hits.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    heads = seen.where("key is null").select("row", "doc_id", "n_words").join(n_hit.join(found, "row"), "row", "left")
+    items_of = F.coalesce("items", F.array().cast("array<string>"))
+    return heads.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), items_of.alias("items"))
+
+
+def _named_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), utf8(F.col(text_col)).alias("t")).distinct()
+
+
+def _small_index(texts: DataFrame, items: DataFrame, window: int, block_bytes: int) -> Index | None:
+    """The index over all items, if their measured text is small enough to be sent to every task; else nothing."""
+    if (items.agg(F.sum(F.octet_length("t") + F.octet_length("id"))).first()[0] or 0) > block_bytes:
+        return None
+    hasher, keys = _Hasher(), {}
+    held = sorted((r["id"], bytes(r["t"])) for r in items.collect())
+    for t in distinct_windows(held, window, hasher):
+        keys.setdefault(min(SHINGLE, len(t)), set()).update(_window_shingles(t, hasher).tolist())
+    kinds = {n: Lookup.of(np.array(sorted(ks), np.uint64))[0] for n, ks in keys.items()}
+    counter = _counter(texts.sparkSession.sparkContext.broadcast(pickle.dumps(kinds)))
+    counted = texts.mapInArrow(counter, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = {r["shingle"] % (1 << 64): r["n"] for r in counted.collect()}  # as many rows as the items have shingles, at most
+    return build_index(held, window, counts, hasher)
+
+
+def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, log_bits: int = LOG_BITS) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, items.
 
     n_hit counts the words inside any occurrence of a window, items lists the ids (as sorted strings) of
     the items with an occurring window. Null and empty texts have no words and hit nothing; items without
     words have no window; an item id that is null is named by the empty string; rows of one item id count
-    as one item; equal documents are found alike. Empty tables give no rows, or no hits.
+    as one item; equal documents are found alike. Empty tables give no rows, or no hits. Items of up to
+    block_bytes of text are searched in place, larger benchmarks by a shuffled join, with the same rows.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("t"))
-    empty = F.array().cast("array<long>"), F.array().cast("array<string>")
-    found = slim.select("doc_id", "t", empty[0].alias("runs"), empty[1].alias("items"), F.lit(0).cast("long").alias("n_words"))
-    schema, hasher = found.schema, _Hasher()
-    blocks = 0
-    for block in item_blocks(items, item_col, item_text, block_bytes):
-        keys: dict[int, set[int]] = {}
-        for t in distinct_windows(block, window, hasher):
-            keys.setdefault(min(SHINGLE, len(t)), set()).update(_window_shingles(t, hasher).tolist())
-        kinds = {n: Lookup.of(np.array(sorted(ks), np.uint64))[0] for n, ks in keys.items()}
-        counter = _counter(spark.sparkContext.broadcast(pickle.dumps(kinds)))
-        counted = slim.select("t").mapInArrow(counter, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        counts = {r["shingle"] % (1 << 64): r["n"] for r in counted.collect()}  # as many rows as the block has shingles, at most
-        index = build_index(block, window, counts, hasher)
-        found = found.mapInArrow(_matcher(spark.sparkContext.broadcast(pickle.dumps(index))), schema)
-        blocks += 1
-    if not blocks:  # no items: words are still counted
-        index = build_index([], window, {}, hasher)
-        found = found.mapInArrow(_matcher(spark.sparkContext.broadcast(pickle.dumps(index))), schema)
+    named = _named_items(items, item_col, item_text)
+    index = _small_index(slim.select("t"), named, window, block_bytes)
+    if index is None:
+        return _join_items(slim, named, window, log_bits)
+    found = slim.select("doc_id", "t", F.array().cast("array<long>").alias("runs"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
+    found = found.mapInArrow(_matcher(slim.sparkSession.sparkContext.broadcast(pickle.dumps(index))), found.schema)
     out = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>"
     return found.drop("t").mapInArrow(_finish, out)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of docs in which no window of an item occurs, with all columns. The text alone decides, whatever
-    the id, so texts are named by their digests."""
-    key = own_name(docs, "digest")
-    keyed = docs.withColumn(key, F.unhex(F.md5(utf8(F.col(text_col)))))
-    found = find_items(keyed, items, id_col=key, text_col=text_col, **options)
-    hit = materialise(found.where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
-    return without_ids(keyed, hit, key).drop(key)
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of docs in which no window of an item occurs, with all columns. The text alone decides, whatever the id:
+    a row is judged where it is, or, for a large benchmark, found again by its text's digest."""
+    index = _small_index(docs.select(utf8(F.col(text_col)).alias("t")), _named_items(items, item_col, item_text), window, block_bytes)
+    if index is None:
+        key = own_name(docs, "digest")
+        keyed = docs.withColumn(key, F.unhex(F.md5(utf8(F.col(text_col)))))
+        found = find_items(keyed, items, window, key, text_col, item_col, item_text, block_bytes)
+        hit = materialise(found.where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+        return without_ids(keyed, hit, key).drop(key)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(index))
+
+    def start():
+        held, hasher = pickle.loads(shared.value), _Hasher()
+
+        def clean(rows: list[tuple]) -> list[bool]:
+            keep = np.ones(len(rows), dtype=bool)
+            for first, group in _grouped([t or b"" for (t,) in rows]):
+                words = tokenise(group, hasher)
+                keep[first + np.searchsorted(words.firsts, search(words, held)[0], side="right") - 1] = False
+            return keep.tolist()
 
+        return clean
 
+    return filter_rows(docs, [text_col], start)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.frames import BROADCAST_ROWS, materialise, own_name, row_key
+from logweave.llm.frames import few_bytes, materialise, row_hash
 from logweave.llm.splitters import RANGES, plan_ranges, with_prefix
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -58,60 +58,52 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_c
     )
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ranges: int = RANGES, keyed: bool = True) -> DataFrame:
-    """One row for each row of docs: id, size, source, source_size, target, copies, taken, and if keyed row_key.
+def _placed(sized: DataFrame, weights: tuple[float, ...], max_copies: int, seed: str, ranges: int) -> DataFrame:
+    """``sized`` (stored; with __doc_id, __source, __size, __hash and __row) and source_size, target and copies."""
+    sizes = sized.groupBy(F.col("__source").alias("source")).agg(F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    targets = materialise(source_targets(sizes, weights, max_copies), "mix-targets")
+    few = targets.limit(SOURCES_BROADCAST + 1).count() <= SOURCES_BROADCAST and few_bytes(targets)
+    ranked = targets.select(F.col("source").alias("__of"), "source_size", "target", F.col("first_rank").alias("__first"), F.col("place").cast("long").alias("__place"))
+    joined = sized.join(F.broadcast(ranked) if few else ranked, sized["__source"].eqNullSafe(ranked["__of"])).drop("__of")
+    joined = joined.withColumn("__falling", -F.col("__size")).withColumn("__id", F.coalesce(F.col("__doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__one", F.lit(1).cast("long"))
+    keys = ["__place", "__falling", "__id", "__hash", "__row"]
+    ranked = with_prefix(joined, keys, "__one", plan_ranges(joined.select(*keys, "__one"), keys, "__one", ranges))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    at, start = F.col("__rank") - F.col("__first"), offset(F.col("__source"), seed)
+    return ranked.withColumn("copies", F.floor((at + 1) * rate + start) - F.floor(at * rate + start)).drop("__before", "__rank", *[k for k in keys if k != "__row"], "__one", "__first")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, hashed: Column) -> list[Column]:
+    return [F.col(id_col).alias("__doc_id"), F.col(source_col).alias("__source"), count_words(F.col(text_col)).alias("__size"), hashed.alias("__hash"), F.monotonically_increasing_id().alias("__row")]
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ranges: int = RANGES) -> DataFrame:
+    """One row for each row of docs: id, size, source, source_size, target, copies, taken.
 
     size counts words, copies is how often the mix holds the document, taken is size * copies. A null text
-    has size 0; null sources form one source, placed last; null ids sort first; equal rows share a key, and
-    the order among them does not change the rows; an empty table gives no rows. A source without words has
+    has size 0; null sources form one source, placed last; null ids sort first; the order among rows of equal
+    source, size and id does not change the rows; an empty table gives no rows. A source without words has
     target 0 and no copies. Results depend on the rows alone, so reruns agree.
-    row_key is a digest of all columns of docs and settles the order of rows that share source, size and id.
     """
-    own = ["row_key"] if keyed else []
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), *([row_key(docs, text_col).alias("row_key")] if keyed else []))
-    slim = materialise(slim, "mix-sizes")
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    targets = materialise(source_targets(sizes, weights, max_copies), "mix-targets")
-    few = targets.limit(SOURCES_BROADCAST + 1).count() <= SOURCES_BROADCAST
-    joined = slim.join(F.broadcast(targets) if few else targets, slim["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", slim["source"], "size", "source_size", "place", "first_rank", "target",
-        (-F.col("size")).alias("__falling"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__id"), F.col("place").cast("long").alias("__place"), F.lit(1).cast("long").alias("__one"),
-        *own, *[F.xxhash64(c).alias("__row") for c in own],
-    )
-    keys = ["__place", "__falling", "__id"] + (["__row"] if keyed else [])
-    ranked = with_prefix(joined, keys, "__one", plan_ranges(joined, keys, "__one", ranges))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    at = F.col("rank") - F.col("first_rank")
-    return ranked.select(
-        "doc_id", "size", "source", "source_size", "target", *own,
-        (F.floor((at + 1) * rate + offset(F.col("source"), seed)) - F.floor(at * rate + offset(F.col("source"), seed))).alias("copies"),
-    ).withColumn("taken", F.col("size") * F.col("copies"))
+    sized = materialise(docs.select(*_sized(docs, id_col, text_col, source_col, F.lit(0).cast("long"))), "mix-sizes")
+    placed = _placed(sized, weights, max_copies, seed, ranges)
+    return placed.select(F.col("__doc_id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source").alias("source"), "source_size", "target", "copies", (F.col("__size") * F.col("copies")).alias("taken"))
+
+
+def mix_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ranges: int = RANGES) -> DataFrame:
+    """The mixed corpus: every row of docs as often as the mix takes it, with all columns of docs.
+
+    Rows are ordered as in ``mix_sources`` and, where source, size and id are equal, by a hash of all columns. A row
+    travels through the ranges with its columns, so no join has to find it again.
+    """
+    names = docs.columns
+    held = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__held")
+    sized = materialise(docs.select(held, *_sized(docs, id_col, text_col, source_col, row_hash(docs, names))), "mix-rows")
+    placed = _placed(sized, weights, max_copies, seed, ranges).where("copies > 0")
+    return placed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__held.*")
 
 
 def offset(source: Column, seed: str) -> Column:
     """The random offset of a source in [0, 1): 32 bits of a digest of seed and name."""
     named = F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit("\x00")))
     return F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
-def expand(docs: DataFrame, mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """The mixed corpus: every row as often as it was taken, with the columns of docs, which must be those
-    that were mixed: rows are found again by their digests and not by their ids.
-
-    Rows that are equal in all columns come as often as they were taken together.
-    """
-    key, count = own_name(docs, "row"), own_name(docs, "copies")
-    keyed = docs.withColumn(key, row_key(docs, text_col))
-    copies = mixed.groupBy("row_key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
-    copies = materialise(copies.select(F.col("row_key").alias(key), F.col("copies").cast("int").alias(count), (F.col("rows") > 1).alias("many")), "mix-copies")
-    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-    def taken(rows: DataFrame, which: DataFrame) -> DataFrame:
-        joined = rows.join(F.broadcast(which) if few else which, key)
-        return joined.withColumn(f"{count}_n", F.explode(F.sequence(F.lit(1), F.col(count)))).select(*[rows[c] for c in docs.columns])
-
-    once = taken(keyed, copies.where("not many").drop("many"))
-    repeated = copies.where("many").drop("many")
-    if repeated.isEmpty():
-        return once
-    return once.union(taken(keyed.join(repeated, key, "left_semi").dropDuplicates([key]), repeated))

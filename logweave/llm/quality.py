@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.frames import materialise, own_name, utf8, without_ids
+from logweave.llm.frames import SLICE, filter_rows, utf8
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: Words whose pieces a worker remembers; it starts anew when there are more.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _SYMBOLS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
 
 
@@ -77,7 +77,7 @@ class Fertility:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}  # the ids of a word's pieces, four bytes each
 
     def measure(self, bag: Counter) -> tuple[int, float, float]:
         """Tokens, share of byte-fallback tokens and entropy in bits of a bag of words."""
@@ -87,12 +87,12 @@ class Fertility:
                 self.known.clear()
                 new = list(bag)
             ids = self.model.encode([w.decode("utf-8") for w in new], num_threads=1)
-            self.known.update((w, np.array(i, dtype=np.int32)) for w, i in zip(new, ids, strict=True))
+            self.known.update((w, np.array(i, dtype=np.int32).tobytes()) for w, i in zip(new, ids, strict=True))
         if not bag:
             return 0, 0.0, 0.0
         pieces = [self.known[w] for w in bag]
-        times = np.repeat(np.fromiter(bag.values(), np.int64, len(bag)), [len(p) for p in pieces])
-        every = np.concatenate(pieces)
+        times = np.repeat(np.fromiter(bag.values(), np.int64, len(bag)), [len(p) // 4 for p in pieces])
+        every = np.frombuffer(b"".join(pieces), np.int32)
         counts = np.bincount(every, weights=times, minlength=1)
         total = int(times.sum())
         if not total:
@@ -145,20 +145,26 @@ def repeated_words(words: list[bytes], n: int = 3) -> int:
 _OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, base_failed boolean, kept boolean"
 
 
+def judge(model: Fertility, text: bytes, lang: str | None, languages: dict[str, Band], scripts: dict[str, Band]) -> tuple:
+    """The columns of _OUT for one text."""
+    words, chars, symbols, duplicates, repeated = base_counts(text)
+    tokens, fallback, entropy = model.measure(Counter(words))
+    per_token = chars / tokens if tokens else 0.0
+    failed = len(words) < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * len(words)
+    band = languages.get(lang) if lang is not None else None
+    if band is None and not failed:
+        band = scripts[script_of(text.decode("utf-8"))]
+    return len(words), chars, symbols, duplicates, repeated, tokens, per_token, fallback, entropy, failed, not failed and not band.rejects(per_token, fallback, entropy)
+
+
 def _scores(path: str, languages: dict[str, Band], scripts: dict[str, Band]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _fertility(path)
         for b in batches:
             rows = []
-            for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words, chars, symbols, duplicates, repeated = base_counts(text)
-                tokens, fallback, entropy = model.measure(Counter(words))
-                per_token = chars / tokens if tokens else 0.0
-                failed = len(words) < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * len(words)
-                band = languages.get(lang) if lang is not None else None
-                if band is None and not failed:
-                    band = scripts[script_of(text.decode("utf-8"))]
-                rows.append((len(words), chars, symbols, duplicates, repeated, tokens, per_token, fallback, entropy, failed, not failed and not band.rejects(per_token, fallback, entropy)))
+            for k in range(0, b.num_rows, SLICE):
+                part = b.slice(k, SLICE)
+                rows += [judge(model, text, lang, languages, scripts) for text, lang in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
             names = [c.split()[0] for c in _OUT.split(", ")]
             kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.bool_()] * 2
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
@@ -179,12 +185,12 @@ def score_quality(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return slim.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {_OUT}")
 
 
-def keep_good(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows of docs that the rules keep, with all columns. Text and language alone decide, whatever the id,
-    so rows are named by a digest of both."""
-    key = own_name(docs, "digest")
-    both = F.concat(F.md5(utf8(F.col(text_col))), F.coalesce(F.concat(F.lit(":"), F.col(lang_col).cast("string")), F.lit("")))
-    keyed = docs.withColumn(key, F.unhex(F.md5(both.cast("binary"))))
-    scored = score_quality(keyed, path, key, text_col, lang_col, **options)
-    gone = materialise(scored.where("not kept").select(F.col("doc_id").alias(key)).distinct(), "low-quality")
-    return without_ids(keyed, gone, key).drop(key)
+def keep_good(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", languages: dict[str, Band] | None = None, scripts: dict[str, Band] | None = None) -> DataFrame:
+    """The rows of docs that the rules keep, with all columns. Each row is judged where it is, by its text and language."""
+    held = languages or LANGUAGES, scripts or SCRIPTS
+
+    def start():
+        model = _fertility(path)
+        return lambda rows: [judge(model, text or b"", None if lang is None else lang.decode("utf-8"), *held)[-1] for text, lang in rows]
+
+    return filter_rows(docs, [text_col, lang_col], start)

@@ -32,14 +32,15 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
         (F.octet_length(utf8(text)) + 1).cast("long").alias("size"),
         F.crc32(utf8(text)).alias("text_crc32"),
         digest60(utf8(text)).alias("__digest"),
+        F.monotonically_increasing_id().alias("__row"),  # lets a range end between rows that are equal otherwise
     ).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     slim = materialise(slim, "shard-keys")
-    keys = ["__digest", "__id"]
+    keys = ["__digest", "__id", "__row"]
     plan = plan_ranges(slim, keys, "size", max(ranges, 4 * shards))
     total = max(1, sum(plan.weights))
-    middle = 2 * F.col("before") + F.col("size")
+    middle = 2 * F.col("__before") + F.col("size")
     placed = with_prefix(slim, keys, "size", plan).select(
-        "doc_id", "size", "text_crc32", "rank",
+        "doc_id", "size", "text_crc32", F.col("__rank").alias("rank"),
         F.least(F.floor(middle * shards / F.lit(2 * total)), F.lit(shards - 1)).cast("int").alias("shard"),
     )
     placed = materialise(placed, "shard-places")

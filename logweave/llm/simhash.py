@@ -20,11 +20,12 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from logweave.llm.components import connected_components
-from logweave.llm.frames import materialise, own_name, row_key, utf8, without_ids
+from logweave.llm.frames import BROADCAST_ROWS, SLICE, materialise, own_name, row_hash, utf8
 
 WORDS = 3
 SEED = 42
@@ -75,18 +76,15 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        prints = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64)
+        texts = b.column(1)
+        prints = np.array([fingerprint(t) for k in range(0, b.num_rows, SLICE) for t in texts.slice(k, SLICE).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
 def simhashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; null and blank texts have fingerprint 0."""
-    return _prints(docs, F.col(id_col).cast("long"), text_col)
-
-
-def _prints(docs: DataFrame, name: Column, text_col: str) -> DataFrame:
-    slim = docs.select(name.alias("doc_id"), utf8(F.col(text_col)).alias("t"))
-    return slim.mapInArrow(_fingerprints, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(F.col(text_col)).alias("t"))
+    return slim.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _variants(buckets: int):
@@ -130,8 +128,7 @@ def _links(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keep = has[group] & (prints != centre[group])
     a, b = prints[keep], centre[group[keep]]
     links = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-    wrong = np.bitwise_count(links[:, 0] ^ links[:, 1]) > RADIUS
-    assert not wrong.any()
+    links = links[np.bitwise_count(links[:, 0] ^ links[:, 1]) <= RADIUS]
     return links[:, 0], links[:, 1]
 
 
@@ -170,11 +167,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint and are one node. A null id keeps its row and is ignored in minima (the component of rows
     that all have null ids is null); rows with equal ids are separate rows. An empty table gives no rows.
     """
-    return _components(simhashes(docs, id_col, text_col))
-
-
-def _components(named_prints: DataFrame) -> DataFrame:
-    prints = materialise(named_prints, "simhash")
+    prints = materialise(simhashes(docs, id_col, text_col), "simhash")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = connected_components(fingerprint_links(nodes))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -190,16 +183,31 @@ def _components(named_prints: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those whose component has an earlier row: one row of each group stays.
 
-    Rows are ordered by id, null last, then by a digest of all columns; of equal rows one stays.
+    Rows are ordered by id, null last, then by a hash of all columns; of equal rows any one stays. Rows are stored with
+    their fingerprints and numbered there, so ids may be null or repeated.
     """
-    key = own_name(docs, "row")
-    keyed = docs.withColumn(key, row_key(docs, text_col))
-    name = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(key).alias("key"))
-    found = _components(_prints(keyed, name, text_col)).select(F.col("doc_id.key").alias(key), (F.col("doc_id.key") != F.col("component_id.key")).alias("goes"))
-    moved = found.groupBy(key).agg(F.max("goes").alias("goes"), F.count(F.lit(1)).alias("n")).where("goes or n > 1")
-    moved = materialise(moved.select(key, "goes"), "simhash-components")
-    once = without_ids(keyed, moved.select(key), key).drop(key)
-    repeated = moved.where("not goes").select(key)
-    if repeated.isEmpty():
-        return once
-    return once.union(keyed.join(repeated, key, "left_semi").dropDuplicates([key]).drop(key))
+    names = docs.columns
+    fp, row = own_name(docs, "fp"), own_name(docs, "row")
+    at = names.index(text_col)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, prints = b.column(at).cast(pa.binary()), []
+            for k in range(0, b.num_rows, SLICE):
+                prints += [fingerprint(t or b"") for t in texts.slice(k, SLICE).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], [*names, fp])
+
+    tagged = docs.mapInArrow(add, _with_long(docs, fp))
+    tagged = materialise(tagged.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), row_hash(tagged, names).alias("hash"), F.col(row).alias("row"))
+    nodes = materialise(tagged.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), "simhash-distinct")
+    roots = connected_components(fingerprint_links(nodes))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left")
+    first = placed.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    stays = materialise(first.select(F.col("first.row").alias(row)), "simhash-first")
+    few = stays.count() <= BROADCAST_ROWS
+    return tagged.join(F.broadcast(stays) if few else stays, row, "left_semi").select(*names)
+
+
+def _with_long(df: DataFrame, name: str) -> StructType:
+    return StructType([*df.schema.fields, StructField(name, LongType())])

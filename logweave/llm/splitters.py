@@ -104,7 +104,7 @@ def plan_ranges(df: DataFrame, keys: list[str], weight: str, ranges: int = RANGE
 
 
 def with_prefix(df: DataFrame, keys: list[str], weight: str, plan: Ranges) -> DataFrame:
-    """Add ``before`` (weight of all rows ordered before this one) and ``rank`` (their number), exactly."""
+    """Add ``__before`` (weight of all rows ordered before this one) and ``__rank`` (their number), exactly."""
 
     def offsets(sizes: list[int]) -> Column:
         starts = [0, *accumulate(sizes)][:-1]
@@ -114,8 +114,8 @@ def with_prefix(df: DataFrame, keys: list[str], weight: str, plan: Ranges) -> Da
     running = own.rowsBetween(Window.unboundedPreceding, 0)
     return (
         df.withColumn("__range", range_of(keys, plan.cuts))
-        .withColumn("before", offsets(plan.weights) + F.sum(weight).over(running) - F.col(weight))
-        .withColumn("rank", offsets(plan.rows) + F.row_number().over(own) - 1)
+        .withColumn("__before", offsets(plan.weights) + F.sum(weight).over(running) - F.col(weight))
+        .withColumn("__rank", offsets(plan.rows) + F.row_number().over(own) - 1)
         .drop("__range")
     )
 

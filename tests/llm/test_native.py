@@ -62,7 +62,7 @@ def test_ranges_are_even_and_prefixes_exact(spark):
     rows = sorted(splitters.with_prefix(df, ["k", "i"], "w", plan).collect(), key=lambda r: r["i"])
     before = 0
     for n, r in enumerate(rows):
-        assert (r["rank"], r["before"]) == (n, before)
+        assert (r["__rank"], r["__before"]) == (n, before)
         before += r["w"]
 
 
@@ -119,7 +119,7 @@ def test_expansion_keeps_columns_and_counts(spark):
     wanted = Counter()
     for r in mixed.collect():
         wanted[r["doc_id"]] += r["copies"]
-    got = mixing.expand(given, mixed)
+    got = mixing.mix_rows(given)
     assert got.columns == given.columns and Counter(r["doc_id"] for r in got.collect()) == +wanted
 
 

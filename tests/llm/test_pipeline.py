@@ -45,8 +45,29 @@ def test_rows_without_a_unique_id(spark, sf):
     assert texts(decontaminate.drop_contaminated(frame(rows), bench)) == Counter({(None, good[1]): 1, (7, good[2]): 2})
 
     rows = [(None if k % 2 else 7, "w " * (k + 1) + str(k)) for k in range(30)] + [(None, "w w"), (None, "w w")] + [(5, f"x{k}") for k in range(9)]
-    mixed = mixing.mix_sources(frame(rows))
-    taken = {r["row_key"]: r["copies"] for r in mixed.groupBy("row_key").agg(F.sum("copies").alias("copies")).collect()}
-    got = mixing.expand(frame(rows), mixed)
-    assert len(taken) == len(set(rows)) and got.count() == sum(taken.values()) == len(rows)
-    assert set(texts(got)) == set(rows) and texts(mixing.expand(frame(rows[::-1]), mixing.mix_sources(frame(rows[::-1]), ranges=5))) == texts(got)
+    got = texts(mixing.mix_rows(frame(rows)))
+    assert set(got) == set(rows) and got.total() == len(rows)  # one source: every row comes once
+    assert texts(mixing.mix_rows(frame(rows[::-1]), ranges=5)) == got
+
+
+def test_every_source_gives_what_the_mix_takes(spark):
+    rows = [(k % 5 or None, f"{k} " + "w " * (k % 7), "en", "ab"[k % 2] if k % 3 else None, None) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("copies", F.lit("clash")).withColumn("__size", F.lit(1))
+    taken = {r["source"]: r["t"] for r in mixing.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    got = mixing.mix_rows(docs)
+    assert got.columns == docs.columns
+    assert {r["source"]: r["t"] for r in got.groupBy("source").agg(F.sum(mixing.count_words(F.col("text"))).alias("t")).collect()} == taken
+    assert mixing.mix_rows(docs.limit(0)).count() == 0
+
+
+def test_intermediate_folders_can_be_deleted(spark, sf):
+    import os
+
+    from logweave.llm import frames
+
+    mark = frames.written()
+    kept = frames.materialise(table(spark, sf, "documents"), "probe")
+    folders = frames._written[mark:]
+    assert kept.count() and all(os.path.isdir(f.removeprefix("file:")) for f in folders)
+    frames.discard(spark, mark)
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in folders)

@@ -86,7 +86,16 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.find_items(given.limit(0), bench).count() == 0
     assert decontaminate.find_items(given, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     kept = decontaminate.drop_contaminated(given, bench)
-    assert kept.columns == given.columns and {r["doc_id"] for r in kept.collect()} >= {i for i, t in rows if i is not None and not brute_hits(t, items)[1]}
+    clean = Counter((i, t) for i, t in rows if not brute_hits(t, items)[1])
+    assert kept.columns == given.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == clean
+    assert Counter((r["doc_id"], r["text"]) for r in decontaminate.drop_contaminated(given, bench, block_bytes=200).collect()) == clean
+
+
+def test_large_benchmarks_take_two_passes(spark):
+    items = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(30))) for k in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"x i{k}w3 " + " ".join(f"i{k}w{j}" for j in range(5, 16))) for k in range(40)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.find_items(docs, items, block_bytes=1000, log_bits=20).collect()}
+    assert got == {k: (11, [str(k)]) for k in range(40)}
 
 
 def brute_quality(t):

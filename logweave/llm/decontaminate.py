@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.llm.bits import bit_table, passing
 from logweave.llm.frames import filter_rows, materialise, own_name, utf8, without_ids
 
 WINDOW = 10
@@ -288,44 +289,6 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items"])
 
 
-def _bits(keys: DataFrame, log: int) -> np.ndarray:
-    """A table of 2 ** log bits with one set for each key (column ``key``): merged by stretches of the table, so its
-    fixed size is all that reaches a task or the driver."""
-    stretch = 1 << 15
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << log, dtype=bool)
-        for b in batches:
-            own[_bit_of(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), log)] = True
-        packed = np.packbits(own)
-        some = [k for k in range(0, len(packed), stretch) if packed[k : k + stretch].any()]
-        for k in some:
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed[k : k + stretch].tobytes()])], ["at", "bits"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                new = np.frombuffer(bits, np.uint8)
-                held[k] = held[k] | new if k in held else new
-        for k, bits in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([bits.tobytes()])], ["at", "bits"])
-
-    out = np.zeros((1 << log) // 8, dtype=np.uint8)
-    for k, bits in keys.select("key").mapInArrow(partial, "at long, bits binary").repartition("at").mapInArrow(merge, "at long, bits binary").collect():
-        out[k : k + len(bits)] |= np.frombuffer(bits, np.uint8)
-    return out
-
-
-def _bit_of(keys: np.ndarray, log: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - log)).astype(np.int64)
-
-
-def _held(packed: np.ndarray, keys: np.ndarray, log: int) -> np.ndarray:
-    at = _bit_of(keys, log)
-    return np.flatnonzero(packed[at >> 3] & (128 >> (at & 7)).astype(np.uint8))
-
-
 def _windows(window: int):
     """(item, words, length, keys) of each distinct window of each item: its words, and its shingles' hashes in order."""
 
@@ -348,7 +311,7 @@ def _all_counts(shared, log: int):
             for _, group in _grouped(batch.column(0).to_pylist()):
                 hashes = tokenise(group, hasher).hashes
                 every = [shingles(hashes, n) for n in range(1, SHINGLE + 1)]
-                keys, n = np.unique(np.concatenate([k[_held(packed, k, log)] for k in every]), return_counts=True)
+                keys, n = np.unique(np.concatenate([k[passing(packed, k, log)] for k in every]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
     return run
@@ -371,7 +334,7 @@ def _candidates(shared, log: int, window: int):
                 text_of = np.searchsorted(words.firsts, np.arange(len(words.hashes)), side="right") - 1
                 for k in range(1, SHINGLE + 1):
                     keys = shingles(words.hashes, k)
-                    at = _held(packed, keys, log)
+                    at = passing(packed, keys, log)
                     for cut in range(0, len(at), 20_000):
                         part = at[cut : cut + 20_000]
                         own = text_of[part]
@@ -390,12 +353,12 @@ def _join_items(slim: DataFrame, items: DataFrame, window: int, log: int) -> Dat
     sc, kind = slim.sparkSession.sparkContext, slim.schema["doc_id"].dataType.simpleString()
     windows = materialise(items.mapInArrow(_windows(window), "item string, words string, length long, keys array<long>"), "item-windows")
     wanted = windows.select(F.explode("keys").alias("key")).distinct()
-    counted = slim.select("t").mapInArrow(_all_counts(sc.broadcast(_bits(wanted, log).tobytes()), log), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = slim.select("t").mapInArrow(_all_counts(sc.broadcast(bit_table(wanted, log).tobytes()), log), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     placed = windows.select("item", "words", "length", F.posexplode("keys").alias("place", "key")).join(counted, "key", "left")
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "place"))
     anchors = placed.groupBy("item", "words", "length").agg(rarest.alias("a")).select("item", "words", "length", "a.key", "a.place")
     anchors = materialise(anchors, "item-anchors")
-    emit = _candidates(sc.broadcast(_bits(anchors, log).tobytes()), log, window)
+    emit = _candidates(sc.broadcast(bit_table(anchors, log).tobytes()), log, window)
     numbered = slim.select(F.monotonically_increasing_id().alias("row"), "doc_id", "t")
     seen = materialise(numbered.mapInArrow(emit, f"row long, doc_id {kind}, n_words long, key long, at long, low long, around string"), "item-candidates")
     begin = F.col("at") - F.col("place")

@@ -6,13 +6,18 @@ article (or its main part), the blocks inside are the text. Everything else is u
 the other unmarked text of the host's pages form token streams, concatenated and sorted as suffixes, and
 stretches that distinct pages share are boilerplate; covered runs of tokens are cut out of their blocks, unique runs stay.
 
+A stretch of RUN tokens or more is on enough pages exactly if each RUN tokens of it are, so suffixes need be sorted
+by their first RUN tokens only. The sort is a shuffle: suffixes are dealt by a hash of host and those tokens, each
+bucket is sorted, and equal neighbours are counted, so a host's array spreads over all tasks however many
+pages it has. Each task counts its own pages first; pages of equal streams are counted once.
+
 Blocks of marked articles lose only stretches that are on most of a host's pages, and only on hosts with a few
-pages: pages quote and copy each other, and such passages are text. A host's pages are dealt into groups of
-bounded bytes, so a host of any size works; what is on most pages of a host is on most pages of each group.
+pages: pages quote and copy each other, and such passages are text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -22,18 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.frames import materialise
-
-#: Bytes of html in one group of a host's pages.
-GROUP_BYTES = 4_000_000
-#: Tokens that a shared stretch has at least, and the share of a group's distinct pages that have it, up to so many pages.
-RUN, PAGE_SHARE, PAGES = 8, 0.2, 5
-#: The same for blocks of marked articles: more than this share, where so many distinct pages have any.
-ARTICLE_SHARE, ARTICLE_PAGES = 0.51, 4
+from logweave.llm.bits import bit_table, passing
+from logweave.llm.decontaminate import _MIX, _Hasher
+from logweave.llm.frames import few_bytes, materialise, without_ids
+
+#: Tokens that a shared stretch has at least, and the distinct pages of a host that have it (both, if there are two).
+RUN, PAGES = 8, 3
+#: In blocks of marked articles: more than half of the host's distinct articles, where there are so many.
+ARTICLE_PAGES = 4
+#: Suffixes in one bucket, 12 bytes each: bounds the memory of a task.
+BUCKET = 600_000
+#: Bytes of shared suffixes up to which they go to every task; beyond, pages' places are joined with them.
+SHARED_BYTES = 16_000_000
+LOG_BITS = 26
 HOSTS_BROADCAST = 100_000
+#: Pages held as Python objects at a time.
+PARSED = 256
 
-RAW = frozenset("script style textarea title noscript template svg iframe object select button canvas audio video math xmp noframes noembed map".split())
-DROPPED = frozenset("nav footer aside form header menu dialog head fieldset".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noframes noembed".split())
+DROPPED = frozenset("nav footer aside form header menu dialog head template svg select button canvas audio video".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table caption thead tbody tfoot tr ul".split())
 SPACES = frozenset("br td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,8 +63,9 @@ PARTS = frozenset(
 #: Of the cues those that hold even where cues have removed most of a page.
 READERS = frozenset("comment comments commentlist disqus respond replies".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+#: A tag from its "<" on: slash, name, attributes. Every part is possessive, so it is read once; a tag that never ends takes the rest.
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|=|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|))?+)*+)(?:>|\Z)""")
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)\s*+=\s*+("[^"]*+|'[^']*+|[^\s>"'][^\s>]*+)""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -93,7 +106,7 @@ def ordered_blocks(html: str, cues: frozenset[str] | None = CUES) -> list[tuple[
     depth = {"article": 0, "main": 0}
     piece: list[str] = []
     skip, nested = "", 0  # the element that is passed over, and how often it is open
-    heading = False  # an article's own header: only headings count
+    heading, title = False, False  # inside an article's own header; inside a heading. Short lines there are bylines
     at, size = 0, len(html)
 
     def text(raw: str) -> None:
@@ -104,20 +117,24 @@ def ordered_blocks(html: str, cues: frozenset[str] | None = CUES) -> list[tuple[
         if piece:
             words = unescape("".join(piece)).split()
             piece.clear()
-            if words:
+            if words and not (heading and not title and len(words) < RUN):
                 where = "article" if depth["article"] else "main" if depth["main"] else ""
                 placed.append((where, " ".join(words)))
 
     while at < size:
-        m = _TAG.search(html, at)
-        if m is None:
+        begin = html.find("<", at)
+        if begin < 0:
             text(html[at:])
             break
-        text(html[at : m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+        text(html[at:begin])
+        m = _TAG.match(html, begin)
+        if m is None:
+            at = _after_oddity(html, begin)
+            if at == begin + 1:
+                text("<")
             continue
+        at = m.end()
+        name = m[2].lower()
         ends = m[1] == "/"
         if skip:
             if not ends and name in RAW:
@@ -134,14 +151,15 @@ def ordered_blocks(html: str, cues: frozenset[str] | None = CUES) -> list[tuple[
                     skip = skip if nested else ""
                 continue
         if name in RAW:
-            if name in ("textarea", "button", "select"):
+            if name == "textarea":
                 piece.append(" ")
             if not ends:
                 at = _after(html, at, name)
             continue
         if name in BLOCKS:
             close()
-        elif name in SPACES:
+            title = name in HEADINGS and not ends
+        elif name in SPACES or name in ("select", "button"):
             piece.append(" ")
         if ends:
             if name in depth:
@@ -155,7 +173,7 @@ def ordered_blocks(html: str, cues: frozenset[str] | None = CUES) -> list[tuple[
         if name == "header" and depth["article"] and not odd:
             heading = True
             continue
-        if heading and name in ("p", "div", "ul", "ol", "time", "span", "address", "section"):
+        if heading and name in ("ul", "ol", "time", "address"):
             skip, nested = name, 1
             continue
         if name in DROPPED or odd:
@@ -182,132 +200,228 @@ def page_blocks(html: str) -> list[tuple[str, str]]:
     return own
 
 
+def _after_oddity(html: str, at: int) -> int:
+    """The place behind a comment, a declaration or an end tag without a name; behind the "<" alone where it is text."""
+    if html.startswith("<!--", at):
+        end, size = html.find("-->", at + 2), 3
+    elif html.startswith(("<!", "<?", "</"), at):
+        end, size = html.find(">", at), 1
+    else:
+        return at + 1
+    return len(html) if end < 0 else end + size
+
+
 def _after(html: str, at: int, name: str) -> int:
     """The place behind the end tag of an element whose content is no markup."""
     low = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
     return low.end() if low else len(html)
 
 
+def _streams(placed: list[tuple[str, str]]) -> list[bytes]:
+    """The token streams of undecided and of article blocks; each block ends in a token of its own."""
+    return ["".join(t + " \n " for w, t in placed if (w == "article") == sure).encode("utf-8", "replace") for sure in (False, True)]
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """blocks has the page's blocks in order and sure whether they are an article's. They may be teasers, so the
-    page's other text is undecided; without an article, a main part's blocks are taken for one."""
+    page's other text is undecided; without an article, a main part's blocks are taken for one. loose and firm name
+    the content of the two streams, tokens counts both."""
     for b in batches:
-        blocks, sures = [], []
-        for html in b.column("html").to_pylist():
-            placed = page_blocks(html or "")
-            if not any(w == "article" for w, _ in placed) and any(w == "main" for w, _ in placed):
-                placed = [("article", t) for w, t in placed if w == "main"]
-            blocks.append([t for _, t in placed])
-            sures.append([w == "article" for w, _ in placed])
-        columns = [b.column(c) for c in ("page_id", "url", "host", "part")]
-        made = [pa.array(blocks, pa.list_(pa.string())), pa.array(sures, pa.list_(pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([*columns, *made], ["page_id", "url", "host", "part", "blocks", "sure"])
-
-
-def shared_tokens(pages: list[list[list[str]]], run: int = RUN, share: float = PAGE_SHARE, most: int | None = None) -> list[list[np.ndarray]]:
-    """For each page and block, which tokens lie in a stretch of ``run`` tokens that enough distinct pages have.
-
-    Suffixes of the concatenated streams are sorted by prefix doubling up to run tokens; neighbours of one
-    rank begin with the same stretch. Blocks end in a common token, so a stretch may span them; pages end in
-    a token of their own. Pages of equal streams count as one.
-    """
-    number: dict[str, int] = {}
-    stream: list[int] = []
-    page_of: list[int] = []
-    content: dict[tuple, int] = {}
-    for k, blocks in enumerate(pages):
-        own = content.setdefault(tuple(map(tuple, blocks)), k)
-        for words in blocks:
-            ids = [number.setdefault(w, len(number) + 2) for w in words]
-            stream += [*ids, 1]
-            page_of += [own] * (len(ids) + 1)
-        stream.append(-k)
-        page_of.append(own)
-    tokens, page = np.array(stream, dtype=np.int64), np.array(page_of, dtype=np.int64)
-    tokens[tokens <= 0] -= 1  # ends of pages: -1, -2, ...
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    depth = 1
-    while depth < run:
-        step = min(depth, run - depth)
-        after = np.append(rank[step:], np.full(min(step, len(rank)), -1))[: len(rank)]
-        rank = np.unique(rank * (len(rank) + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
-        depth += step
-    pairs = np.unique(rank * (len(pages) + 1) + page)
-    distinct = np.bincount(pairs // (len(pages) + 1), minlength=int(rank.max()) + 1 if len(rank) else 0)
-    need = max(2, min(int(np.ceil(share * len(content))), most or len(pages)))
-    begins = np.flatnonzero(distinct[rank] >= need) if len(rank) else np.zeros(0, np.int64)
-    edge = np.zeros(len(tokens) + run + 1, dtype=np.int64)
-    np.add.at(edge, begins, 1)
-    np.add.at(edge, begins + run, -1)
-    covered = np.cumsum(edge)[: len(tokens)] > 0
-    out, at = [], 0
-    for blocks in pages:
-        own = []
-        for words in blocks:
-            own.append(covered[at : at + len(words)])
-            at += len(words) + 1
-        at += 1
-        out.append(own)
-    return out
-
-
-def _rest(block: str, covered: np.ndarray) -> str:
-    return block if not covered.any() else " ".join(w for w, c in zip(block.split(" "), covered, strict=True) if not c)
-
-
-def _decide(pages: list[dict]) -> list[str]:
-    """Article blocks and undecided ones are compared among each other, as they have thresholds of their own."""
-    split = lambda sure: [[b.split(" ") for b, s in zip(p["blocks"], p["sure"], strict=True) if s == sure] for p in pages]
-    own = {False: [iter(x) for x in shared_tokens(split(False), most=PAGES)]}
-    articles = split(True)
-    some = [k for k, a in enumerate(articles) if a]
-    if len({tuple(map(tuple, articles[k])) for k in some}) >= ARTICLE_PAGES:
-        found = shared_tokens([articles[k] for k in some], share=ARTICLE_SHARE)
-        own[True] = dict(zip(some, map(iter, found), strict=True))
-    out = []
-    for k, p in enumerate(pages):
-        kept = [b if s and True not in own else _rest(b, next(own[s][k])) for b, s in zip(p["blocks"], p["sure"], strict=True)]
-        out.append("\n\n".join(b for b in kept if b))
-    return out
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by host and part; one group is held at a time."""
-
-    def out(pages: list[dict]) -> pa.RecordBatch:
-        texts = _decide(pages)
-        columns = [pa.array([p["page_id"] for p in pages], kinds[0]), pa.array([p["url"] for p in pages], kinds[1]), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
-
-    held, pages, kinds = None, [], ()
+        for k in range(0, b.num_rows, PARSED):
+            part = b.slice(k, PARSED)
+            blocks, sures, names, tokens = [], [], ([], []), []
+            for html in part.column("html").to_pylist():
+                placed = page_blocks(html or "")
+                if not any(w == "article" for w, _ in placed) and any(w == "main" for w, _ in placed):
+                    placed = [("article", t) for w, t in placed if w == "main"]
+                blocks.append([t.encode("utf-8", "replace") for _, t in placed])
+                sures.append([w == "article" for w, _ in placed])
+                streams = _streams(placed)
+                for own, stream in zip(names, streams, strict=True):
+                    own.append(hashlib.blake2b(stream, digest_size=16).digest() if stream else None)
+                tokens.append(sum(x.count(b" ") for x in streams))
+            made = [pa.array(blocks, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(sures, pa.list_(pa.bool_())), *[pa.array(x, pa.binary()) for x in names], pa.array(tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("row", "page_id", "url", "host")], *made], [*"row page_id url host blocks sure loose firm tokens".split()])
+
+
+def stretches(host: str | None, sure: bool, blocks: list[str], run: int = RUN, hasher: _Hasher | None = None) -> np.ndarray:
+    """A 64-bit key of host, kind and ``run`` tokens for each place of a stream."""
+    hasher = hasher or _Hasher()
+    data = np.frombuffer(_streams([("article" if sure else "", t) for t in blocks])[sure], dtype=np.uint8)
+    ends = np.flatnonzero(data == 32)
+    tokens = hasher.words(data, np.concatenate([[0], ends[:-1] + 1]).astype(np.int64), ends) if len(ends) else np.zeros(0, np.uint64)
+    if len(tokens) < run:
+        return np.zeros(0, np.uint64)
+    salt = np.uint64(int.from_bytes(hashlib.blake2b(f"{int(sure)}{host}".encode(), digest_size=8).digest(), "little") | 1)
+    keys = np.zeros(len(tokens) - run + 1, np.uint64)
+    for k in range(run):
+        keys = (keys ^ (keys >> np.uint64(31))) * _MIX[1 + k % 8] + tokens[k : len(tokens) - run + 1 + k]
+    keys = (keys ^ (keys >> np.uint64(29))) * salt
+    return keys ^ (keys >> np.uint64(32))
+
+
+def _deal(buckets: int):
+    """The distinct stretches of each page, counted over a batch's pages, as one payload for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher()
+        for b in batches:
+            for k in range(0, b.num_rows, PARSED):
+                part = b.slice(k, PARSED)
+                rows = zip(*(part.column(c).to_pylist() for c in ("host", "kind", "blocks")), strict=True)
+                own = [np.unique(stretches(host, kind == 1, blocks, RUN, hasher)) for host, kind, blocks in rows]
+                keys, n = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
+                bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with the keys
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends = np.append(cuts[1:], len(bucket))
+                payload = [keys[i:j].tobytes() + n[i:j].astype(np.uint32).tobytes() for i, j in zip(cuts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(payload, pa.binary())], ["bucket", "suffixes"])
+
+    return run
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches on two distinct pages or more. Rows come sorted by bucket; payloads are merged as they come."""
+
+    def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        some = n > 1
+        return pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], ["key", "n"])
+
+    held, keys, n = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    parts: list[bytes] = []
+
+    def merge() -> None:
+        nonlocal keys, n
+        every = np.concatenate([keys, *[np.frombuffer(p, np.uint64, len(p) // 12) for p in parts]])
+        counts = np.concatenate([n, *[np.frombuffer(p, np.uint32, len(p) // 12, len(p) // 12 * 8) for p in parts]])
+        keys, place = np.unique(every, return_inverse=True)
+        n = np.bincount(place, weights=counts, minlength=len(keys)).astype(np.int64)
+        parts.clear()
+
+    size = 0
     for batch in batches:
-        kinds = (batch.schema.field("page_id").type, batch.schema.field("url").type)
-        for row in batch.to_pylist():
-            key = (row["host"], row["part"])
-            if key != held and pages:
-                yield out(pages)
-                pages = []
-            held = key
-            pages.append(row)
-    if pages:
-        yield out(pages)
-
-
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_bytes: int = GROUP_BYTES) -> DataFrame:
+        for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if k != held and held is not None:
+                merge()
+                yield out(keys, n)
+                keys, n, size = keys[:0], n[:0], 0
+            held = k
+            parts.append(p)
+            size += len(p)
+            if size > 12 * BUCKET:
+                merge()
+                size = 0
+    if held is not None:
+        merge()
+        yield out(keys, n)
+
+
+def cover(length: int, begins: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which of ``length`` tokens lie in a stretch of ``run`` tokens that begins at one of the places."""
+    edge = np.zeros(length + 1, dtype=np.int64)
+    np.add.at(edge, begins, 1)
+    np.add.at(edge, np.minimum(begins + run, length), -1)
+    return np.cumsum(edge)[:length] > 0
+
+
+def _keep(blocks: list[str], sure: list[bool], covered: dict[bool, np.ndarray]) -> str:
+    """The page's text without the covered tokens of its two streams."""
+    at, kept = {False: 0, True: 0}, []
+    for block, s in zip(blocks, sure, strict=True):
+        words = block.split(" ")
+        flags = covered[s][at[s] : at[s] + len(words)]
+        at[s] += len(words) + 1
+        kept.append(" ".join(w for w, c in zip(words, flags, strict=True) if not c) if flags.any() else block)
+    return "\n\n".join(b for b in kept if b)
+
+
+def _cutter(shared):
+    """Texts of pages; ``hits`` has the places that a join found, or null where the shared stretches are at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, table = _Hasher(), None if shared is None else tuple(np.frombuffer(x, t) for x, t in zip(shared.value, (np.uint64, np.int64), strict=True))
+        for b in batches:
+            texts = []
+            for k in range(0, b.num_rows, PARSED):
+                part = b.slice(k, PARSED)
+                for host, blocks, sure, needs, hits in zip(*(part.column(c).to_pylist() for c in ("host", "blocks", "sure", "needs", "hits")), strict=True):
+                    covered = {}
+                    for s in (False, True):
+                        own = [t for t, x in zip(blocks, sure, strict=True) if x == s]
+                        size = sum(t.count(" ") + 2 for t in own)
+                        if needs[s] is None or size < RUN:
+                            begins = np.zeros(0, np.int64)
+                        elif table is None:
+                            begins = np.array([h["at"] for h in hits or [] if h["kind"] == int(s) and h["n"] >= needs[s]], dtype=np.int64)
+                        else:
+                            keys = stretches(host, s, own, RUN, hasher)
+                            at = np.minimum(np.searchsorted(table[0], keys), max(0, len(table[0]) - 1))
+                            begins = np.flatnonzero((table[0][at] == keys) & (table[1][at] >= needs[s])) if len(table[0]) else np.zeros(0, np.int64)
+                        covered[s] = cover(size, begins)
+                    texts.append(_keep(blocks, sure, covered))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
+
+
+def _places(shared, log: int):
+    """Places of pages' streams whose stretch may be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hasher = np.frombuffer(shared.value, np.uint8), _Hasher()
+        for b in batches:
+            for row, host, kind, blocks in zip(*(b.column(c).to_pylist() for c in ("row", "host", "kind", "blocks")), strict=True):
+                keys = stretches(host, kind == 1, blocks, RUN, hasher)
+                at = passing(bits, keys, log)
+                made = [pa.array([row] * len(at), pa.int64()), pa.array([kind] * len(at), pa.int32()), pa.array(at), pa.array(keys[at].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(made, ["row", "kind", "at", "key"])
+
+    return run
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shared_bytes: int = SHARED_BYTES, log_bits: int = LOG_BITS) -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars.
 
     A null html counts as an empty one and gives an empty text; a null url, or one without a host, belongs to
     the host ''; repeated rows are extracted each, and count as one page when stretches are compared; an
-    empty table gives no rows. Other columns are not read.
+    empty table gives no rows. Other columns are not read. A host's pages are compared over the whole table.
     """
+    sc, kind = pages.sparkSession.sparkContext, pages.schema[id_col].dataType.simpleString()
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^\w+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    sizes = slim.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes"))
-    parts = materialise(sizes.select(F.col("host").alias("__host"), F.greatest(F.lit(1), F.ceil(F.col("bytes") / group_bytes)).alias("parts")), "hosts")
-    few = parts.limit(HOSTS_BROADCAST + 1).count() <= HOSTS_BROADCAST
-    dealt = slim.join(F.broadcast(parts) if few else parts, F.col("host") == F.col("__host"))
-    dealt = dealt.select("page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).alias("part"))
-    kind = pages.schema[id_col].dataType.simpleString()
-    parsed = dealt.mapInArrow(_parse, f"page_id {kind}, url string, host string, part long, blocks array<string>, sure array<boolean>")
-    sorted_groups = parsed.repartition("host", "part").sortWithinPartitions("host", "part")
-    return sorted_groups.mapInArrow(_groups, f"page_id {kind}, url string, text string, n_chars long")
+    slim = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    parsed = slim.mapInArrow(_parse, f"row long, page_id {kind}, url string, host string, blocks array<string>, sure array<boolean>, loose binary, firm binary, tokens long")
+    parsed = materialise(parsed, "pages")
+
+    which = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("content")) for k, c in enumerate(("loose", "firm"))])).alias("w")
+    named = parsed.select("row", "host", which).select("row", "host", "w.*").where("content is not null")
+    contents = named.groupBy("host", "kind", "content").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("n"))
+    contents = materialise(contents, "page-contents")
+    sizes = contents.groupBy("host").pivot("kind", [0, 1]).count().select(F.col("host").alias("of"), F.coalesce("0", F.lit(0)).alias("loose_pages"), F.coalesce("1", F.lit(0)).alias("firm_pages"))
+    need = F.when(F.col("loose_pages") > 1, F.least(F.lit(PAGES), F.col("loose_pages"))).cast("long"), F.when(F.col("firm_pages") >= ARTICLE_PAGES, F.floor(F.col("firm_pages") / 2) + 1).cast("long")
+    needs = materialise(sizes.select("of", F.array(*need).alias("needs")).where("needs[0] is not null or needs[1] is not null"), "page-hosts")
+    few = needs.limit(HOSTS_BROADCAST + 1).count() <= HOSTS_BROADCAST and few_bytes(needs.select("of"))
+    small = lambda df: F.broadcast(df) if few else df
+
+    own = F.transform(F.filter(F.arrays_zip("blocks", "sure"), lambda b: b["sure"] == (F.col("kind") == 1)), lambda b: b["blocks"])
+    streams = parsed.where("tokens > 0").join(small(needs), F.col("host") == F.col("of"))
+    streams = streams.select("row", "host", F.explode(F.filter(F.array(F.lit(0), F.lit(1)), lambda k: F.get("needs", k).isNotNull())).alias("kind"), "blocks", "sure").select("row", "host", "kind", own.alias("blocks")).where(F.size("blocks") > 0)
+    again = named.join(contents.where("n > 1"), ["host", "kind", "content"]).where("row <> least").select((F.col("row") * 2 + F.col("kind")).alias("sid"))
+    again = materialise(again, "page-copies")
+    once = without_ids(streams.withColumn("sid", F.col("row") * 2 + F.col("kind")), again, "sid")
+    total = parsed.agg(F.sum("tokens")).first()[0] or 0
+    dealt = once.select("host", "kind", "blocks").mapInArrow(_deal(max(64, -(-total // BUCKET))), "bucket int, suffixes binary")
+    counted = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "key long, n long")
+    shared = materialise(counted, "page-stretches")
+
+    given = parsed.join(small(needs), F.col("host") == F.col("of"), "left").withColumn("needs", F.coalesce("needs", F.array(F.lit(None).cast("long"), F.lit(None).cast("long"))))
+    out = f"page_id {kind}, url string, text string, n_chars long"
+    if shared.count() * 16 <= shared_bytes:
+        held = shared.toArrow()
+        keys, n = held.column("key").to_numpy().view(np.uint64), held.column("n").to_numpy()
+        order = np.argsort(keys)
+        at_hand = sc.broadcast((keys[order].tobytes(), n[order].astype(np.int64).tobytes()))
+        return given.select("page_id", "url", "host", "blocks", "sure", "needs", F.lit(None).cast("long").alias("hits")).mapInArrow(_cutter(at_hand), out)
+    bits = sc.broadcast(bit_table(shared, log_bits).tobytes())
+    found = streams.mapInArrow(_places(bits, log_bits), "row long, kind int, at long, key long").join(shared, "key")
+    hits = found.groupBy("row").agg(F.collect_list(F.struct("kind", "at", "n")).alias("hits"))
+    return given.join(hits, "row", "left").select("page_id", "url", "host", "blocks", "sure", "needs", "hits").mapInArrow(_cutter(None), out)

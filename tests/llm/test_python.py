@@ -272,9 +272,10 @@ def test_suffix_array_removes_what_pages_of_a_host_share(spark):
     prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40))
     own = {k: prose() for k in range(30)}
     rows = [(k, f"https://h.org/{k}", f"<div>Menu One Two Three Four Five Six Seven Eight</div><div>{t}</div><div>Contact us at this place or by phone any time of day</div>") for k, t in own.items()]
-    for size in (html.GROUP_BYTES, 3000):
-        got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), group_bytes=size)
-        assert {r["page_id"]: r["text"] for r in got.collect()} == own
+    given = spark.createDataFrame(rows + [(r[0] + 100, *r[1:]) for r in rows[:2]], "page_id long, url string, html string")
+    for most in (html.SHARED_BYTES, 0):
+        got = html.extract_main_text(given, shared_bytes=most, log_bits=16)
+        assert {r["page_id"] % 100: r["text"] for r in got.collect()} == own
 
 
 def test_covered_runs_are_cut_out_of_blocks(spark):
@@ -295,31 +296,59 @@ def test_articles_lose_what_most_pages_of_a_host_have(spark):
     assert {k: got[k] for k in own} == own and all(got[100 + k].startswith("same copied") for k in range(3))
 
 
-def brute_shared(pages, run, share):
-    content = {}
-    owner = [content.setdefault(tuple(map(tuple, p)), k) for k, p in enumerate(pages)]
-    need, streams = max(2, math.ceil(share * len(content))), [[x for b in p for x in [*b, None]] for p in pages]
-    where = {}
-    for k, s in enumerate(streams):
-        for i in range(len(s) - run + 1):
-            where.setdefault(tuple(s[i : i + run]), set()).add(owner[k])
+def brute_text(pages):
+    """Texts by the definition: pages are (host, url's page blocks); every stretch is compared with every page's."""
+    read = []
+    for host, source in pages:
+        placed = html.page_blocks(source)
+        if not any(w == "article" for w, _ in placed) and any(w == "main" for w, _ in placed):
+            placed = [("article", t) for w, t in placed if w == "main"]
+        read.append((host, [(w == "article", t.split(" ")) for w, t in placed]))
+    stream = lambda blocks, sure: [x for s, b in blocks if s == sure for x in [*b, None]]
+    grams = lambda x: [tuple(x[i : i + html.RUN]) for i in range(len(x) - html.RUN + 1)]
     out = []
-    for s, p in zip(streams, pages, strict=True):
-        flags = [False] * len(s)
-        for i in range(len(s) - run + 1):
-            if len(where[tuple(s[i : i + run])]) >= need:
-                flags[i : i + run] = [True] * run
-        own, at = [], 0
-        for b in p:
-            own.append(flags[at : at + len(b)])
-            at += len(b) + 1
-        out.append(own)
+    for host, blocks in read:
+        flags = {}
+        for sure in (False, True):
+            others = {tuple(stream(b, sure)) for h, b in read if h == host} - {()}
+            need = (len(others) // 2 + 1 if len(others) >= 4 else 10**9) if sure else (min(3, len(others)) if len(others) > 1 else 10**9)
+            mine, held = stream(blocks, sure), [set(grams(o)) for o in others]
+            flags[sure] = [False] * len(mine)
+            for i, g in enumerate(grams(mine)):
+                if sum(g in h for h in held) >= need:
+                    flags[sure][i : i + html.RUN] = [True] * html.RUN
+        at, kept = {False: 0, True: 0}, []
+        for sure, b in blocks:
+            kept.append(" ".join(w for k, w in enumerate(b) if not flags[sure][at[sure] + k]))
+            at[sure] += len(b) + 1
+        out.append("\n\n".join(k for k in kept if k))
     return out
 
 
-def test_shared_tokens_equal_brute_force():
+@pytest.mark.parametrize("most", [html.SHARED_BYTES, 0])
+def test_main_text_equals_brute_force(spark, most):
     rng = random.Random(4)
-    for _ in range(40):
-        pages = [[rng.choices("abc", k=rng.randint(1, 12)) for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(1, 8))]
-        got = [[list(map(bool, b)) for b in p] for p in html.shared_tokens(pages, 3, 0.3)]
-        assert got == brute_shared(pages, 3, 0.3)
+    phrases = [" ".join(rng.choices(["ab", "cd", "é", "x&amp;y"], k=rng.randint(4, 14))) for _ in range(6)]
+    piece = lambda: rng.choice(phrases) if rng.random() < 0.6 else " ".join(rng.choices("pqrstuv", k=rng.randint(1, 12)))
+    pages = []
+    for _ in range(60):
+        blocks = "".join(f"<p>{piece()} {piece()}</p>" for _ in range(rng.randint(0, 3)))
+        article = "<article>" + "".join(f"<p>{piece()}</p>" for _ in range(rng.randint(1, 3))) + "</article>" if rng.random() < 0.5 else ""
+        pages.append((rng.choice(["a.org", "b.org", "c.org", ""]), blocks + article))
+    pages += pages[:5]
+    given = spark.createDataFrame([(k, f"http://{h}/{k}" if h else None, s) for k, (h, s) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(given, shared_bytes=most, log_bits=12).collect()}
+    want = brute_text(pages)
+    assert got == dict(enumerate(want)) and any(len(w) < len(t) for w, t in zip(want, brute_text([(str(k), s) for k, (_, s) in enumerate(pages)]), strict=True))
+
+
+def test_odd_markup_is_read_in_linear_time():
+    import time
+
+    assert html.read_blocks("<article><p title=it's>hey</p><p>don't</p></article>")[0] == ["hey", "don't"]
+    assert html.read_blocks("<p>1 < 2 <3 a<b>c</b></p><!-->x<!-- y -- z --><p a=\"1>2\" b='<p>' c>d</p></ >e<?php f?>")[2] == ["1 < 2 <3 ac", "x", "d", "e"]
+    assert html.read_blocks("<article><header><h1>T</h1><p>by me</p><p>a lead of more than eight words that must not get lost</p></header><fieldset>f</fieldset><math>m</math></article>")[0] == ["T", "a lead of more than eight words that must not get lost", "f", "m"]
+    for unit in ("<a ", "<a b='", '<a b="', "<!--", "</", "<", "<p", "&", "<a b= ", "<article>", "<svg>", "<script>", "'", "<a b=c ", "<select "):
+        began = time.time()
+        html.page_blocks(unit * (1_000_000 // len(unit)))
+        assert time.time() - began < 10, unit

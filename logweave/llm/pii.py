@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 
 ROUNDS = 6
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date", "secret")
+#: Groups of digits that are walked in one step, so that a run of a million of them is not copied at each.
+STRIDE = 256
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
+# No group is repeated but possessively or a few times: others take a stack frame for each turn, and long texts would overflow it.
+LABEL = r"[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+"
+EMAIL = rf"[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}+@{LABEL}(?:\.{LABEL})++"
 #: Lengths of account numbers by country; one of an unknown country takes what looks like it.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -33,7 +37,15 @@ NATIONAL = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2}"
+#: Full addresses of eight groups, and shortened ones of three groups or more.
+_HEX = r"[0-9A-Fa-f]{1,4}"
+IP6 = rf"{_HEX}(?::{_HEX}){{7}}+|{_HEX}::{_HEX}(?::{_HEX}){{1,5}}+|{_HEX}(?::{_HEX}){{1,5}}+::(?:{_HEX}(?::{_HEX}){{0,4}}+)?"
+MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
+WRITTEN = rf"[0-3]?[0-9] (?:{MONTH}) (?:19|20)[0-9]{{2}}|(?:{MONTH}) [0-3]?[0-9], (?:19|20)[0-9]{{2}}"
 SECRET = r"[0-9a-f]{32,128}|[0-9A-F]{32,128}"
+#: Keys that name their issuer, and values that are called secret; what comes before the value stays.
+_NAMED = r"(?:sk|pk|rk)_(?:live|test)_|AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|(?:[Pp]assword|PASSWORD|passwd|pwd|api_?key|API_?KEY|access_?token|secret)[=:]"
+TOKEN = rf"(?:{_NAMED})[A-Za-z0-9!#$%*+./@^_~-]{{6,256}}+"
 #: What a run of digits does not go on into, as it is a candidate itself.
 _NEXT = rf"(?!(?:{SSN}|{DATE}|{IP}|{NATIONAL}|{SECRET})(?![A-Za-z0-9_]))"
 _CARD_NEXT = r"(?![0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -]|[0-9]{13})"
@@ -50,7 +62,7 @@ CARD_RUN = r"[0-9](?:[ -]?[0-9]){12,18}"
 #: Country codes of one and two digits; all others have three.
 COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 #: Candidates in this order at each place; none begins or ends inside a longer run of letters and digits.
-CANDIDATE = rf"(?<![A-Za-z0-9_+.-])(?:{EMAIL}|{SECRET}|{IBAN}|{SSN}|{DATE}|{IP}(?!\.?[0-9])|{PHONE}|{CARD})(?![A-Za-z0-9_])"
+CANDIDATE = rf"(?<![A-Za-z0-9_+.-])(?:{EMAIL}|{TOKEN}|{SECRET}|{IBAN}|{SSN}|{DATE}|{WRITTEN}|(?<!:)(?:{IP6})(?!:)|{IP}(?!\.?[0-9])|{PHONE}|{CARD})(?![A-Za-z0-9_])"
 
 #: 1900-01-01 to 2099-12-31 is 73,049 = 17 * 4,297 days.
 FIRST_DAY, DAY_PARTS = "1900-01-01", (17, 4297)
@@ -99,12 +111,12 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
     return _let(digits, run)
 
 
-def put_digits(shape: Column, digits: Column) -> Column:
+def put_digits(shape: Column, digits: Column, which: str = "[0-9]") -> Column:
     """The digits of shape replaced in order; everything else stays."""
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
-        digit = c.rlike("[0-9]")
+        digit = c.rlike(which)
         return F.struct((acc["at"] + F.when(digit, 1).otherwise(0)).alias("at"), F.concat(acc["out"], F.when(digit, F.substring(digits, acc["at"], F.lit(1))).otherwise(c)).alias("out"))
 
     return F.aggregate(F.split(shape, ""), start, step, lambda acc: acc["out"])
@@ -157,7 +169,11 @@ def card(match: Column, key: str) -> Column:
 
             return F.when(i < acc["at"], acc).otherwise(_let(_let(head, found), put))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(pieces)), start, step, lambda acc: F.struct(F.when(acc["n"] > 0, acc["out"]).alias("new"), acc["n"].alias("n")))
+        def stride(acc: Column, k: Column) -> Column:
+            inner = F.aggregate(F.sequence(k, F.least(k + (STRIDE - 1), F.size(pieces))), F.struct(acc["at"].alias("at"), F.lit("").alias("out"), acc["n"].alias("n")), step)
+            return _let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out"), r["n"].alias("n")))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(pieces), F.lit(STRIDE)), start, stride, lambda acc: F.struct(F.when(acc["n"] > 0, acc["out"]).alias("new"), acc["n"].alias("n")))
 
     pieces = F.regexp_extract_all(match, F.lit("[ -]?[0-9]+"), F.lit(0))
     return _let(pieces, lambda p: _let(walk(p, CARD_FORMS, False), lambda w: F.when(w["n"] > 0, w).otherwise(walk(p, (CARD_RUN,), True))))
@@ -208,7 +224,7 @@ def ssn(match: Column, key: str) -> Column:
 
 
 def ip(match: Column, key: str) -> Column:
-    """Any of the 2 ** 32 addresses, written without leading zeros."""
+    """Any of the 2 ** 32 addresses, written without leading zeros. Of long addresses the hexadecimal digits move, the colons stay."""
 
     def run(p: Column) -> Column:
         part = lambda i: F.element_at(p, i).cast("long")
@@ -217,15 +233,19 @@ def ip(match: Column, key: str) -> Column:
         octets = lambda h: F.concat_ws(".", *[f(h[s]).cast("string") for s in ("left", "right") for f in (lambda v: F.floor(v / 256), lambda v: v % 256)])
         return F.when(ok, _let(halves, octets))
 
-    return _let(F.split(match, r"\."), run)
+    def long(digits: Column) -> Column:
+        return put_digits(match, permute_text(digits, key, "secret"), "[0-9A-Fa-f]")
+
+    return F.when(F.contains(match, F.lit(":")), _let(F.lower(F.replace(match, F.lit(":"), F.lit(""))), long)).otherwise(_let(F.split(match, r"\."), run))
 
 
 def date(match: Column, key: str) -> Column:
     """A day of the two centuries, in the format it came in: year first, or day before month, or month before day.
 
     With slashes the first number is the month if it can be, with dots it is the day; a value that is no day
-    of the calendar is not a date.
+    of the calendar is not a date. Written dates have the month's English name.
     """
+    worded, name_first = match.rlike("[A-Z]"), match.rlike("^[A-Z]")
     iso = F.substring(match, 5, 1) == "-"
     dotted = F.substring(match, 3, 1) == "."
     one, two, year = F.substring(match, 1, 2), F.substring(match, 4, 2), F.substring(match, 7, 4)
@@ -238,9 +258,11 @@ def date(match: Column, key: str) -> Column:
         new = _let(halves, lambda h: F.date_add(F.lit(FIRST_DAY).cast("date"), (h["left"] * DAY_PARTS[1] + h["right"]).cast("int")))
         sep = F.substring(match, 3, 1)
         both = lambda a, b: lambda d: F.concat(F.date_format(d, a), sep, F.date_format(d, b), sep, F.date_format(d, "yyyy"))
-        return _let(new, lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(day_first, both("dd", "MM")(d)).otherwise(both("MM", "dd")(d)))
+        written = lambda d: F.when(name_first, F.date_format(d, "MMMM d, yyyy")).otherwise(F.date_format(d, "d MMMM yyyy"))
+        return _let(new, lambda d: F.when(worded, written(d)).when(iso, F.date_format(d, "yyyy-MM-dd")).when(day_first, both("dd", "MM")(d)).otherwise(both("MM", "dd")(d)))
 
-    return _let(F.try_to_date(plain, "yyyy-MM-dd"), lambda d: F.when(d.isNotNull(), run(d)))
+    read = F.when(name_first, F.try_to_date(match, "MMMM d, yyyy")).when(worded, F.try_to_date(match, "d MMMM yyyy")).otherwise(F.try_to_date(plain, "yyyy-MM-dd"))
+    return _let(read, lambda d: F.when(d.isNotNull(), run(d)))
 
 
 def permute_text(text: Column, key: str, kind: str) -> Column:
@@ -284,13 +306,16 @@ def email(match: Column, key: str) -> Column:
 
 
 def secret(match: Column, key: str) -> Column:
-    """Hexadecimal keys: every digit moves among the sixteen, the case stays."""
+    """Hexadecimal keys: every digit moves among the sixteen, the case stays. Of named ones the value's letters and
+    digits move within their classes."""
+    lead = F.regexp_extract(match, f"^(?:{_NAMED})", 0)
     moved = permute_text(F.lower(match), key, "secret")
-    return F.when(match.rlike("[A-F]"), F.upper(moved)).otherwise(moved)
+    named = F.concat(lead, permute_text(F.substring(match, F.length(lead) + 1, F.length(match)), key, "token"))
+    return F.when(lead != "", named).when(match.rlike("[A-F]"), F.upper(moved)).otherwise(moved)
 
 
 def classify(match: Column) -> Column:
-    tests = [("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("ssn", SSN), ("date", DATE), ("ip", IP), ("phone", PHONE), ("card", CARD)]
+    tests = [("email", EMAIL), ("secret", f"{TOKEN}|{SECRET}"), ("iban", IBAN), ("ssn", SSN), ("date", f"{DATE}|{WRITTEN}"), ("ip", f"{IP6}|{IP}"), ("phone", PHONE), ("card", CARD)]
     return reduce(lambda rest, t: F.when(match.rlike(f"^(?:{t[1]})$"), F.lit(t[0])).otherwise(rest), reversed(tests), F.lit(None).cast("string"))
 
 
@@ -311,7 +336,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    some = text.rlike("[0-9]|@")
+    some = text.rlike("[0-9@=:]")
     rows = rows.withColumn("__found", F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>")))
     values = F.transform(F.col("__found"), lambda m: _let(classify(m), lambda k: _let(pseudonym(m, k, key), lambda v: F.struct(m.alias("old"), k.alias("kind"), v["new"].alias("new"), v["n"].alias("n")))))
     rows = rows.withColumn("__values", F.when(F.size("__found") > 0, values).otherwise(F.array().cast("array<struct<old:string,kind:string,new:string,n:int>>")))

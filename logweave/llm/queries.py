@@ -41,7 +41,7 @@ def op4_shard_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql("SELECT bigint(-7) AS conv_id, bigint(t) AS turn, r AS role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(t, r)")
-    return chat.digests(chat.format_conversations(given.unionByName(probe)))
+    return chat.digests(chat.explode_examples(given.unionByName(probe)))
 
 
 def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

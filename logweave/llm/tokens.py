@@ -4,6 +4,9 @@ Pre-tokens are byte-pair encoded in batches: their symbols lie in one flat array
 each. In every round each sequence finds the pair of lowest rank among its neighbours and merges all its
 places at once, while the other sequences merge theirs; sequences without a ranked pair drop out. What is
 left is counted. Texts repeat words, so only words that a worker has not met recently are merged.
+
+A pre-token of thousands of bytes would go through all its rounds at full length. Such a one keeps, for each rank, the
+places where its pair stands, and a round touches only those: still the lowest rank at all its places at once.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,8 @@ LIMIT = 2048
 REMEMBERED = 400_000
 #: Symbols that are merged together, 40 bytes each.
 BATCH_SYMBOLS = 1 << 20
+#: Bytes from which a pre-token is merged by itself.
+LONG = 2048
 
 #: White space as the vocabulary's pattern language has it.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -51,11 +57,16 @@ class Merger:
         made = np.array([vocabulary[a + b] for a, b in merges], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks, self.made = keys[order], np.arange(len(merges), dtype=np.int64)[order], made[order]
+        self.by_rank = keys, made
         self.inner = np.array([vocabulary[c] for c in byte_symbols()], dtype=np.int64)
         self.final = np.array([vocabulary[c + suffix] for c in byte_symbols()], dtype=np.int64)
 
     def counts(self, pretokens: list[bytes]) -> np.ndarray:
         """Symbols that survive in each pre-token; none is empty."""
+        if any(len(p) >= LONG for p in pretokens):
+            short = [p for p in pretokens if len(p) < LONG]
+            found = iter(self.counts(short).tolist())
+            return np.array([self._merge_long(p) if len(p) >= LONG else next(found) for p in pretokens], dtype=np.int64)
         out, at, size = np.zeros(len(pretokens), dtype=np.int64), 0, 0
         for k, p in enumerate(pretokens):
             if size and size + len(p) > BATCH_SYMBOLS:
@@ -100,6 +111,55 @@ class Merger:
         return alive
 
 
+    def _merge_long(self, pretoken: bytes) -> int:
+        data = np.frombuffer(pretoken, dtype=np.uint8)
+        n = left = len(data)
+        symbol = self.inner[data]
+        symbol[-1] = self.final[data[-1]]
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        order: list[int] = []
+
+        def enter(at: np.ndarray) -> None:
+            """Note the pairs that begin at these places under their ranks."""
+            at = at[after[at] < n]
+            pair = symbol[at] * self.size + symbol[after[at]]
+            k = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+            known = self.keys[k] == pair
+            at, rank = at[known], self.ranks[k[known]]
+            by = np.argsort(rank, kind="stable")
+            at, rank = at[by], rank[by]
+            cuts = np.flatnonzero(np.diff(rank, prepend=-1)).tolist()
+            for i, j in zip(cuts, [*cuts[1:], len(rank)], strict=False):
+                r = int(rank[i])
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(order, r)
+                waiting[r].append(at[i:j])
+
+        enter(np.arange(n - 1))
+        while order:
+            r = heappop(order)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (after[at] < n)]
+            at = at[symbol[at] * self.size + symbol[after[at]] == self.by_rank[0][r]]
+            if len(at) > 1:  # pairs that overlap in a run of one symbol: every other one, from the left
+                place = np.arange(len(at))
+                begins = np.concatenate([[True], after[at[:-1]] != at[1:]])
+                at = at[(place - np.maximum.accumulate(np.where(begins, place, -1))) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            behind = after[gone]
+            symbol[at], after[at], alive[gone] = self.by_rank[1][r], behind, False
+            inside = behind < n
+            before[behind[inside]] = at[inside]
+            left -= len(at)
+            previous = before[at]
+            enter(np.unique(np.concatenate([at, previous[previous >= 0]])))
+        return left
+
+
 class TokenCounter:
     """Counts as the tokenizers library gives them for a word-level BPE file, without special tokens added.
 

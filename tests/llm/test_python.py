@@ -46,10 +46,20 @@ def test_tokens_of_noise_equal_the_library():
     path = vocabulary("word_bpe_49k.json")
     counter, library, rng = tokens.TokenCounter(path), Tokenizer.from_file(path), random.Random(5)
     alphabet = "aaabcde 'stST’ΣσİßéÉ́漢ﬁ²½ \x1c\x85\xa0 \n<|endoftext|>09_-…!!🙂"
-    noise = ["".join(rng.choices(alphabet, k=rng.randint(0, 50))) for _ in range(800)] + ["aaaa" * 300, "ababab" * 200]
+    noise = ["".join(rng.choices(alphabet, k=rng.randint(0, 50))) for _ in range(800)] + ["aaaa" * 300, "ababab" * 200] + ["".join(rng.choices("abcdest", k=5000)), "a" * 4097, "abc" * 3000, "é" * 2500]
     assert counter.count(noise) == [len(e.ids) for e in library.encode_batch(noise, add_special_tokens=False)]
 
 
+def test_one_word_of_a_megabyte():
+    import time
+
+    counter, rng = tokens.TokenCounter(vocabulary("word_bpe_49k.json")), random.Random(6)
+    for word in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "a" * 1_000_000, "=" * 1_000_000):
+        began = time.time()
+        assert counter.count([word])[0] > 1000
+        assert time.time() - began < 30
+
+
 def brute_hits(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     own, hit, found = words(text), set(), set()

@@ -44,7 +44,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_at_exit, spark)
     _written.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

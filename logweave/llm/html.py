@@ -11,6 +11,10 @@ by their first RUN tokens only. The sort is a shuffle: suffixes are dealt by a h
 bucket is sorted, and equal neighbours are counted, so a host's array spreads over all tasks however many
 pages it has. Each task counts its own pages first; pages of equal streams are counted once.
 
+Most suffixes are unique, and one in three suffices to tell: among the WINNOW runs of GRAM tokens within RUN tokens the
+one with the least hash is the same wherever those tokens stand. These are counted first, and only suffixes whose
+least run is on two pages are sorted. That loses none.
+
 Blocks of marked articles lose only stretches that are on most of a host's pages, and only on hosts with a few
 pages: pages quote and copy each other, and such passages are text.
 """
@@ -33,9 +37,11 @@ from logweave.llm.frames import few_bytes, materialise, without_ids
 
 #: Tokens that a shared stretch has at least, and the distinct pages of a host that have it (both, if there are two).
 RUN, PAGES = 8, 3
+#: Tokens of the runs that are counted first, and how many of them lie in a stretch.
+GRAM, WINNOW = 4, 5
 #: In blocks of marked articles: more than half of the host's distinct articles, where there are so many.
 ARTICLE_PAGES = 4
-#: Suffixes in one bucket, 12 bytes each: bounds the memory of a task.
+#: Suffixes in one bucket, 8 or 12 bytes each: bounds the memory of a task.
 BUCKET = 600_000
 #: Bytes of shared suffixes up to which they go to every task; beyond, pages' places are joined with them.
 SHARED_BYTES = 16_000_000
@@ -43,6 +49,8 @@ LOG_BITS = 26
 HOSTS_BROADCAST = 100_000
 #: Pages held as Python objects at a time.
 PARSED = 256
+#: Pages whose keys are counted together before they are shuffled.
+DEALT = 1024
 
 RAW = frozenset("script style textarea title noscript iframe xmp noframes noembed".split())
 DROPPED = frozenset("nav footer aside form header menu dialog head template svg select button canvas audio video".split())
@@ -260,54 +268,79 @@ def stretches(host: str | None, sure: bool, blocks: list[str], run: int = RUN, h
     return keys ^ (keys >> np.uint64(32))
 
 
-def _deal(buckets: int):
-    """The distinct stretches of each page, counted over a batch's pages, as one payload for each bucket."""
+def least_grams(host: str | None, sure: bool, blocks: list[str], hasher: _Hasher) -> np.ndarray:
+    """For each place of a stream, the least key among the runs of GRAM tokens within the RUN tokens that begin there."""
+    keys = stretches(host, sure, blocks, GRAM, hasher)
+    return np.lib.stride_tricks.sliding_window_view(keys, WINNOW).min(axis=1) if len(keys) >= WINNOW else keys[:0]
+
+
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted keys byte by byte: all first bytes, all second ones and so on, of which the high ones compress."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _deal(buckets: int, shared=None, log: int = 0):
+    """Distinct keys of each page, counted over a batch's pages, as one payload for each bucket: keys on one page, and
+    keys on more with their counts. The keys are least runs, or, if ``shared`` has bits of some, the stretches of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher()
+        hasher, bits = _Hasher(), None if shared is None else np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            for k in range(0, b.num_rows, PARSED):
-                part = b.slice(k, PARSED)
-                rows = zip(*(part.column(c).to_pylist() for c in ("host", "kind", "blocks")), strict=True)
-                own = [np.unique(stretches(host, kind == 1, blocks, RUN, hasher)) for host, kind, blocks in rows]
-                keys, n = np.unique(np.concatenate([*own, np.zeros(0, np.uint64)]), return_counts=True)
+            for k in range(0, b.num_rows, DEALT):
+                part = b.slice(k, DEALT)
+                own = [np.zeros(0, np.uint64)]
+                for host, kind, blocks in zip(*(part.column(c).to_pylist() for c in ("host", "kind", "blocks")), strict=True):
+                    keys = least_grams(host, kind == 1, blocks, hasher)
+                    if bits is not None and len(at := passing(bits, keys, log)):
+                        keys = stretches(host, kind == 1, blocks, RUN, hasher)[at]
+                    elif bits is not None:
+                        continue
+                    own.append(np.unique(keys))
+                keys, n = np.unique(np.concatenate(own), return_counts=True)
+                if not len(keys):
+                    continue
+                once = n == 1
                 bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # rises with the keys
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(cuts[1:], len(bucket))
-                payload = [keys[i:j].tobytes() + n[i:j].astype(np.uint32).tobytes() for i, j in zip(cuts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(payload, pa.binary())], ["bucket", "suffixes"])
+                parts = [(keys[i:j], n[i:j].astype(np.uint32), once[i:j]) for i, j in zip(cuts, ends, strict=True)]
+                payload = [_planes(x[o]) for x, _, o in parts], [x[~o].tobytes() + m[~o].tobytes() for x, m, o in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), *[pa.array(x, pa.binary()) for x in payload]], ["bucket", "once", "more"])
 
     return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches on two distinct pages or more. Rows come sorted by bucket; payloads are merged as they come."""
+    """Keys on two distinct pages or more. Rows come sorted by bucket; payloads are merged as they come."""
 
     def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         some = n > 1
         return pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some])], ["key", "n"])
 
     held, keys, n = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    parts: list[bytes] = []
+    parts: list[tuple[bytes, bytes]] = []
 
     def merge() -> None:
         nonlocal keys, n
-        every = np.concatenate([keys, *[np.frombuffer(p, np.uint64, len(p) // 12) for p in parts]])
-        counts = np.concatenate([n, *[np.frombuffer(p, np.uint32, len(p) // 12, len(p) // 12 * 8) for p in parts]])
+        ones = [np.ascontiguousarray(np.frombuffer(o, np.uint8).reshape(8, -1).T).view(np.uint64)[:, 0] for o, _ in parts]
+        mores = [np.frombuffer(m, np.uint64, len(m) // 12) for _, m in parts]
+        counts = [np.frombuffer(m, np.uint32, len(m) // 12, len(m) // 12 * 8) for _, m in parts]
+        every = np.concatenate([keys, *ones, *mores])
+        weights = np.concatenate([n, np.ones(sum(map(len, ones)), np.int64), *counts])
         keys, place = np.unique(every, return_inverse=True)
-        n = np.bincount(place, weights=counts, minlength=len(keys)).astype(np.int64)
+        n = np.bincount(place, weights=weights, minlength=len(keys)).astype(np.int64)
         parts.clear()
 
     size = 0
     for batch in batches:
-        for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for k, *p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if k != held and held is not None:
                 merge()
                 yield out(keys, n)
                 keys, n, size = keys[:0], n[:0], 0
             held = k
-            parts.append(p)
-            size += len(p)
+            parts.append(tuple(p))
+            size += sum(map(len, p))
             if size > 12 * BUCKET:
                 merge()
                 size = 0
@@ -409,9 +442,14 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     again = materialise(again, "page-copies")
     once = without_ids(streams.withColumn("sid", F.col("row") * 2 + F.col("kind")), again, "sid")
     total = parsed.agg(F.sum("tokens")).first()[0] or 0
-    dealt = once.select("host", "kind", "blocks").mapInArrow(_deal(max(64, -(-total // BUCKET))), "bucket int, suffixes binary")
-    counted = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "key long, n long")
-    shared = materialise(counted, "page-stretches")
+    buckets = max(64, -(-total // BUCKET))
+
+    def counted(deal) -> DataFrame:
+        dealt = once.select("host", "kind", "blocks").mapInArrow(deal, "bucket int, once binary, more binary")
+        return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "key long, n long")
+
+    repeated = sc.broadcast(bit_table(counted(_deal(buckets)), log_bits).tobytes())
+    shared = materialise(counted(_deal(buckets, repeated, log_bits)), "page-stretches")
 
     given = parsed.join(small(needs), F.col("host") == F.col("of"), "left").withColumn("needs", F.coalesce("needs", F.array(F.lit(None).cast("long"), F.lit(None).cast("long"))))
     out = f"page_id {kind}, url string, text string, n_chars long"

@@ -320,7 +320,12 @@ class Compiler:
         failed = None
         for source, patterns in pairs:
             text = self.text(field_name(source))
-            options = [grok.compile_pattern(x, self.library | own) for x in strings(patterns)]
+            options = []
+            for x in strings(patterns):
+                try:
+                    options.append(grok.compile_pattern(x, self.library | own))
+                except grok.UnknownPattern:  # such a pattern matches nothing, so the failure tags tell
+                    options.append(("(?!)", []))
             hits = [q(self.temp("grok", F.coalesce(text.rlike(regex), F.lit(False)))) for regex, _ in options]
             values: dict[str, list] = {}
             for (regex, found), hit in zip(options, hits, strict=True):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.functions import grok, transforms
+from logweave.functions import grok, patterns, transforms
 from logweave.plans.predicate import ConditionError, parse_condition, to_column
 from logweave.plans.runtime import Runtime, UnsupportedPlugin, run_parser
 
@@ -55,12 +55,67 @@ def test_bad_conditions():
 
 
 def test_grok_library_compiles(spark):
-    df = spark.range(1)
     for name in grok.LIBRARY:
-        assert grok.expand(name, grok.LIBRARY) is not None
-        regex, _ = grok.compile_pattern(f"%{{{name}:x}}", grok.LIBRARY)
-        df.select(F.lit("x").rlike(regex)).collect()
+        body = grok.expand(name, grok.LIBRARY)
+        assert body is not None or name in patterns.CISCO | patterns.HAPROXY | patterns.FIREWALLS | patterns.WEB | patterns.SERVERS | patterns.SYSLOG
+    every = [grok.compile_pattern(f"%{{{name}:x}}", grok.LIBRARY)[0] for name in grok.LIBRARY]
+    spark.range(1).select(*[F.lit("x").rlike(r).alias(f"c{k}") for k, r in enumerate(every)]).collect()
     assert grok.expand("A", {"A": "%{B}", "B": "%{A}"}) is None and grok.expand("NOPE", {}) is None
+    with pytest.raises(grok.UnknownPattern):
+        grok.compile_pattern("%{NOPE:x}", grok.LIBRARY)
+
+
+#: Texts that a pattern takes whole, and texts that it does not.
+TAKEN = {
+    "EMAILADDRESS": (["a.b+c@x-y.example.org"], ["a@", "@x.org"]), "INT": (["-12", "+3", "0"], ["1.5", "x"]), "NUMBER": (["1", "-1.50", ".5"], ["1.", "a"]), "BASE16NUM": (["0xFFa", "12"], ["xyz"]),
+    "QUOTEDSTRING": (['"a \\" b"', "'x'", "`y`", '""'], ['"a', "a"]), "UUID": (["01234567-89ab-cdef-0123-456789abcdef"], ["01234567-89ab"]), "URN": (["urn:isbn:0451450523"], ["urn:"]),
+    "MAC": (["00:1A:2b:3c:4d:5e", "00-1A-2b-3c-4d-5e", "001A.2b3c.4d5e"], ["00:1A:2b"]), "IPV4": (["255.0.10.1"], ["256.1.1.1", "1.2.3"]),
+    "IPV6": (["::", "::1", "fe80::1%eth0", "1:2:3:4:5:6:7:8", "1::8", "1:2:3:4:5:6:1.2.3.4", "::ffff:1.2.3.4", "1:2:3:4:5:6:7::"], ["1:2:3", ":1", "12345::"]),
+    "HOSTNAME": (["a", "a-b.example.com", "x1."], ["-a", ".a"]), "PATH": (["/", "/usr/lib/a-b.so", "C:\\x\\y z", "\\\\host\\share"], ["usr"]), "URI": (["https://u:p@h.org:80/a/b?c=d&e=[f]", "ftp://x"], ["//x"]),
+    "MONTH": (["Jan", "January", "May", "Sep"], ["Janu", "Mai"]), "DAY": (["Mon", "Sunday"], ["Mo"]), "MONTHDAY": (["1", "09", "31"], ["0", "32"]), "TIME": (["23:59:60", "1:02:03.456"], ["24:00:00", "12:60:00"]),
+    "TIMESTAMP_ISO8601": (["2024-01-31T23:59:59.123Z", "2024-01-31 23:59", "2024-01-31T23:59:59+01:00"], ["2024-13-01T00:00"]), "DATESTAMP_RFC2822": (["Mon, 02 Jan 2006 15:04:05 -0700"], ["Mon 02 Jan"]), "HTTPDATE": (["10/Oct/2000:13:55:36 -0700"], ["10/13/2000"]),
+    "SYSLOGTIMESTAMP": (["Jan  2 03:04:05"], ["Jan 2024"]), "LOGLEVEL": (["info", "WARNING", "Err", "EMERGENCY"], ["iNFO", "loud"]), "JAVACLASS": (["a.b.C$D", "X"], ["1a"]), "CISCOTAG": (["ASA-4-106023"], ["ASA"]), "MAVEN_VERSION": (["1.2.3-SNAPSHOT", "1.0"], ["1"]),
+}
+
+
+def test_grok_bodies_accept_and_refuse(spark):
+    cases = [(n, t, ok) for n, (good, bad) in TAKEN.items() for ok, ts in ((True, good), (False, bad)) for t in ts]
+    regex = {n: grok.compile_pattern(f"%{{{n}}}", grok.LIBRARY)[0] for n in TAKEN}
+    got = spark.range(1).select(*[F.lit(t).rlike(f"^(?:{regex[n]})$").alias(f"c{k}") for k, (n, t, _) in enumerate(cases)]).first()
+    assert [c for c, g in zip(cases, got, strict=True) if g != c[2]] == []
+
+
+def test_grok_log_lines(spark):
+    lines = {
+        "SYSLOGLINE": ("Oct 11 22:14:15 host1 su[42]: it failed", {"timestamp": "Oct 11 22:14:15", "logsource": "host1", "program": "su", "pid": "42"}),
+        "SYSLOG5424LINE": ('<34>1 2003-10-11T22:14:15.003Z mymachine su 77 ID47 [a b="c"][d] text', {"syslog5424_pri": "34", "syslog5424_host": "mymachine", "syslog5424_app": "su", "syslog5424_sd": '[a b="c"][d]', "syslog5424_msg": "text"}),
+        "CISCOFW106023": ('Deny tcp src outside:1.2.3.4/50 dst inside:5.6.7.8/443 by access-group "acl" [0x0, 0x0]', {"action": "Deny", "src_ip": "1.2.3.4", "dst_port": "443", "policy_id": "acl"}),
+        "CISCOFW302013_302014_302015_302016": ("Teardown TCP connection 77 for out:1.1.1.1/2 to in:3.3.3.3/4 duration 0:00:30 bytes 55 TCP FINs", {"action": "Teardown", "connection_id": "77", "dst_ip": "3.3.3.3", "bytes": "55", "reason": "TCP FINs"}),
+        "HAPROXYHTTP": ('Feb  6 12:14:14 lb haproxy[14389]: 10.0.1.2:33317 [06/Feb/2009:12:14:14.655] http-in static/srv1 10/0/30/69/109 200 2750 - - ---- 1/1/1/1/0 0/0 {www} {} "GET /index.html HTTP/1.1"', {"client_ip": "10.0.1.2", "server_name": "srv1", "http_status_code": "200", "http_request": "/index.html", "captured_request_headers": "www"}),
+        "HTTPD24_ERRORLOG": ("[Mon Sep 09 07:08:09 2013] [core:error] [pid 9:tid 8] [client 1.2.3.4:99] AH01: gone", {"module": "core", "loglevel": "error", "pid": "9", "clientip": "1.2.3.4", "errorcode": "AH01"}),
+        "ELB_ACCESS_LOG": ('2014-02-15T23:39:43.945958Z lb 1.2.3.4:2817 10.0.0.1:80 0.07 0.1 0.05 200 200 0 57 "GET http://x.com:80/p?q=1 HTTP/1.1"', {"elb": "lb", "backendip": "10.0.0.1", "path": "/p", "params": "?q=1", "verb": "GET"}),
+        "SQUID3": ("1525334330.556 3 120.65.1.1 TCP_MISS/200 51 GET http://a.b/c - HIER_DIRECT/1.2.3.4 text/html", {"cache_result": "TCP_MISS", "status_code": "200", "server": "1.2.3.4", "content_type": "text/html"}),
+        "RUBY_LOGGER": ("I, [2003-10-11T22:14:15.003 #1]  INFO -- prog: hi", {"pid": "1", "loglevel": "INFO", "progname": "prog"}),
+        "REDISMONLOG": ('1470637867.953466 [0 195.168.1.1:52500] "SELECT" "1"', {"database": "0", "command": "SELECT", "params": '"1"'}),
+    }
+    for name, (line, want) in lines.items():
+        got = run(spark, f'grok {{ match => {{ "message" => "%{{{name}}}" }} }}', line, fields=list(want))[0]
+        assert {k: got[k] for k in want} == want, name
+
+
+@pytest.mark.parametrize("unit", ['"', "\\", "/", "a.", "a", "1", "1.", "a:", ":", " ", "[", "a/", "A$.", "%", "-", "a b "])
+def test_long_lines_end_no_executor(spark, unit):
+    """Every pattern of the library against a long line of one unit, alone and within quotes."""
+    every = [grok.compile_pattern(f"%{{{name}:x}}", grok.LIBRARY)[0] for name in patterns.BASIC if name not in ("TIMESTAMP_ISO8601",)]
+    texts = [unit * (20_000 // len(unit)), '"' + unit * (20_000 // len(unit)) + '"']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for k in range(0, len(every), 10):
+        df.select(*[F.col("t").rlike("^(?:" + r + ")$").alias(f"c{j}") for j, r in enumerate(every[k : k + 10])]).collect()
+
+
+def test_unknown_patterns_match_nothing(spark):
+    r = run(spark, 'grok { match => { "message" => "%{HAPROXYHTTPX:x} end" } on_error => "bad" }', "nonsense here end", fields=["x", "bad"])[0]
+    assert (r["x"], r["bad"]) == (None, "true")
 
 
 def test_grok_values(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from ipaddress import ip_network
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -71,13 +72,38 @@ def ip_number(column: Column) -> Column:
     return F.when(ok, part(0) * 16777216 + part(1) * 65536 + part(2) * 256 + part(3))
 
 
+def ip6_digits(column: Column) -> Column:
+    """An IPv6 address as its 32 hexadecimal digits; null for anything else."""
+    halves = F.split(F.lower(column), "::")
+    parts = lambda i: F.filter(F.split(F.coalesce(F.get(halves, i), F.lit("")), ":"), lambda p: p != "")
+    missing = 8 - F.size(parts(0)) - F.size(parts(1))
+    padded = lambda a: F.transform(a, lambda p: F.lpad(p, 4, "0"))
+    zeros = F.array_repeat(F.lit("0000"), F.greatest(missing, F.lit(0)))
+    short = F.size(halves) == 2
+    ok = column.rlike(r"^[0-9A-Fa-f:]{2,39}$") & ~column.rlike(r"[0-9A-Fa-f]{5}|:::") & F.when(short, missing >= 1).otherwise((F.size(halves) == 1) & (missing == 0))
+    return F.when(ok, F.array_join(F.concat(padded(parts(0)), zeros, padded(parts(1))), ""))
+
+
 def in_network(column: Column, network: str) -> Column:
-    """Whether an IPv4 address lies in a network a.b.c.d/n."""
-    base, _, bits = network.partition("/")
-    size = 1 << (32 - int(bits or 32))
-    number = sum(int(p) << s for p, s in zip(base.split("."), (24, 16, 8, 0), strict=True))
-    low = number // size * size
-    return F.coalesce(ip_number(column).between(low, low + size - 1), F.lit(False))
+    """Whether an address lies in a network such as 10.0.0.0/8 or 2001:db8::/32; a name that is none holds nothing."""
+    try:
+        held = ip_network(network, strict=False)
+    except ValueError:
+        return F.lit(False)
+    if held.version == 6:
+        ends = (f"{int(held.network_address):032x}", f"{int(held.broadcast_address):032x}")
+        return F.coalesce(ip6_digits(column).between(*ends), F.lit(False))
+    return F.coalesce(ip_number(column).between(int(held.network_address), int(held.broadcast_address)), F.lit(False))
+
+
+def cut_bytes(column: Column, size: int) -> Column:
+    """The first bytes of the text in UTF-8, without a character that would be cut."""
+    data = column.cast("binary")
+    inside = lambda at: F.hex(F.substring(data, at, 1)).between("80", "BF")
+    end = F.lit(size)
+    for back in (3, 2, 1, 0):
+        end = F.when(~inside(size + 1 - back), F.lit(size - back)).otherwise(end)
+    return F.when(F.octet_length(column) <= size, column).otherwise(F.substring(data, F.lit(1), F.greatest(end, F.lit(0))).cast("string"))
 
 
 def top_level(column: Column) -> Column:

@@ -38,8 +38,10 @@ class Hint:
     target: str = ""
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
-    #: Of a kv hint: what stands before and behind a key, what is trimmed from values, and the prefix of names.
+    #: Of a kv hint: what stands before and behind a key, what is trimmed from values, what wraps them, and the prefix of names.
     shape: tuple[str, ...] = ()
+    #: Values of keys that are absent.
+    defaults: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass
@@ -52,8 +54,8 @@ class Runtime:
     lookups: dict[str, DataFrame] = field(default_factory=dict)
     #: Functions for plugins that users declare: (frame, configuration, guard) -> frame.
     plugins: dict[str, Callable[[DataFrame, Pairs, Column | None], DataFrame]] = field(default_factory=dict)
-    #: Keys of the cipher, anonymize and fingerprint plugins where the configuration names none.
-    key: str = "0123456789abcdef"
+    #: Key of the cipher and anonymize plugins where the configuration names none; there is no default.
+    key: str | None = None
     skip_unsupported: bool = False
 
 
@@ -79,6 +81,9 @@ class Compiler:
         self.guard: Column | None = None
         self.library = grok.LIBRARY | runtime.patterns
         self.aliases: dict[str, str] = {}
+        #: on_error flags since the last on_error block, and inside a folded loop what its variables and fields are.
+        self.flags: list[str] = []
+        self.local: dict[str, tuple[Column, str]] | None = None
 
     # Reading and writing fields
 
@@ -89,6 +94,8 @@ class Compiler:
         return name
 
     def read(self, token: str) -> tuple[Column, str]:
+        if self.local is not None and token in self.local:
+            return self.local[token]
         token = self.aliases.get(token, token)
         if token in self.kinds:
             return q(token), self.kinds[token]
@@ -121,12 +128,15 @@ class Compiler:
         if hint.kind == "csv":
             m = re.fullmatch(r"column(\d+)", token)
             return F.get(q(hint.column), F.lit(int(m[1]) - 1)) if m else None
-        before, behind, trim, prefix = hint.shape
+        before, behind, trim, wraps, prefix = hint.shape
         if not token.startswith(prefix):
             return None
         key = re.sub(r"([^\w ])", r"\\\1", token[len(prefix) :])
         value = F.regexp_extract(q(hint.column), f"{before}{key}{behind}", 1)
-        return F.nullif(F.regexp_replace(value, trim, "") if trim else value, F.lit(""))
+        value = F.regexp_replace(value, wraps, "$1$2$3$4$5")
+        value = F.nullif(F.regexp_replace(value, trim, "") if trim else value, F.lit(""))
+        default = dict(hint.defaults).get(token[len(prefix) :])
+        return F.coalesce(value, F.when(q(hint.column).isNotNull(), F.lit(default))) if default is not None else value
 
     def text(self, token: str) -> Column:
         column, kind = self.read(token)
@@ -214,7 +224,8 @@ class Compiler:
         self.guard = outer
 
     def loop(self, s: For) -> None:
-        """A loop over literals is unrolled; any other one gives a row for each element (or one row if there is none)."""
+        """A loop over literals is unrolled. One over an array that merges is folded and keeps one row for each event;
+        any other one gives a row for each element (or one row if there is none)."""
         if s.iterable.startswith("[") and re.match(r"\[\s*[\"'\d\]]", s.iterable):
             items = parse_condition(f"[x] in {s.iterable}").right.value
             for k, item in enumerate(items):
@@ -236,6 +247,9 @@ class Compiler:
             self.df = self.df.select("*", F.explode_outer(F.when(guard, entries)).alias(*names))
         else:
             array = column if kind == "array" else F.from_json(self.text(source), "array<string>")
+            if foldable(s.body):
+                self.fold(s, F.when(guard, array))
+                return
             names = [f"__at_{len(self.hidden)}", f"__item_{len(self.hidden)}"]
             self.df = self.df.select("*", F.posexplode_outer(F.when(guard, array)).alias(*names))
         self.hidden += names
@@ -253,6 +267,62 @@ class Compiler:
             if (held := self.aliases.pop(name, None)) is not None:
                 self.kinds.pop(held, None)
 
+    def fold(self, s: For, array: Column) -> None:
+        """The body over all elements in one expression: what it merges is appended in order, and of what it replaces
+        the last element's value stays. A name that an iteration reads has the value from before the loop or from
+        the same iteration."""
+        merged: list[str] = []
+        replaced: list[str] = []
+
+        def step(element: Column, at: Column) -> Column:
+            index, value = s.variables if len(s.variables) == 2 else (None, s.variables[0])
+            self.local = {value: (element, "string")} | ({index: (at.cast("string"), "string")} if index else {})
+            values: list[Column] = []
+
+            def go(body: list, held: Column | None) -> None:
+                only = lambda c, old=None: c if held is None else F.when(held, c) if old is None else F.when(held, c).otherwise(old)
+                for x in body:
+                    if isinstance(x, If):
+                        prior = None
+                        for arm in x.arms:
+                            cond = to_column(parse_condition(arm.condition), self.read)
+                            now = cond if prior is None else cond & ~prior
+                            go(arm.body, now if held is None else held & now)
+                            prior = cond if prior is None else prior | cond
+                        if x.otherwise is not None:
+                            go(x.otherwise, ~prior if held is None else held & ~prior)
+                        continue
+                    for op, config in x.config:
+                        for dest, text in self.pairs(config):
+                            name = self.name(dest)
+                            if op == "replace":
+                                self.local[name] = (only(self.template(text)[0].cast("string"), self.text(name)), "string")
+                                replaced.extend([name] if name not in replaced else [])
+                                continue
+                            for source in strings(text):
+                                token = field_name(source)
+                                below = [k for k in self.local if k.startswith(token + ".")]
+                                if token in self.local or token in self.kinds or token in self.aliases or (self.hints and not below):
+                                    found = [(name, self.text(token))]
+                                else:
+                                    found = [(name + k[len(token) :], self.local[k][0]) for k in below] or [(name, F.lit(source))]
+                                for to, column in found:
+                                    merged.append(to)
+                                    values.append(only(column))
+
+            go(s.body, None)
+            finals = [self.local[n][0].alias(f"w{k}") for k, n in enumerate(replaced)]
+            self.local = None
+            return F.struct(*[v.alias(f"a{k}") for k, v in enumerate(values)], *finals)
+
+        held = q(self.temp("fold", F.transform(array, step)))
+        for name in dict.fromkeys(merged):
+            every = F.flatten(F.transform(held, picked([f"a{k}" for k, n in enumerate(merged) if n == name])))
+            self.append(name, F.filter(every, lambda v: v.isNotNull()), "array")
+        for k, name in enumerate(replaced):
+            last = F.when(F.size(held) > 0, F.element_at(held, -1)[f"w{k}"])
+            self.write(name, F.when(F.size(held) > 0, last).otherwise(self.text(name)))
+
     def bind(self, name: str, value: Column) -> None:
         held = self.temp("var", value)
         self.kinds[held] = "string"
@@ -299,6 +369,7 @@ class Compiler:
             self.tag(tags, failed)
         if isinstance(flag, str):
             self.write(flag, F.when(failed, "true").otherwise("false"))
+            self.flags.append(flag)
 
     def tag(self, tags: list[str], when: Column | None = None) -> None:
         old = self.tags()
@@ -365,29 +436,40 @@ class Compiler:
         one_of = lambda key, default: re.sub(r"([\[\]\\^&-])", r"\\\1", str(c.first(key, default)))
         own_split = c.first("field_split_pattern")
         chars = one_of("field_split", " ")
-        fields, body = (f"(?:{own_split})", f"(?:(?!{own_split}).)*") if own_split is not None else (f"[{chars}]", f"[^{chars}]*")
+        fields, body = (f"(?:{own_split})", f"(?:(?!{own_split}).)*+") if own_split is not None else (f"[{chars}]", f"[^{chars}]*")
+        marks = ['"([^"]*)"', "'([^']*)'"] + ([r"\(([^)]*)\)", r"\[([^\]]*)\]", "<([^>]*)>"] if c.first("include_brackets") not in (False, "false") else [])
+        wrapped, ends = "|".join(m.replace("(", "", 1).replace(")", "", 1) if m[0] != "\\" else m.replace("([", "[").replace("*)", "*") for m in marks), f"(?={fields}|$)" if own_split is None else ""
         values = f"(?:{c.first('value_split_pattern')})" if c.first("value_split_pattern") is not None else f"[{one_of('value_split', '=')}]"
         around = f"[{one_of('trim_key', '')}]*" if isinstance(c.first("trim_key"), str) else ""
         trim = f"^[{one_of('trim_value', '')}]+|[{one_of('trim_value', '')}]+$" if isinstance(c.first("trim_value"), str) else ""
         text = self.text(self.fallback_source(c))
         held = self.temp("kv", self.guarded(F.trim(text), None))
         target = c.first("target")
-        shape = (f"(?s)^(?:.*{fields})?{around}", f"{around}{values}({body})", trim, str(c.first("prefix", "")))
-        self.hints.append(Hint("kv", held, field_name(target) if isinstance(target, str) else "", tuple(strings(c.first("include_keys"))), tuple(strings(c.first("exclude_keys"))), shape))
+        shape = (f"(?s)^(?:.*{fields})?{around}", f"{around}{values}((?:{wrapped}){ends}|{body})", trim, "(?s)^(?:" + "|".join(marks) + ")$", str(c.first("prefix", "")))
+        given = c.first("default_keys")
+        defaults = tuple(zip(given[::2], given[1::2], strict=False)) if isinstance(given, list) and not isinstance(given, Pairs) else tuple(given or ())
+        self.hints.append(Hint("kv", held, field_name(target) if isinstance(target, str) else "", tuple(strings(c.first("include_keys"))), tuple(strings(c.first("exclude_keys"))), shape, tuple((str(k), str(v)) for k, v in defaults)))
         return ~F.coalesce(F.rlike(text, F.lit(values)), F.lit(False))
 
     def do_csv(self, p: Plugin) -> Column:
+        """A row of any width: every field is a match behind a separator. Empty fields are null, quoted empty ones empty."""
         c = p.config
         text, sep = self.text(self.fallback_source(c)), str(c.first("separator", ","))
+        mark = re.escape(str(c.first("quote_char", '"')))
         names = [field_name(x) for x in strings(c.first("columns"))]
-        width = max(len(names), 32 if not names else 0)
-        ddl = ", ".join(f"c{i} string" for i in range(width))
-        options = {"sep": sep, "mode": "PERMISSIVE"} | ({"quote": str(c.first("quote_char"))} if c.first("quote_char") else {})
-        row = self.temp("csv", F.from_csv(text, ddl, options))
+        plain = f"[^{re.escape(sep)}]*" if len(sep) == 1 else f"(?:(?!{re.escape(sep)}).)*+"
+        pattern = f"(?s){re.escape(sep)}({mark}(?:[^{mark}]++|{mark}{mark})*+{mark}(?={re.escape(sep)}|$)|{plain})"
+        found = F.regexp_extract_all(F.concat(F.lit(sep), text), F.lit(pattern), F.lit(1))
+        inner = lambda x: F.regexp_replace(F.regexp_extract(x, f"(?s)^{mark}(.*){mark}$", 1), mark + mark, str(c.first("quote_char", '"')))
+        parts = q(self.temp("csv", F.transform(found, lambda x: F.when(x.rlike(f"(?s)^{mark}.*{mark}$"), inner(x)).otherwise(F.nullif(x, F.lit(""))))))
+        if names and c.first("skip_header") in (True, "true"):
+            header = parts == F.array(*map(F.lit, names))
+            self.df = self.df.where(~F.coalesce(header if self.guard is None else self.guard & header, F.lit(False)))
         for i, n in enumerate(names):
-            self.write(n, q(row)[f"c{i}"])
-        held = self.temp("csv", self.guarded(F.array(*[q(row)[f"c{i}"] for i in range(width)]), None))
-        self.hints.append(Hint("csv", held))
+            self.write(n, F.get(parts, i))
+        self.hints.append(Hint("csv", self.temp("csv", self.guarded(parts, None))))
+        if isinstance(c.first("convert"), Pairs):
+            self.mutate_convert(c.first("convert"))
         return text.isNull()
 
     def do_xml(self, p: Plugin) -> Column:
@@ -395,7 +477,10 @@ class Compiler:
         ok = F.coalesce(text.rlike(r"(?s)^\s*<.*>\s*$"), F.lit(False))
         for path, token in p.config.first("xpath", Pairs()):
             for t in strings(token):
-                self.write(field_name(t), F.when(ok, F.xpath_string(text, F.lit(path))))
+                if re.search(r"(?:/text\(\)|/@[\w:.-]+)$", path):  # nodes that are texts: a list of all of them
+                    self.write(field_name(t), F.when(ok, F.xpath(text, F.lit(path))), "array")
+                else:
+                    self.write(field_name(t), F.when(ok, F.xpath_string(text, F.lit(path))))
         return ~ok
 
     def do_dissect(self, p: Plugin) -> Column | None:
@@ -590,11 +675,13 @@ class Compiler:
         return None
 
     def do_on_error(self, p: Plugin) -> None:
-        """The fallback runs on events for which an earlier plugin of the block failed."""
-        flags = [k for k in self.kinds if k.startswith("on_error")]
+        """The fallback runs on events for which any earlier plugin since the last such block failed."""
+        flags, self.flags = [f for f in dict.fromkeys(self.flags) if f in self.kinds], []
         if flags and p.fallback:
             outer = self.guard
-            failed = F.coalesce(q(flags[-1]) == "true", F.lit(False))
+            failed = F.lit(False)
+            for f in flags:
+                failed = failed | F.coalesce(q(f) == "true", F.lit(False))
             self.guard = failed if outer is None else outer & failed
             self.run(p.fallback)
             self.guard = outer
@@ -738,16 +825,12 @@ class Compiler:
             key = m[1] if (m := REFERENCE.search(key)) else key
             self.looked_up(name, self.text(field_name(key)), field_name(str(config.first("target", name))), None)
 
-    def do_cidr(self, p: Plugin) -> Column:
+    def do_cidr(self, p: Plugin) -> None:
         address = self.template(strings(p.config.first("address"))[0])[0] if p.config.first("address") is not None else self.text("message")
         found = F.lit(False)
         for n in strings(p.config.first("network")):
             found = found | transforms.in_network(address, n)
-        outer = self.guard
-        self.guard = found if outer is None else outer & found
-        self.mutate(Pairs([(k, v) for k, v in p.config if k in ("add_tag", "remove_tag", "add_field", "remove_field")]))
-        self.guard = outer
-        p.config[:] = [(k, v) for k, v in p.config if k not in ("add_tag", "remove_tag", "add_field", "remove_field")]
+        self.only_where(p, found)
 
     def do_mac(self, p: Plugin) -> None:
         self.in_place(p.config, transforms.normal_mac)
@@ -765,7 +848,7 @@ class Compiler:
 
     def do_truncate(self, p: Plugin) -> None:
         size = int(str(p.config.first("length_bytes", 256)))
-        self.in_place(p.config, lambda c: F.left(c, F.lit(size)))
+        self.in_place(p.config, lambda c: transforms.cut_bytes(c, size))
 
     def do_i18n(self, p: Plugin) -> None:
         self.in_place(p.config, lambda c: F.translate(c, "áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"), ("source", "field", "fields", "transliterate"))
@@ -795,42 +878,103 @@ class Compiler:
         made = {"MD5": lambda: F.md5(text.cast("binary")), "SHA1": lambda: F.sha1(text.cast("binary")), "MURMUR3": lambda: F.hash(text).cast("string"), "UUID": lambda: F.expr("uuid()")}
         self.write(field_name(str(p.config.first("target", "fingerprint"))), made.get(method, lambda: F.sha2(text, int(re.sub(r"\D", "", method) or 256)))())
 
+    def key_of(self, p: Plugin) -> str:
+        key = p.config.first("key", self.runtime.key)
+        if key is None:
+            raise UnsupportedPlugin(f"line {p.line}: {p.name} needs a key")
+        return str(key)
+
     def do_anonymize(self, p: Plugin) -> None:
-        key = str(p.config.first("key", self.runtime.key))
+        key = self.key_of(p)
         self.in_place(p.config, lambda c: F.sha2(F.concat(F.lit(key), c), 256))
 
     def do_cipher(self, p: Plugin) -> None:
-        key, mode = F.lit(str(p.config.first("key", self.runtime.key))), str(p.config.first("mode", "encrypt"))
-        change = (lambda c: F.base64(F.aes_encrypt(c, key, F.lit("ECB")))) if mode == "encrypt" else lambda c: F.try_aes_decrypt(F.unbase64(c), key, F.lit("ECB")).cast("string")
+        """AES in the mode that algorithm names (aes-256-cbc, aes-128-gcm, ...); GCM unless named."""
+        key, way = F.lit(self.key_of(p)), str(p.config.first("mode", "encrypt"))
+        named = str(p.config.first("algorithm", "gcm")).upper().rsplit("-", 1)[-1]
+        mode = F.lit(named if named in ("ECB", "CBC", "GCM") else "GCM")
+        change = (lambda c: F.base64(F.aes_encrypt(c, key, mode))) if way == "encrypt" else lambda c: F.try_aes_decrypt(F.unbase64(c), key, mode).cast("string")
         self.in_place(p.config, change)
 
     def do_uuid(self, p: Plugin) -> None:
         self.write(field_name(str(p.config.first("target", "uuid"))), F.expr("uuid()"))
 
+    def share(self, key: Column) -> list[Column]:
+        """What a window over the events of a key is dealt by: the key where the guard holds, and else, as for events
+        without a key, a spread that keeps them apart; and whether an event takes part."""
+        held = self.temp("share", self.guarded(key.cast("string"), None))
+        others = [q(c) for c in self.df.columns if c in ("message",)] or [F.lit(0)]
+        spread = self.temp("spread", F.when(q(held).isNull(), F.pmod(F.xxhash64(*others), F.lit(4096))))
+        return [q(held), q(spread)]
+
+    def tagged(self, tag) -> Column:
+        return F.array_contains(self.tags(), str(tag))
+
     def do_elapsed(self, p: Plugin) -> None:
-        """Seconds since the previous event of the same id."""
-        key = field_name(str(p.config.first("unique_id_field", "id")))
-        order = field_name(str(p.config.first("timestamp_field", EVENT_TIME)))
-        micros = F.unix_micros(self.read(order)[0].cast("timestamp"))
-        by = Window.partitionBy(self.text(key)).orderBy(self.read(order)[0], *[q(c) for c in strings(p.config.first("tie_break"))])
-        self.write("elapsed.time", (micros - F.lag(micros).over(by)) / 1e6, "double")
+        """Seconds since the previous event of the same id; with start_tag and end_tag, from the last event with the
+        one to an event with the other. Beyond timeout (seconds) there is no time but a tag. Events without an id and
+        those of other branches take no part."""
+        c = p.config
+        dealt = self.share(self.text(field_name(str(c.first("unique_id_field", "id")))))
+        order = self.read(field_name(str(c.first("timestamp_field", EVENT_TIME))))[0]
+        micros = F.unix_micros(order.cast("timestamp"))
+        by = Window.partitionBy(*dealt).orderBy(order, *[q(x) for x in strings(c.first("tie_break"))])
+        start, end = c.first("start_tag"), c.first("end_tag")
+        earlier = by.rowsBetween(Window.unboundedPreceding, -1)
+        begun = F.last(F.when(self.tagged(start), micros), ignorenulls=True).over(earlier) if start is not None else F.lag(micros).over(by)
+        takes = dealt[0].isNotNull() & (self.tagged(end) if end is not None else F.lit(True))
+        passed = q(self.temp("passed", F.when(takes, (micros - begun) / 1e6)))
+        timeout = c.first("timeout")
+        late = passed > float(str(timeout)) if timeout is not None else F.lit(False)
+        self.write("elapsed.time", F.when(~late, passed), "double")
+        if end is not None:
+            self.tag(["elapsed", "elapsed_match"], F.coalesce(passed.isNotNull() & ~late, F.lit(False)))
+            self.tag(["elapsed_expired_error"], F.coalesce(late, F.lit(False)))
 
     def do_aggregate(self, p: Plugin) -> None:
-        """The events of a task share a map; at run time it is the count, and the sum of a field where one is named."""
-        task = self.template(str(p.config.first("task_id", "")))[0]
-        by = Window.partitionBy(task)
-        self.write("aggregate.count", F.count(F.lit(1)).over(by), "bigint")
-        if isinstance(total := p.config.first("sum_field"), str):
-            self.write("aggregate.sum", F.sum(self.text(field_name(total)).try_cast("double")).over(by), "double")
+        """The events of a task share a map. At run time aggregate.count is their number, and each simple statement of
+        the code on map[name] gives aggregate.name: += number or field (sum), ||= field (first), = field (last),
+        << field (all); the last three in the order of order_field. Events without a task take no part."""
+        c = p.config
+        dealt = self.share(F.nullif(self.template(str(c.first("task_id", "")))[0].cast("string"), F.lit("")))
+        whole = Window.partitionBy(*dealt)
+        order = self.read(field_name(str(c.first("order_field", EVENT_TIME))))[0]
+        ordered = whole.orderBy(order, *[q(x) for x in strings(c.first("tie_break"))]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        give = lambda name, value, kind: self.write(name, F.when(dealt[0].isNotNull(), value), kind)
+        give("aggregate.count", F.count(F.lit(1)).over(whole), "bigint")
+        if isinstance(total := c.first("sum_field"), str):
+            give("aggregate.sum", F.sum(self.text(field_name(total)).try_cast("double")).over(whole), "double")
+        for name, op, field_, number in MAP_STATEMENT.findall(str(c.first("code", ""))):
+            value = self.text(field_name(field_)) if field_ else F.lit(number)
+            if op == "+=":
+                give(f"aggregate.{name}", F.sum(value.try_cast("double")).over(whole), "double")
+            elif op == "<<":
+                give(f"aggregate.{name}", F.collect_list(value).over(ordered), "array")
+            else:
+                pick = F.first if op == "||=" else F.last
+                give(f"aggregate.{name}", pick(value, ignorenulls=True).over(ordered), "string")
 
     def do_throttle(self, p: Plugin) -> None:
-        """Events of a key beyond the limit get the tags, in the order of a field."""
-        key = self.template(str(p.config.first("key", "")))[0]
-        order = field_name(str(p.config.first("order_field", EVENT_TIME)))
-        by = Window.partitionBy(key).orderBy(self.read(order)[0], *[q(c) for c in strings(p.config.first("tie_break"))])
-        held = self.temp("nth", F.row_number().over(by))
-        over = q(held) > int(str(p.config.first("after_count", 1)))
+        """Events of a key beyond after_count, in the order of a field, are throttled, and those before before_count;
+        they get the tags and fields. Events without a key and those of other branches are never."""
+        c = p.config
+        dealt = self.share(F.nullif(self.template(str(c.first("key", "")))[0].cast("string"), F.lit("")))
+        order = self.read(field_name(str(c.first("order_field", EVENT_TIME))))[0]
+        by = Window.partitionBy(*dealt).orderBy(order, *[q(x) for x in strings(c.first("tie_break"))])
+        nth = q(self.temp("nth", F.row_number().over(by)))
+        least, most = int(str(c.first("before_count", 0))), int(str(c.first("after_count", 1)))
+        over = q(self.temp("over", dealt[0].isNotNull() & ((nth > most) | (nth < least))))
         self.write("throttled", over, "boolean")
+        self.only_where(p, over)
+
+    def only_where(self, p: Plugin, held: Column) -> None:
+        """Apply the decorators to some events, and take them out of the configuration."""
+        names = ("add_tag", "remove_tag", "add_field", "remove_field")
+        outer = self.guard
+        self.guard = held if outer is None else outer & held
+        self.mutate(Pairs([(k, v) for k, v in p.config if k in names]))
+        self.guard = outer
+        p.config[:] = [(k, v) for k, v in p.config if k not in names]
 
     def do_ruby(self, p: Plugin) -> None:
         """Code is not run; a deployment registers a function for it."""
@@ -838,6 +982,34 @@ class Compiler:
             raise UnsupportedPlugin(f"line {p.line}: ruby code needs a registered plugin")
 
 
+#: A statement on an aggregate's map: map['n'] += 1, map[:first] ||= event.get('f') and the like.
+MAP_STATEMENT = re.compile(r"""map\[[:'"](\w+)['"]?\]\s*(\+=|\|\|=|<<|=(?!=))\s*(?:event\.get\(\s*['"]([^'"]+)['"]\s*\)|(-?\d+(?:\.\d+)?))""")
+
+
+def picked(names: list[str]) -> Callable[[Column], Column]:
+    return lambda e: F.array(*[e[n] for n in names])
+
+
+def foldable(body: list) -> bool:
+    """Whether a loop's body only merges and replaces, and merges at all; @output anchors make rows of their own."""
+
+    def simple(statements: list) -> bool:
+        for x in statements:
+            if isinstance(x, If):
+                if not all(simple(a.body) for a in x.arms) or not simple(x.otherwise or []):
+                    return False
+            elif not isinstance(x, Plugin) or x.name != "mutate" or any(op not in ("merge", "replace") or not isinstance(v, Pairs) for op, v in x.config):
+                return False
+            elif any(not isinstance(t, str) and (op == "replace" or isinstance(t, Pairs)) or str(d).startswith("@") for op, v in x.config for d, t in v):
+                return False
+        return True
+
+    def merges(statements: list) -> bool:
+        return any(any(merges(a.body) for a in x.arms) or merges(x.otherwise or []) if isinstance(x, If) else any(op == "merge" for op, _ in x.config) for x in statements)
+
+    return simple(body) and merges(body)
+
+
 EXTERNAL = frozenset({*LOGSTASH_ONLY, "enrich_geoip", "jdbc_lookup", "threat_lookup", "cidr_lookup", "rest_filter", "http_filter"})
 
 

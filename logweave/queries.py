@@ -129,7 +129,7 @@ CASES: dict[str, Case] = {
     "base64_decode": Case(made("part", lambda: F.base64(F.col("p_name").cast("binary")), "p_partkey"), 'filter { base64 { source => "message" target => "plain" } }', ("p_partkey",), {"plain": "plain"}, "SELECT p_partkey, p_name AS plain FROM part"),
     "url_decode": Case(made("part", lambda: F.replace("p_name", F.lit(" "), F.lit("%20")), "p_partkey"), 'filter { url_decode { field => "message" } }', ("p_partkey",), {"message": "plain"}, "SELECT p_partkey, p_name AS plain FROM part"),
     "fingerprint": Case(made("customer", lambda: F.col("c_name"), "c_custkey"), 'filter { fingerprint { source => "message" method => "MD5" target => "m" } fingerprint { source => ["message"] method => "SHA256" key => "k" target => "s" } }', ("c_custkey",), {"m": "m", "s": "s"}, "SELECT c_custkey, md5(c_name) AS m, sha256('k' || c_name) AS s FROM customer"),
-    "anonymize_cipher": Case(made("customer", lambda: F.col("c_name"), "c_custkey"), 'filter { mutate { copy => { "message" => "a" } } anonymize { fields => ["a"] key => "salt" } cipher { source => "message" target => "c" mode => "encrypt" } cipher { source => "c" target => "d" mode => "decrypt" } }', ("c_custkey",), {"a": "a", "d": "d"}, "SELECT c_custkey, sha256('salt' || c_name) AS a, c_name AS d FROM customer"),
+    "anonymize_cipher": Case(made("customer", lambda: F.col("c_name"), "c_custkey"), 'filter { mutate { copy => { "message" => "a" } } anonymize { fields => ["a"] key => "salt" } cipher { source => "message" target => "c" mode => "encrypt" algorithm => "aes-128-cbc" key => "a key of 16 byte" } cipher { source => "c" target => "d" mode => "decrypt" algorithm => "aes-128-cbc" key => "a key of 16 byte" } }', ("c_custkey",), {"a": "a", "d": "d"}, "SELECT c_custkey, sha256('salt' || c_name) AS a, c_name AS d FROM customer"),
     "math_calculate": Case(made("lineitem", lambda: F.concat_ws(" ", F.concat(F.lit("q="), F.col("l_quantity").cast("string")), F.concat(F.lit("p="), F.col("l_linenumber").cast("string"))), "l_orderkey", "l_linenumber"), 'filter { kv { } math { calculate => [["*", "q", "p", "area"], ["+", "area", "1", "more"]] } }', ("l_orderkey", "l_linenumber"), {"area": "area", "more": "more"}, "SELECT l_orderkey, l_linenumber, l_quantity * l_linenumber AS area, l_quantity * l_linenumber + 1 AS more FROM lineitem"),
     "text_transforms": Case(
         made("part", lambda: F.concat_ws(",", F.concat(F.lit("host"), F.col("p_partkey").cast("string"), F.lit(".example."), F.when(F.col("p_size") % 2 == 0, "com").otherwise("org")), F.concat(F.col("p_size").cast("string"), F.lit(" KB")), F.lit("AA-BB-CC-00-11-22"), F.lit("café"), F.concat(F.lit("n "), F.col("p_size").cast("string"), F.lit(" of 7"))), "p_partkey"),
@@ -144,6 +144,24 @@ CASES: dict[str, Case] = {
     "throttle_row_number": Case(lambda s, d: table(s, d, "events").select("event_id", "ts", F.concat(F.lit("u="), F.col("user_id").cast("string")).alias("message")), 'filter { kv { } throttle { key => "%{u}" after_count => 3 order_field => "ts" tie_break => ["event_id"] } }', ("event_id",), {"throttled": "throttled"}, "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3 AS throttled FROM events"),
     "output_anchor_routing": Case(EVENT_LINES, 'filter { kv { } if [action] == "purchase" { mutate { merge => { "@output" => "sale" } } } else { mutate { merge => { "@output" => "visit" } } } mutate { merge => { "@output" => "raw" } } }', ("event_id",), {"_output": "anchors"}, "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'sale,raw' ELSE 'visit,raw' END AS anchors FROM events", then=lambda df: df.withColumn("anchors", F.array_join("anchors", ","))),
     "on_error_block": Case(made("events", lambda: F.when(F.col("event_id") % 5 == 0, F.lit("?")).otherwise(_event_line()), "event_id"), 'filter { grok { match => { "message" => "action=%{WORD:act}" } on_error => "on_error_grok" } on_error { mutate { replace => { "act" => "fallback" } } } }', ("event_id",), {"act": "act"}, "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'fallback' ELSE event_type END AS act FROM events"),
+    "loop_merge": Case(made("part", lambda: F.col("p_name"), "p_partkey"), 'filter { mutate { split => { "message" => " " } } for i, w in message { if [w] =~ /^[a-m]/ { mutate { replace => { "v" => "%{i}:%{w}" } } mutate { merge => { "all" => "v" } } } } }', ("p_partkey",), {"all": "every", "v": "last"}, "WITH w AS (SELECT p_partkey, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS i, unnest(string_split(p_name, ' ')) AS w FROM part), k AS (SELECT p_partkey, string_agg(i || ':' || w, ',' ORDER BY i) AS every, CASE WHEN bool_or(i = m) THEN arg_max(i || ':' || w, i) END AS last_ FROM (SELECT *, max(i) OVER (PARTITION BY p_partkey) AS m FROM w) WHERE regexp_matches(w, '^[a-m]') GROUP BY 1) SELECT p.p_partkey, coalesce(every, '') AS every, last_ AS last FROM part p LEFT JOIN k USING (p_partkey)", then=lambda df: df.withColumn("every", F.array_join("every", ","))),
+    "elapsed_guarded": Case(lambda s, d: table(s, d, "events").select("event_id", "ts", F.when(F.col("event_id") % 7 > 0, F.col("user_id")).alias("who"), F.col("event_type").alias("message")), 'filter { if [message] == "click" { elapsed { unique_id_field => "who" timestamp_field => "ts" tie_break => ["event_id"] } } }', ("event_id",), {"elapsed.time": "seconds"}, "SELECT event_id, CASE WHEN event_type = 'click' AND event_id % 7 > 0 THEN (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type, event_id % 7 > 0 ORDER BY ts, event_id)) / 1e6 END AS seconds FROM events"),
+    "elapsed_tags": Case(lambda s, d: table(s, d, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("message")), 'filter { if [message] == "view" { mutate { add_tag => ["begin"] } } else if [message] == "purchase" { mutate { add_tag => ["end"] } } elapsed { start_tag => "begin" end_tag => "end" unique_id_field => "user_id" timestamp_field => "ts" timeout => 100000 tie_break => ["event_id"] } }', ("event_id",), {"elapsed.time": "seconds", "tags": "tags"}, "WITH e AS (SELECT event_id, event_type, CASE WHEN event_type = 'purchase' THEN (epoch_us(ts) - max(CASE WHEN event_type = 'view' THEN epoch_us(ts) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / 1e6 END AS s FROM events) SELECT event_id, CASE WHEN s <= 100000 THEN s END AS seconds, concat_ws(',', CASE event_type WHEN 'view' THEN 'begin' WHEN 'purchase' THEN 'end' END, CASE WHEN s <= 100000 THEN 'elapsed,elapsed_match' WHEN s > 100000 THEN 'elapsed_expired_error' END) AS tags FROM e", then=lambda df: df.withColumn("tags", F.coalesce(F.array_join("tags", ","), F.lit("")))),
+    "aggregate_guarded": Case(made("events", _event_line, "event_id"), "filter { kv { } if [action] == \"click\" { aggregate { task_id => \"%{user}\" code => \"map[:n] += 1; map[:sum] += event.get('id')\" } } }", ("event_id",), {"aggregate.count": "c", "aggregate.n": "n", "aggregate.sum": "total"}, "SELECT event_id, CASE WHEN event_type = 'click' THEN count(*) OVER w END AS c, CASE WHEN event_type = 'click' THEN CAST(count(*) OVER w AS DOUBLE) END AS n, CASE WHEN event_type = 'click' THEN CAST(sum(event_id) OVER w AS DOUBLE) END AS total FROM events WINDOW w AS (PARTITION BY user_id, event_type = 'click')"),
+    "aggregate_map": Case(lambda s, d: table(s, d, "events").select("event_id", "ts", _event_line().alias("message")), "filter { kv { } aggregate { task_id => \"%{user}\" order_field => \"ts\" tie_break => [\"event_id\"] code => \"map[:first] ||= event.get('action'); map[:last] = event.get('id')\" } }", ("event_id",), {"aggregate.first": "first", "aggregate.last": "last"}, "SELECT event_id, first_value(event_type) OVER w AS first, CAST(last_value(event_id) OVER w AS VARCHAR) AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
+    "throttle_guarded": Case(lambda s, d: table(s, d, "events").select("event_id", "ts", F.concat(F.lit("a="), F.col("event_type"), F.when(F.col("event_id") % 3 > 0, F.concat(F.lit(" u="), F.col("user_id").cast("string"))).otherwise(F.lit(""))).alias("message")), 'filter { kv { } if [a] == "click" { throttle { key => "%{u}" after_count => 2 order_field => "ts" tie_break => ["event_id"] add_tag => ["slow"] } } }', ("event_id",), {"throttled": "throttled", "tags": "tags"}, "WITH t AS (SELECT event_id, event_type, event_id % 3 > 0 AND row_number() OVER (PARTITION BY user_id, event_type, event_id % 3 > 0 ORDER BY ts, event_id) > 2 AS o FROM events) SELECT event_id, CASE WHEN event_type = 'click' THEN o END AS throttled, CASE WHEN event_type = 'click' AND o THEN 'slow' END AS tags FROM t", then=lambda df: df.withColumn("tags", F.nullif(F.array_join("tags", ","), F.lit("")))),
+    "kv_quoted": Case(made("part", lambda: F.concat(F.lit('name="'), F.col("p_name"), F.lit("\" type='"), F.col("p_type"), F.lit("' brand=["), F.col("p_brand"), F.lit("] size="), F.col("p_size").cast("string")), "p_partkey"), 'filter { kv { default_keys => ["size", "0", "color", "none"] } }', ("p_partkey",), {"name": "name", "type": "type", "brand": "brand", "size": "size", "color": "color"}, "SELECT p_partkey, p_name AS name, p_type AS type, p_brand AS brand, CAST(p_size AS VARCHAR) AS size, 'none' AS color FROM part"),
+    "csv_wide": Case(made("part", lambda: F.concat(F.repeat(F.lit("x,"), F.lit(39)), F.lit('"say ""'), F.col("p_name"), F.lit('"", ok",'), F.col("p_size").cast("string")), "p_partkey"), "filter { csv { } }", ("p_partkey",), {"column39": "c39", "column40": "c40", "column41": "c41", "column42": "c42"}, "SELECT p_partkey, 'x' AS c39, 'say \"' || p_name || '\", ok' AS c40, CAST(p_size AS VARCHAR) AS c41, CAST(NULL AS VARCHAR) AS c42 FROM part"),
+    "csv_convert": Case(made("part", lambda: F.concat_ws(";", F.col("p_size").cast("string"), F.lit(""), F.col("p_retailprice").cast("string")), "p_partkey"), 'filter { csv { separator => ";" columns => ["size", "empty", "price"] convert => { "size" => "integer" "price" => "float" } } }', ("p_partkey",), {"size": "size", "empty": "empty", "price": "price"}, "SELECT p_partkey, CAST(p_size AS BIGINT) AS size, CAST(NULL AS VARCHAR) AS empty, p_retailprice AS price FROM part"),
+    "truncate_bytes": Case(made("part", lambda: F.concat(F.repeat(F.lit("é"), F.col("p_size") % 4), F.lit("ab漢")), "p_partkey"), 'filter { truncate { fields => ["message"] length_bytes => 5 } }', ("p_partkey",), {"message": "t"}, "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'ab漢' WHEN 1 THEN 'éab' WHEN 2 THEN 'ééa' ELSE 'éé' END AS t FROM part"),
+    "cidr_ipv6": Case(made("events", lambda: F.concat(F.lit("ip=2001:db8:"), F.hex(F.col("user_id") % 4), F.lit("::"), F.hex(F.col("event_id"))), "event_id"), 'filter { kv { } cidr { address => ["%{ip}"] network => ["2001:db8::/47", "10.0.0.0/8"] add_field => { "in" => "y" } } }', ("event_id",), {"in": "inside"}, "SELECT event_id, CASE WHEN user_id % 4 < 2 THEN 'y' END AS inside FROM events"),
+    "xml_nodes": Case(made("part", lambda: F.concat(F.lit('<p id="'), F.col("p_size").cast("string"), F.lit('"><w>'), F.replace("p_name", F.lit(" "), F.lit("</w><w>")), F.lit("</w></p>")), "p_partkey"), 'filter { xml { source => "message" xpath => { "/p/w/text()" => "words" "/p/@id" => "id" } } }', ("p_partkey",), {"words": "words", "id": "id"}, "SELECT p_partkey, replace(p_name, ' ', ',') AS words, CAST(p_size AS VARCHAR) AS id FROM part", then=lambda df: df.withColumn("words", F.array_join("words", ",")).withColumn("id", F.array_join("id", ","))),
+    "on_error_any": Case(made("events", lambda: F.when(F.col("event_id") % 5 == 0, F.lit('{"a":1}')).when(F.col("event_id") % 5 == 1, F.lit("x=1")).otherwise(F.lit("none")), "event_id"), 'filter { json { source => "message" on_error => "bad_json" } grok { match => { "message" => "x=%{INT:x}" } on_error => "bad_grok" } on_error { mutate { replace => { "state" => "%{bad_json}/%{bad_grok}" } } } }', ("event_id",), {"state": "state"}, "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'false/true' WHEN 1 THEN 'true/false' ELSE 'true/true' END AS state FROM events"),
+    "grok_syslog": Case(made("events", lambda: F.concat(F.lit("<"), (F.col("event_id") % 192).cast("string"), F.lit(">1 2024-03-01T10:00:00Z host"), F.col("user_id").cast("string"), F.lit(" "), F.col("event_type"), F.lit(' 77 ID [a b="c"] did it')), "event_id"), 'filter { grok { match => { "message" => "%{SYSLOG5424LINE}" } } }', ("event_id",), {"syslog5424_pri": "pri", "syslog5424_host": "host", "syslog5424_app": "app", "syslog5424_sd": "sd", "syslog5424_msg": "msg"}, "SELECT event_id, CAST(event_id % 192 AS VARCHAR) AS pri, 'host' || user_id AS host, event_type AS app, '[a b=\"c\"]' AS sd, 'did it' AS msg FROM events"),
+    "grok_syslog_base": Case(made("events", lambda: F.concat(F.lit("Mar  1 10:00:00 web"), F.col("user_id").cast("string"), F.lit(".example.org "), F.col("event_type"), F.lit("["), (F.col("event_id") + 1).cast("string"), F.lit("]: all is well")), "event_id"), 'filter { grok { match => { "message" => "%{SYSLOGLINE}" } } }', ("event_id",), {"timestamp": "at", "logsource": "host", "program": "program", "pid": "pid"}, "SELECT event_id, 'Mar  1 10:00:00' AS at, 'web' || user_id || '.example.org' AS host, event_type AS program, CAST(event_id + 1 AS VARCHAR) AS pid FROM events"),
+    "grok_firewall": Case(made("events", lambda: F.concat(F.lit("Deny tcp src outside:10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".1/"), (F.col("event_id") % 60000).cast("string"), F.lit(' dst inside:192.168.0.7/443 by access-group "acl" [0x0, 0x0]')), "event_id"), 'filter { grok { match => { "message" => "%{CISCOFW106023}" } } }', ("event_id",), {"action": "action", "protocol": "protocol", "src_ip": "src", "src_port": "port", "dst_ip": "dst", "policy_id": "policy"}, "SELECT event_id, 'Deny' AS action, 'tcp' AS protocol, '10.0.' || user_id % 256 || '.1' AS src, CAST(event_id % 60000 AS VARCHAR) AS port, '192.168.0.7' AS dst, 'acl' AS policy FROM events"),
+    "grok_web": Case(made("events", lambda: F.concat(F.lit('10.1.2.3 - bob [10/Oct/2000:13:55:36 -0700] "GET /'), F.col("event_type"), F.lit("?id="), F.col("event_id").cast("string"), F.lit(' HTTP/1.1" 200 '), F.col("user_id").cast("string"), F.lit(' "-" "curl/8"')), "event_id"), 'filter { grok { match => { "message" => "%{HTTPD_COMBINEDLOG}" } } }', ("event_id",), {"clientip": "client", "verb": "verb", "request": "request", "response": "status", "bytes": "bytes", "agent": "agent"}, "SELECT event_id, '10.1.2.3' AS client, 'GET' AS verb, '/' || event_type || '?id=' || event_id AS request, '200' AS status, CAST(user_id AS VARCHAR) AS bytes, '\"curl/8\"' AS agent FROM events"),
+    "grok_load_balancer": Case(made("events", lambda: F.concat(F.lit("Feb  6 12:14:14 lb haproxy[14]: 10.0.1.2:33317 [06/Feb/2009:12:14:14.655] http-in static/srv"), F.col("user_id").cast("string"), F.lit(" 10/0/30/69/109 200 "), F.col("event_id").cast("string"), F.lit(' - - ---- 1/1/1/1/0 0/0 "GET /'), F.col("event_type"), F.lit(' HTTP/1.1"')), "event_id"), 'filter { grok { match => { "message" => "%{HAPROXYHTTP}" } } }', ("event_id",), {"server_name": "server", "bytes_read": "bytes", "http_verb": "verb", "http_request": "path"}, "SELECT event_id, 'srv' || user_id AS server, CAST(event_id AS VARCHAR) AS bytes, 'GET' AS verb, '/' || event_type AS path FROM events"),
 }
 
 

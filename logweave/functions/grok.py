@@ -74,9 +74,14 @@ class Capture:
     group: int = 0
 
 
-def captures(pattern: str) -> list[Capture]:
-    """The named captures of a pattern, in order."""
-    found = [(m.start(), Capture(m[2], m[0], m[3])) for m in _REFERENCE.finditer(pattern) if m[2]]
+def captures(pattern: str, library: dict[str, str] | None = None, depth: int = 0) -> list[Capture]:
+    """The named captures of a pattern, in order, and with a library those inside the patterns that it refers to."""
+    found: list[tuple[int, Capture]] = []
+    for m in _REFERENCE.finditer(pattern):
+        if m[2]:
+            found.append((m.start(), Capture(m[2], m[0], m[3])))
+        if library is not None and depth < MAX_DEPTH and ":" in library.get(m[1], ""):
+            found += [(m.start(), c) for c in captures(library[m[1]], library, depth + 1)]
     found += [(m.start(), Capture(m[1], m[0], None)) for m in _NAMED.finditer(pattern)]
     return [c for _, c in sorted(found, key=lambda x: x[0])]
 

@@ -50,8 +50,7 @@ def lineage_compat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage_audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = corpus.audit_totals(corpus.analyze_corpus(nation_parsers(spark, sf_dir), ("secops", "logstash")))
-    return totals.where("kind <> 'taint'")
+    return corpus.audit_totals(corpus.analyze_corpus(nation_parsers(spark, sf_dir), ("secops", "logstash")))
 
 
 def lineage_affected_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,17 +69,20 @@ def lineage_failure_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineage_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = corpus.audit_totals(_raw(spark, sf_dir))
     old = corpus.audit_totals(corpus.analyze_corpus(nation_parsers(spark, sf_dir).where("path < 'NATION_2'")))
-    return corpus.regressions(now, old).where("kind <> 'taint'").drop("dialect")
+    return corpus.regressions(now, old).drop("dialect")
 
 
 def lineage_soundness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields that a run writes and the analysis does not know: none."""
+    """The fields that a run over the events fills, for how many events, and whether the analysis knows each."""
     code = 'filter { kv { } if [action] == "click" { mutate { replace => { "a.b" => "%{user}" } } } grok { match => { "message" => "id=%{INT:n}" } } mutate { copy => { "n" => "m" } add_tag => ["t"] } }'
     events = table(spark, sf_dir, "events").select(_event_line().alias("message"))
-    written = [c for c in run_parser(code, events).columns if c != "message"]
+    run = run_parser(code, events)
+    written = [c for c in run.columns if c != "message"]
+    counts = run.agg(F.create_map(*[x for c in written for x in (F.lit(c), F.count(F.col(f"`{c}`")))]).alias("n")).select(F.explode("n").alias("token", "events"))
+    observed = counts.where("events > 0").select(F.lit("p").alias("path"), F.lit("secops").alias("dialect"), "token", "events")
     raw = corpus.analyze_corpus(spark.range(1).select(F.lit("p").alias("path"), F.lit(code).alias("code")))
-    observed = spark.range(1).select(F.lit("p").alias("path"), F.lit("secops").alias("dialect"), F.explode(F.array(*map(F.lit, written))).alias("token"))
-    return corpus.uncovered(observed, raw)
+    unknown = corpus.uncovered(observed, raw).select("token", F.lit(True).alias("unknown"))
+    return observed.join(unknown, "token", "left").select("token", "events", F.col("unknown").isNull().alias("known"))
 
 
 def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +110,12 @@ SQL = {
         UNION ALL SELECT n_name, 'conditional', 'nation', 'NOT([nation] == "' || n_name || '")' || CASE WHEN n_regionkey = 1 THEN ' & NOT(drop path: [kind] == "noise")' ELSE '' END, 'uppercase', 'kv_key' FROM nation""",
     "lineage_list_fields": f"SELECT n_name AS path, f.udm_field FROM nation, (VALUES ({_C}), ('event.idm.read_only_udm.principal.ip')) AS f(udm_field)",
     "lineage_compat_counts": """SELECT n_name AS path, status, CAST(n AS BIGINT) AS n FROM nation, (VALUES ('exact', 1), ('derived', 1), ('conditional', 2)) AS s(status, n) UNION ALL SELECT n_name, 'unresolved', 1 FROM nation WHERE n_regionkey = 0""",
-    "lineage_audit_totals": """SELECT d.dialect, k.kind, k.code, count(*) AS parsers, count(*) AS n FROM nation, (VALUES ('secops'), ('logstash')) AS d(dialect), (VALUES (0, 'unsupported', 'unsupported_plugin'), (1, 'warning', 'drop')) AS k(region, kind, code) WHERE n_regionkey = k.region GROUP BY ALL""",
+    "lineage_audit_totals": """SELECT d.dialect, k.kind, k.code, count(*) AS parsers, count(*) AS n FROM nation, (VALUES ('secops'), ('logstash')) AS d(dialect), (VALUES (0, 'taint', 'unsupported_plugin'), (0, 'unsupported', 'unsupported_plugin'), (1, 'warning', 'drop')) AS k(region, kind, code) WHERE n_regionkey = k.region GROUP BY ALL""",
     "lineage_affected_fields": f"SELECT n_name AS path, f.token, CAST(1 AS BIGINT) AS n FROM nation, (VALUES ({_C}), ('event.idm.read_only_udm.principal.ip')) AS f(token)",
     "lineage_anchors": "SELECT n_name AS path, 'event' AS anchor, CASE WHEN n_regionkey = 1 THEN 'NOT(drop path: [kind] == \"noise\")' ELSE '' END AS conditions FROM nation",
     "lineage_failure_routes": "SELECT n_name AS path, t.plugin, t.tag, t.plugin || ' failure' AS conditions FROM nation, (VALUES ('kv', '_kvparsefailure'), ('grok', '_grokparsefailure'), ('grok', '_groktimeout')) AS t(plugin, tag)",
-    "lineage_regressions": "SELECT k.kind, k.code, count(*) AS n, count(*) FILTER (WHERE n_name < 'NATION_2') AS was FROM nation, (VALUES (0, 'unsupported', 'unsupported_plugin'), (1, 'warning', 'drop')) AS k(region, kind, code) WHERE n_regionkey = k.region GROUP BY ALL HAVING count(*) > count(*) FILTER (WHERE n_name < 'NATION_2')",
-    "lineage_soundness": "SELECT 'p' AS path, 'secops' AS dialect, 't' AS token WHERE false",
+    "lineage_regressions": "SELECT k.kind, k.code, count(*) AS n, count(*) FILTER (WHERE n_name < 'NATION_2') AS was FROM nation, (VALUES (0, 'taint', 'unsupported_plugin'), (0, 'unsupported', 'unsupported_plugin'), (1, 'warning', 'drop')) AS k(region, kind, code) WHERE n_regionkey = k.region GROUP BY ALL HAVING count(*) > count(*) FILTER (WHERE n_name < 'NATION_2')",
+    "lineage_soundness": "SELECT token, events, true AS known FROM (SELECT 'a.b' AS token, count(*) FILTER (WHERE event_type = 'click') AS events FROM events UNION ALL SELECT t.token, count(*) FROM events, (VALUES ('n'), ('m'), ('tags')) AS t(token) GROUP BY 1) WHERE events > 0",
     "stream_route": "SELECT event_id, CAST(user_id AS VARCHAR) AS \"user\", CASE WHEN event_type = 'click' THEN 'CLICK' ELSE 'REST' END AS verb FROM events WHERE event_type <> 'view'",
     "stream_elapsed": "SELECT event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS seconds FROM events",
 }

@@ -588,7 +588,7 @@ class Analyzer:
             found: dict[str, list[Lineage]] = {}
             shapes: dict[str, list[str]] = {}
             for pattern in patterns if isinstance(patterns, list) else [patterns]:
-                for c in grok.captures(str(pattern)):
+                for c in grok.captures(str(pattern), library):
                     m = re.match(r"%\{(\w+)", c.pattern)
                     body = grok.expand(m[1], library) if m else None
                     details = (("resolved_pattern_body", body), ("resolved_pattern_name", m[1])) if body else ()

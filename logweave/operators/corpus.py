@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.operators.model import LIVE, Diagnostic
+from logweave.operators.model import PRECEDENCE, LIVE, Diagnostic
 from logweave.operators.query import UDM, ParserLineage
 from logweave.operators.registry import DIALECTS, MAX_PARSER_BYTES
 from logweave.sources.folders import shared_path
@@ -55,10 +55,13 @@ def analyzed_rows(path: str, code: str, dialect: str, options: dict) -> list[tup
 
 
 def read_parsers(spark, root: str, pattern: str = "*.cbn", max_bytes: int = MAX_PARSER_BYTES) -> DataFrame:
-    """parsers(path, code): every file below root whose name fits, without a byte-order mark, up to max_bytes."""
+    """parsers(path, code, problem): every file below root whose name fits, without a byte-order mark. One over
+    max_bytes has no code but a problem, which becomes a diagnostic."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
     code = F.regexp_replace("value", "^﻿", "")
-    return files.select(F.col("_metadata.file_path").alias("path"), code.alias("code")).where(F.octet_length("code") <= max_bytes)
+    fits = F.octet_length("code") <= max_bytes
+    read = files.select(F.col("_metadata.file_path").alias("path"), code.alias("code"))
+    return read.select("path", F.when(fits, F.col("code")).alias("code"), F.when(~fits, F.format_string("the source has more than %d bytes", F.lit(max_bytes))).alias("problem"))
 
 
 def analyze_corpus(parsers: DataFrame, dialects: tuple[str, ...] = ("secops",), partitions: int | None = None, **options) -> DataFrame:
@@ -73,11 +76,12 @@ def analyze_corpus(parsers: DataFrame, dialects: tuple[str, ...] = ("secops",),
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, code in zip(frame["path"], frame["code"], strict=True):
+            for path, code, problem in zip(frame["path"], frame["code"], frame["problem"], strict=True):
                 for d in dialects:
-                    yield pd.DataFrame(analyzed_rows(path, code or "", d, options), columns=["path", "dialect", "kind", "ord", "payload"])
+                    unread = [(path, d, "diagnostic", 0, json.dumps(asdict(Diagnostic("source_unreadable", "unsupported", problem))))] if problem else None
+                    yield pd.DataFrame(unread or analyzed_rows(path, code or "", d, options), columns=["path", "dialect", "kind", "ord", "payload"])
 
-    slim = parsers.select("path", F.coalesce("code", F.lit("")).alias("code"))
+    slim = parsers.select("path", F.coalesce("code", F.lit("")).alias("code"), F.col("problem") if "problem" in parsers.columns else F.lit(None).cast("string").alias("problem"))
     spread = slim.repartition(partitions, "path") if partitions else slim.repartition("path")
     return spread.mapInPandas(run, RAW)
 
@@ -98,13 +102,12 @@ def corpus_table(raw: DataFrame, kind: str) -> DataFrame:
 
 def status_column(statuses, mappings, repeating):
     """The precedence of a field's status over the set of its rows' statuses."""
-    has = lambda s: F.array_contains(statuses, s)
-    only = lambda s: (F.size(statuses) == 1) & has(s)
-    return (
-        F.when(mappings == 0, "unresolved").when(only("unresolved"), "unresolved").when(has("unresolved") | (has("removed") & (F.size(statuses) > 1)), "partial")
-        .when(has("dynamic"), "dynamic").when(only("removed"), "removed").when(has("conditional"), "conditional")
-        .when((mappings > 1) & (has("repeated") | repeating), "repeated").when(mappings > 1, "derived").otherwise(F.element_at(statuses, 1))
-    )
+    out = F.when(mappings == 0, "unresolved")
+    for test, status, result in PRECEDENCE:
+        alone = {"has": F.lit(True), "only": F.size(statuses) == 1, "mixed": F.size(statuses) > 1}[test]
+        out = out.when(F.array_contains(statuses, status) & alone, result)
+    many = F.when(F.array_contains(statuses, "repeated") | repeating, "repeated").otherwise("derived")
+    return out.when(mappings > 1, many).otherwise(F.element_at(statuses, 1))
 
 
 def query_fields(raw: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -149,27 +149,26 @@ class Diagnostics:
 _REPEATING = re.compile(r"\b(?:merge|add_tag|add_field)\b")
 
 
+#: How the set of a field's row statuses becomes one: (test, status, result), the first that holds. "only" means no other
+#: status, "has" any row, "mixed" a row beside other statuses.
+PRECEDENCE = (
+    ("only", "unresolved", "unresolved"), ("has", "unresolved", "partial"), ("mixed", "removed", "partial"), ("has", "dynamic", "dynamic"),
+    ("has", "removed", "removed"), ("has", "conditional", "conditional"),
+)
+
+
 def collapse(mappings: list[Lineage]) -> str:
     """The status of a field with these mappings."""
-    statuses = {m.status for m in mappings}
-    if not mappings:
-        return "unresolved"
-    if not statuses <= set(STATUSES):
-        return "partial" if statuses & LIVE else "unresolved"
-    if statuses == {"unresolved"}:
-        return "unresolved"
-    if "unresolved" in statuses or ("removed" in statuses and len(statuses) > 1):
-        return "partial"
-    if "dynamic" in statuses:
-        return "dynamic"
-    if statuses == {"removed"}:
-        return "removed"
-    if "conditional" in statuses:
-        return "conditional"
-    if len(mappings) > 1:
-        words = (w for m in mappings for w in (*m.transformations, *m.parser_locations))
-        return "repeated" if "repeated" in statuses or any(map(_REPEATING.search, words)) else "derived"
-    return mappings[0].status
+    held = {m.status for m in mappings}
+    if not held or not held <= set(STATUSES):
+        return "partial" if held & LIVE else "unresolved"
+    for test, status, result in PRECEDENCE:
+        if status in held and (test == "has" or (test == "only") == (len(held) == 1)):
+            return result
+    if len(mappings) == 1:
+        return mappings[0].status
+    words = (w for m in mappings for w in (*m.transformations, *m.parser_locations))
+    return "repeated" if "repeated" in held or any(map(_REPEATING.search, words)) else "derived"
 
 
 def union_type(types) -> str:
@@ -186,6 +185,8 @@ class QueryResult:
     unsupported: list[str] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
     diagnostics: list[Diagnostic] = field(default_factory=list)
+    #: Of a compact result, the rows of a list that to_json gives.
+    sample_limit: int | None = None
 
     @property
     def status(self) -> str:
@@ -209,6 +210,7 @@ class QueryResult:
 
     def to_json(self, sample_limit: int | None = None) -> dict:
         """A stable set of keys; with a limit, lists are sampled and totals are given."""
+        sample_limit = self.sample_limit if sample_limit is None else sample_limit
         full = {
             "udm_field": self.udm_field, "status": self.status, "is_conditional": self.is_conditional, "has_dynamic": self.has_dynamic,
             "has_unresolved": self.has_unresolved, "has_taints": self.has_taints, "normalized_candidates": self.normalized_candidates,

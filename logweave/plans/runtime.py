@@ -74,7 +74,9 @@ def strings(value) -> list[str]:
 
 class Compiler:
     def __init__(self, df: DataFrame, runtime: Runtime) -> None:
-        self.df, self.runtime = df, runtime
+        self._df, self.runtime = df, runtime
+        #: Assigned columns that are not yet part of the frame: assignments that do not read each other become one projection.
+        self.pending: dict[str, Column] = {}
         self.kinds: dict[str, str] = {n: "array" if t.startswith("array") else "map" if t.startswith("map") else t for n, t in df.dtypes}
         self.hints: list[Hint] = []
         self.hidden: list[str] = []
@@ -87,6 +89,22 @@ class Compiler:
 
     # Reading and writing fields
 
+    @property
+    def df(self) -> DataFrame:
+        if self.pending:
+            self._df, self.pending = self._df.withColumns(self.pending), {}
+        return self._df
+
+    @df.setter
+    def df(self, frame: DataFrame) -> None:
+        self._df = frame
+
+    def col(self, name: str) -> Column:
+        """A column as it is now; what was assigned to it is put in place first."""
+        if name in self.pending:
+            self.df  # noqa: B018
+        return q(name)
+
     def temp(self, stem: str, value: Column) -> str:
         name = f"__{stem}_{len(self.hidden)}"
         self.hidden.append(name)
@@ -98,18 +116,18 @@ class Compiler:
             return self.local[token]
         token = self.aliases.get(token, token)
         if token in self.kinds:
-            return q(token), self.kinds[token]
+            return self.col(token), self.kinds[token]
         head, _, rest = token.partition(".")
         if rest and head in self.aliases:
             return self.read(f"{self.aliases[head]}.{rest}")
         for parent in sorted((k for k in self.kinds if token.startswith(k + ".")), key=len, reverse=True):
             path = token[len(parent) + 1 :]
             if self.kinds[parent] == "map":
-                return F.element_at(q(parent), F.lit(path)), "string"
+                return F.element_at(self.col(parent), F.lit(path)), "string"
             if self.kinds[parent] == "array" and path.isdigit():
-                return F.get(q(parent), F.lit(int(path))), "string"
+                return F.get(self.col(parent), F.lit(int(path))), "string"
             if self.kinds[parent] == "string" and parent in self.aliases.values():
-                return F.get_json_object(q(parent), json_path(path)), "string"
+                return F.get_json_object(self.col(parent), json_path(path)), "string"
         found = [c for h in reversed(self.hints) if (c := self.inferred(h, token)) is not None]
         if not found:
             return F.lit(None).cast("string"), "string"
@@ -121,22 +139,22 @@ class Compiler:
                 return None
             token = token[len(hint.target) + 1 :]
         if hint.kind == "json":
-            return F.get_json_object(q(hint.column), json_path(token))
+            return F.get_json_object(self.col(hint.column), json_path(token))
         leaf = token.rsplit(".", 1)[-1]
         if hint.include and leaf not in hint.include or leaf in hint.exclude:
             return None
         if hint.kind == "csv":
             m = re.fullmatch(r"column(\d+)", token)
-            return F.get(q(hint.column), F.lit(int(m[1]) - 1)) if m else None
+            return F.get(self.col(hint.column), F.lit(int(m[1]) - 1)) if m else None
         before, behind, trim, wraps, prefix = hint.shape
         if not token.startswith(prefix):
             return None
         key = re.sub(r"([^\w ])", r"\\\1", token[len(prefix) :])
-        value = F.regexp_extract(q(hint.column), f"{before}{key}{behind}", 1)
+        value = F.regexp_extract(self.col(hint.column), f"{before}{key}{behind}", 1)
         value = F.regexp_replace(value, wraps, "$1$2$3$4$5")
         value = F.nullif(F.regexp_replace(value, trim, "") if trim else value, F.lit(""))
         default = dict(hint.defaults).get(token[len(prefix) :])
-        return F.coalesce(value, F.when(q(hint.column).isNotNull(), F.lit(default))) if default is not None else value
+        return F.coalesce(value, F.when(self.col(hint.column).isNotNull(), F.lit(default))) if default is not None else value
 
     def text(self, token: str) -> Column:
         column, kind = self.read(token)
@@ -151,7 +169,7 @@ class Compiler:
         """Assign, keeping the old value where the guard does not hold."""
         old = None
         if token in self.kinds:
-            old = q(token)
+            old = self.col(token)
             if self.kinds[token] != kind and self.guard is not None:
                 if kind == "array":
                     old = F.when(old.isNotNull(), F.array(old.cast("string")))
@@ -162,16 +180,17 @@ class Compiler:
         elif self.guard is not None and self.hints:
             inferred, _ = self.read(token)
             old = inferred if kind == "string" else None
-        self.df = self.df.withColumn(token, self.guarded(value, old))
+        new = self.guarded(value, old)
+        if token in self.pending:
+            self.df  # noqa: B018
+        self.pending[token] = new
         self.kinds[token] = kind
 
     def forget(self, token: str) -> None:
         """Remove a field and all below it."""
         for name in [k for k in self.kinds if k == token or k.startswith(token + ".")]:
-            if self.guard is None:
-                self.df = self.df.withColumn(name, F.lit(None).cast(self.df.schema[name].dataType))
-            else:
-                self.df = self.df.withColumn(name, F.when(~self.guard, q(name)))
+            own = self.col(name)
+            self.pending[name] = F.when(F.lit(False) if self.guard is None else ~self.guard, own)
 
     def template(self, text) -> tuple[Column, str]:
         """A string with %{references}. A reference that has no value stands for nothing, as an empty string;
@@ -214,12 +233,12 @@ class Compiler:
             held = parts[0]
             for p in parts[1:]:
                 held = held & p
-            self.guard = q(self.temp("arm", held))
+            self.guard = self.col(self.temp("arm", held))
             prior = self.guard if prior is None else prior | self.guard
             self.run(arm.body)
         if s.otherwise is not None:
             rest = ~prior if outer is None else outer & ~prior
-            self.guard = q(self.temp("arm", rest))
+            self.guard = self.col(self.temp("arm", rest))
             self.run(s.otherwise)
         self.guard = outer
 
@@ -259,7 +278,7 @@ class Compiler:
                 self.kinds[column_name] = "string" if not column_name.startswith("__at") else "int"
                 self.aliases[name] = column_name
         outer = self.guard
-        there = q(names[1]).isNotNull()
+        there = self.col(names[1]).isNotNull()
         self.guard = there if outer is None else outer & there
         self.run(s.body)
         self.guard = outer
@@ -315,7 +334,7 @@ class Compiler:
             self.local = None
             return F.struct(*[v.alias(f"a{k}") for k, v in enumerate(values)], *finals)
 
-        held = q(self.temp("fold", F.transform(array, step)))
+        held = self.col(self.temp("fold", F.transform(array, step)))
         for name in dict.fromkeys(merged):
             every = F.flatten(F.transform(held, picked([f"a{k}" for k, n in enumerate(merged) if n == name])))
             self.append(name, F.filter(every, lambda v: v.isNotNull()), "array")
@@ -377,7 +396,7 @@ class Compiler:
         self.write("tags", new if when is None else F.when(when, new).otherwise(old), "array")
 
     def tags(self) -> Column:
-        return F.coalesce(q("tags"), F.array().cast("array<string>")) if "tags" in self.kinds else F.array().cast("array<string>")
+        return F.coalesce(self.col("tags"), F.array().cast("array<string>")) if "tags" in self.kinds else F.array().cast("array<string>")
 
     def fallback_source(self, config: Pairs) -> str:
         return field_name(str(config.first("source", "message")))
@@ -397,7 +416,7 @@ class Compiler:
                     options.append(grok.compile_pattern(x, self.library | own))
                 except grok.UnknownPattern:  # such a pattern matches nothing, so the failure tags tell
                     options.append(("(?!)", []))
-            hits = [q(self.temp("grok", F.coalesce(text.rlike(regex), F.lit(False)))) for regex, _ in options]
+            hits = [self.col(self.temp("grok", F.coalesce(text.rlike(regex), F.lit(False)))) for regex, _ in options]
             values: dict[str, list] = {}
             for (regex, found), hit in zip(options, hits, strict=True):
                 for c in found:
@@ -413,7 +432,7 @@ class Compiler:
             position = {id(h): e for h, e in zip(hits, exclusive, strict=True)}
             for token, found in values.items():
                 kind = found[0][2]
-                old = q(token) if token in self.kinds and self.kinds[token] == kind else F.lit(None).cast(kind)
+                old = self.col(token) if token in self.kinds and self.kinds[token] == kind else F.lit(None).cast(kind)
                 for hit, value, _ in reversed(found):
                     old = F.when(position[id(hit)], value).otherwise(old)
                 self.write(token, old, kind)
@@ -461,7 +480,7 @@ class Compiler:
         pattern = f"(?s){re.escape(sep)}({mark}(?:[^{mark}]++|{mark}{mark})*+{mark}(?={re.escape(sep)}|$)|{plain})"
         found = F.regexp_extract_all(F.concat(F.lit(sep), text), F.lit(pattern), F.lit(1))
         inner = lambda x: F.regexp_replace(F.regexp_extract(x, f"(?s)^{mark}(.*){mark}$", 1), mark + mark, str(c.first("quote_char", '"')))
-        parts = q(self.temp("csv", F.transform(found, lambda x: F.when(x.rlike(f"(?s)^{mark}.*{mark}$"), inner(x)).otherwise(F.nullif(x, F.lit(""))))))
+        parts = self.col(self.temp("csv", F.transform(found, lambda x: F.when(x.rlike(f"(?s)^{mark}.*{mark}$"), inner(x)).otherwise(F.nullif(x, F.lit(""))))))
         if names and c.first("skip_header") in (True, "true"):
             header = parts == F.array(*map(F.lit, names))
             self.df = self.df.where(~F.coalesce(header if self.guard is None else self.guard & header, F.lit(False)))
@@ -489,7 +508,7 @@ class Compiler:
         for source, mapping in p.config.first("mapping", p.config.first("match", Pairs())):
             text = self.text(field_name(source))
             regex, fields = transforms.dissect_regex(str(mapping))
-            hit = q(self.temp("dissect", F.coalesce(text.rlike(regex), F.lit(False))))
+            hit = self.col(self.temp("dissect", F.coalesce(text.rlike(regex), F.lit(False))))
             parts: dict[str, list[Column]] = {}
             for kind, name, group in fields:
                 if kind != "indirect":
@@ -501,7 +520,7 @@ class Compiler:
         for token, kind in p.config.first("convert_datatype", Pairs()):
             if field_name(token) in self.kinds:
                 name = {"int": "bigint", "float": "double"}.get(str(kind), "string")
-                self.write(field_name(token), q(field_name(token)).try_cast(name), name)
+                self.write(field_name(token), self.col(field_name(token)).try_cast(name), name)
         return failed
 
     # Mutate
@@ -534,7 +553,7 @@ class Compiler:
             name = self.name(dest)
             if name in self.kinds:
                 new, kind = self.template(text)
-                self.write(name, F.when(q(name).isNotNull(), new), kind)
+                self.write(name, F.when(self.col(name).isNotNull(), new), kind)
 
     def mutate_add_field(self, value) -> None:
         for dest, text in self.pairs(value):
@@ -542,7 +561,7 @@ class Compiler:
             if name not in self.kinds:
                 self.write(name, new)
             else:
-                old = q(name) if self.kinds[name] == "array" else F.when(q(name).isNotNull(), F.array(q(name).cast("string")))
+                old = self.col(name) if self.kinds[name] == "array" else F.when(self.col(name).isNotNull(), F.array(self.col(name).cast("string")))
                 self.write(name, F.array_append(F.coalesce(old, F.array().cast("array<string>")), new), "array")
 
     def mutate_rename(self, value) -> None:
@@ -562,7 +581,7 @@ class Compiler:
             present = column.isNotNull()
             self.write(dest, F.when(present, column).otherwise(old) if old is not None and self.kinds.get(dest) == kind else column, kind)
         for name in below:
-            self.write(dest + name[len(source) :], q(name), self.kinds[name])
+            self.write(dest + name[len(source) :], self.col(name), self.kinds[name])
         if away:
             self.forget(source)
 
@@ -633,14 +652,14 @@ class Compiler:
                 below = [k for k in self.kinds if k.startswith(token + ".")]
                 if token not in self.kinds and token not in self.aliases and below and name != "_output":
                     for k in below:
-                        self.append(name + k[len(token) :], q(k), self.kinds[k])
+                        self.append(name + k[len(token) :], self.col(k), self.kinds[k])
                     continue
                 self.append(name, column, kind)
 
     def append(self, name: str, column: Column, kind: str) -> None:
         empty = F.array().cast("array<string>")
         more = column if kind == "array" else F.when(column.isNotNull(), F.array(column.cast("string")))
-        old = empty if name not in self.kinds else q(name) if self.kinds[name] == "array" else F.when(q(name).isNotNull(), F.array(q(name).cast("string")))
+        old = empty if name not in self.kinds else self.col(name) if self.kinds[name] == "array" else F.when(self.col(name).isNotNull(), F.array(self.col(name).cast("string")))
         self.write(name, F.concat(F.coalesce(old, empty), F.coalesce(more, empty)), "array")
 
     def mutate_remove_field(self, value) -> None:
@@ -681,7 +700,7 @@ class Compiler:
             outer = self.guard
             failed = F.lit(False)
             for f in flags:
-                failed = failed | F.coalesce(q(f) == "true", F.lit(False))
+                failed = failed | F.coalesce(self.col(f) == "true", F.lit(False))
             self.guard = failed if outer is None else outer & failed
             self.run(p.fallback)
             self.guard = outer
@@ -694,8 +713,8 @@ class Compiler:
         held = f"__clone_{len(self.hidden)}"
         self.hidden.append(held)
         self.df = self.df.withColumn(held, F.explode(F.when(guard, copies).otherwise(F.array(F.lit(None).cast("string")))))
-        old = q("type") if "type" in self.kinds else F.lit(None).cast("string")
-        self.df = self.df.withColumn("type", F.coalesce(q(held), old))
+        old = self.col("type") if "type" in self.kinds else F.lit(None).cast("string")
+        self.df = self.df.withColumn("type", F.coalesce(self.col(held), old))
         self.kinds["type"] = "string"
 
     def do_split(self, p: Plugin) -> None:
@@ -726,8 +745,8 @@ class Compiler:
         zone = p.config.first("timezone")
         value = transforms.parse_date(text, match[1:], str(zone) if isinstance(zone, str) and not REFERENCE.search(zone) else None)
         target = field_name(str(p.config.first("target", EVENT_TIME)))
-        held = q(self.temp("date", value))
-        old = q(target) if self.kinds.get(target) == "timestamp" else F.lit(None).cast("timestamp")
+        held = self.col(self.temp("date", value))
+        old = self.col(target) if self.kinds.get(target) == "timestamp" else F.lit(None).cast("timestamp")
         self.write(target, F.coalesce(held, old), "timestamp")
         return held.isNull()
 
@@ -789,7 +808,7 @@ class Compiler:
         got = f"__value_{len(self.hidden)}"
         self.hidden.append(got)
         self.df = lookup_join(self.df, self.runtime.lookups[name], held, got)
-        new = F.coalesce(q(got), self.template(fallback)[0]) if fallback is not None else q(got)
+        new = F.coalesce(self.col(got), self.template(fallback)[0]) if fallback is not None else self.col(got)
         self.write(dest, new)
 
     def do_geoip(self, p: Plugin) -> None:
@@ -804,7 +823,7 @@ class Compiler:
         self.df = range_lookup(self.df, table, held, {c: f"__{target}.{c}" for c in wanted})
         for c in wanted:
             self.hidden.append(f"__{target}.{c}")
-            self.write(f"{target}.{c}", q(f"__{target}.{c}").cast("string"))
+            self.write(f"{target}.{c}", self.col(f"__{target}.{c}").cast("string"))
 
     def do_useragent(self, p: Plugin) -> None:
         table = self.runtime.lookups.get("useragent")
@@ -903,9 +922,9 @@ class Compiler:
         """What a window over the events of a key is dealt by: the key where the guard holds, and else, as for events
         without a key, a spread that keeps them apart; and whether an event takes part."""
         held = self.temp("share", self.guarded(key.cast("string"), None))
-        others = [q(c) for c in self.df.columns if c in ("message",)] or [F.lit(0)]
-        spread = self.temp("spread", F.when(q(held).isNull(), F.pmod(F.xxhash64(*others), F.lit(4096))))
-        return [q(held), q(spread)]
+        others = [self.col(c) for c in self.df.columns if c in ("message",)] or [F.lit(0)]
+        spread = self.temp("spread", F.when(self.col(held).isNull(), F.pmod(F.xxhash64(*others), F.lit(4096))))
+        return [self.col(held), self.col(spread)]
 
     def tagged(self, tag) -> Column:
         return F.array_contains(self.tags(), str(tag))
@@ -918,12 +937,12 @@ class Compiler:
         dealt = self.share(self.text(field_name(str(c.first("unique_id_field", "id")))))
         order = self.read(field_name(str(c.first("timestamp_field", EVENT_TIME))))[0]
         micros = F.unix_micros(order.cast("timestamp"))
-        by = Window.partitionBy(*dealt).orderBy(order, *[q(x) for x in strings(c.first("tie_break"))])
+        by = Window.partitionBy(*dealt).orderBy(order, *[self.col(x) for x in strings(c.first("tie_break"))])
         start, end = c.first("start_tag"), c.first("end_tag")
         earlier = by.rowsBetween(Window.unboundedPreceding, -1)
         begun = F.last(F.when(self.tagged(start), micros), ignorenulls=True).over(earlier) if start is not None else F.lag(micros).over(by)
         takes = dealt[0].isNotNull() & (self.tagged(end) if end is not None else F.lit(True))
-        passed = q(self.temp("passed", F.when(takes, (micros - begun) / 1e6)))
+        passed = self.col(self.temp("passed", F.when(takes, (micros - begun) / 1e6)))
         timeout = c.first("timeout")
         late = passed > float(str(timeout)) if timeout is not None else F.lit(False)
         self.write("elapsed.time", F.when(~late, passed), "double")
@@ -939,7 +958,7 @@ class Compiler:
         dealt = self.share(F.nullif(self.template(str(c.first("task_id", "")))[0].cast("string"), F.lit("")))
         whole = Window.partitionBy(*dealt)
         order = self.read(field_name(str(c.first("order_field", EVENT_TIME))))[0]
-        ordered = whole.orderBy(order, *[q(x) for x in strings(c.first("tie_break"))]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        ordered = whole.orderBy(order, *[self.col(x) for x in strings(c.first("tie_break"))]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         give = lambda name, value, kind: self.write(name, F.when(dealt[0].isNotNull(), value), kind)
         give("aggregate.count", F.count(F.lit(1)).over(whole), "bigint")
         if isinstance(total := c.first("sum_field"), str):
@@ -960,10 +979,10 @@ class Compiler:
         c = p.config
         dealt = self.share(F.nullif(self.template(str(c.first("key", "")))[0].cast("string"), F.lit("")))
         order = self.read(field_name(str(c.first("order_field", EVENT_TIME))))[0]
-        by = Window.partitionBy(*dealt).orderBy(order, *[q(x) for x in strings(c.first("tie_break"))])
-        nth = q(self.temp("nth", F.row_number().over(by)))
+        by = Window.partitionBy(*dealt).orderBy(order, *[self.col(x) for x in strings(c.first("tie_break"))])
+        nth = self.col(self.temp("nth", F.row_number().over(by)))
         least, most = int(str(c.first("before_count", 0))), int(str(c.first("after_count", 1)))
-        over = q(self.temp("over", dealt[0].isNotNull() & ((nth > most) | (nth < least))))
+        over = self.col(self.temp("over", dealt[0].isNotNull() & ((nth > most) | (nth < least))))
         self.write("throttled", over, "boolean")
         self.only_where(p, over)
 

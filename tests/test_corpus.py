@@ -44,3 +44,25 @@ def test_failures_are_rows(monkeypatch):
 
     monkeypatch.setattr(corpus, "ParserLineage", broken)
     assert json.loads(corpus.analyzed_rows("p", "", "secops", {})[0][4])["code"] == "audit_error"
+
+
+def test_a_source_that_is_too_large_is_a_diagnostic(spark, tmp_path):
+    (tmp_path / "a.cbn").write_text('filter { mutate { replace => { "a" => "1" } } }')
+    (tmp_path / "b.cbn").write_text("# " + "x" * 1000)
+    found = corpus.read_parsers(spark, str(tmp_path), max_bytes=500)
+    rows = {r["path"].rsplit("/", 1)[1]: (r["code"], r["problem"]) for r in found.collect()}
+    assert rows["a.cbn"][1] is None and rows["b.cbn"] == (None, "the source has more than 500 bytes")
+    told = corpus.corpus_table(corpus.analyze_corpus(found), "diagnostic").where("code = 'source_unreadable'").collect()
+    assert [r["path"].rsplit("/", 1)[1] for r in told] == ["b.cbn"]
+    assert corpus.corpus_table(corpus.analyze_corpus(found), "diagnostic").where("code = 'audit_error'").count() == 0
+
+
+def test_compact_queries_and_exports():
+    import logweave
+
+    code = "filter { kv { } " + "".join(f'if [k] == "{k}" {{ mutate {{ replace => {{ "t" => "{k}" }} }} }}' for k in range(60)) + " }"
+    p = logweave.ParserLineage(code)
+    full, few = p.query("t"), p.query("t", compact=True, sample_limit=7)
+    assert few.status == full.status and len(few.to_json()["mappings"]) == 7 and few.to_json()["mappings_total"] == len(full.mappings) == len(full.to_json()["mappings"])
+    assert len(p.query("t", compact=True, sample_limit=1000).to_json()["mappings"]) == 50
+    assert all(getattr(logweave, n) for n in logweave.__all__)

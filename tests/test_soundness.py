@@ -9,7 +9,8 @@ from logweave.queries import CASES
 
 #: Fields whose names only the run time gives.
 NAMED_AT_RUN_TIME = {
-    "geoip_ranges": {"geo.country"}, "syslog_pri": {"pri_severity_code", "pri_facility_code"}, "aggregate_task": {"aggregate.count"}, "throttle_row_number": {"throttled"},
+    "geoip_ranges": {"geo.country"}, "syslog_pri": {"pri_severity_code", "pri_facility_code"}, "aggregate_task": {"aggregate.count", "aggregate.n"}, "throttle_row_number": {"throttled"},
+    "aggregate_guarded": {"aggregate.count", "aggregate.n", "aggregate.sum"}, "aggregate_map": {"aggregate.count", "aggregate.first", "aggregate.last"}, "throttle_guarded": {"throttled", "tags"},
     "output_anchor_routing": {"_output"}, "translate_regex": {"verb"},  # the analysis reads destination only
 }
 

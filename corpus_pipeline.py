@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logweave.llm import decontaminate, mixing, quality, sharding, simhash
 from logweave.llm.frames import discard, materialise, table, written
-from logweave.llm.queries import vocabulary
+from logweave.llm.queries import quality_vocabularies
 
 #: The first stage scores texts with a tokeniser, which SQL cannot express.
 ORACLE_SQL = None
@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality.keep_good(docs, vocabulary("piece_bpe_32k.model"))
+    return quality.keep_good(docs, quality_vocabularies())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,18 +1,25 @@
 """Quality rules by tokeniser fertility.
 
-A public vocabulary cuts clean text of a language into pieces of a typical length and variety. Shouted,
-symbol-ridden, listed or repeated text comes out differently: fewer characters a token, byte fallback, a
-token distribution of low entropy. Documents are measured with a sentencepiece vocabulary, word by word,
-and held against bands for their language, or for their script where the language has none.
+Public vocabularies cut clean text of a language into pieces of a typical length and variety. Shouted, symbol-ridden,
+listed or repeated text comes out differently: fewer characters a token, byte fallback, a token distribution of low
+entropy. Documents are measured word by word under two vocabularies, a sentencepiece one with byte fallback and a
+byte-level one, and held against bands for their language, or for their script where the language has none.
+
+Entropy grows with a text's length, so a language's band follows the logarithm of the number of tokens; and all
+measures scatter more in short texts, so bands are wider there. The three distances from a language's centre, in
+units of its spread, are added up; a document that falls too far below is rejected.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from math import log2, sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,31 +32,83 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: Words whose pieces a worker remembers; it starts anew when there are more.
 REMEMBERED = 150_000
+#: How the byte-level vocabulary parts a word: letters, digits in threes, the rest.
+WORD_PARTS = r"\p{L}+|\p{N}{1,3}|[^\p{L}\p{N}]+"
 _SYMBOLS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
 
 
+#: Tokens at which the scatter of a measure has about doubled in variance, and the sum of distances that rejects.
+SHORT, LIMIT = 200, -9.0
+#: Labelled rows that a fit takes at most.
+FIT_ROWS = 20_000
+
+
 @dataclass(frozen=True)
 class Band:
-    """What is accepted. Outside the outer bounds one measure rejects; below both inner ones the two together."""
+    """A script's: what is accepted, wide enough for any running text."""
 
     chars_low: float
     chars_high: float
     fallback_high: float
     entropy_low: float
-    inner_chars: float = 0.0
-    inner_entropy: float = 0.0
 
-    def rejects(self, chars: float, fallback: float, entropy: float) -> bool:
-        out = not self.chars_low <= chars <= self.chars_high or fallback > self.fallback_high or entropy < self.entropy_low
-        return out or (chars < self.inner_chars and entropy < self.inner_entropy)
+    def rejects(self, m: Measures) -> bool:
+        return not self.chars_low <= m.chars <= self.chars_high or m.fallback > self.fallback_high or m.entropy < self.entropy_low
+
+
+@dataclass(frozen=True)
+class Language:
+    """Centre and spread of characters per token under either vocabulary, and the line that entropy follows (at one
+    token, and for each doubling) with its spread."""
+
+    chars: tuple[float, float]
+    other: tuple[float, float]
+    entropy: tuple[float, float, float]
+    chars_high: float = 4.8
+    fallback_high: float = 0.05
+
+    def distance(self, m: Measures) -> float:
+        if not m.tokens:
+            return float("-inf")
+        line = self.entropy[0] + self.entropy[1] * log2(m.tokens)
+        total = (m.chars - self.chars[0]) / self.chars[1] + (m.other - self.other[0]) / self.other[1] + (m.entropy - line) / self.entropy[2]
+        return total / sqrt(1 + SHORT / m.tokens)
+
+    def rejects(self, m: Measures) -> bool:
+        return m.chars > self.chars_high or m.other > self.chars_high or m.fallback > self.fallback_high or self.distance(m) < LIMIT
+
+
+class Measures(NamedTuple):
+    """Tokens, characters per token and share of byte fallback under the first vocabulary, characters per token under
+    the second, and entropy in bits under the first."""
+
+    tokens: int
+    chars: float
+    fallback: float
+    other: float
+    entropy: float
+
+
+def fit_language(good: list[Measures]) -> Language:
+    """The band of a language from measures of documents that are labelled good, FIT_ROWS at most: medians, half the
+    distance between the 16th and 84th percentiles, and a least-squares line for entropy."""
+    rows = np.array(good[:FIT_ROWS], dtype=np.float64)
+
+    def centre(values: np.ndarray) -> tuple[float, float]:
+        low, middle, high = np.quantile(values, [0.16, 0.5, 0.84])
+        return round(float(middle), 3), round(float(high - low) / 2, 3)
+
+    step, start = np.polyfit(np.log2(rows[:, 0]), rows[:, 4], 1)
+    middle, spread = centre(rows[:, 4] - start - step * np.log2(rows[:, 0]))
+    return Language(centre(rows[:, 1]), centre(rows[:, 3]), (round(float(start + middle), 3), round(float(step), 3), spread))
 
 
-#: Per language, set from documents labelled as good (their 0.1 % tails lie inside the outer bounds).
+#: What fit_language gives for the good documents with even ids of the labelled sample at sf0.1 that pass the base rules.
 LANGUAGES = {
-    "en": Band(1.6, 4.8, 0.05, 5.0, 2.08, 6.25),
-    "de": Band(1.6, 4.8, 0.05, 5.0, 2.11, 6.25),
-    "es": Band(1.5, 4.8, 0.05, 5.0, 1.87, 6.15),
-    "fr": Band(1.5, 4.8, 0.05, 5.0, 1.91, 6.10),
+    "en": Language((2.219, 0.035), (2.294, 0.037), (4.664, 0.205, 0.099)),
+    "de": Language((2.245, 0.037), (2.315, 0.036), (4.917, 0.162, 0.089)),
+    "es": Language((1.942, 0.032), (2.223, 0.046), (4.832, 0.175, 0.101)),
+    "fr": Language((1.978, 0.033), (2.072, 0.034), (5.016, 0.146, 0.084)),
 }
 #: Per script for every other language: only what no running text shows.
 SCRIPTS = {
@@ -70,40 +129,50 @@ def script_of(text: str) -> str:
 
 
 class Fertility:
-    """Pieces of words under one vocabulary, remembered between texts."""
+    """Pieces of words under a sentencepiece vocabulary and their number under a byte-level one, remembered between texts."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, pieces: str, ranks: str) -> None:
         import sentencepiece
+        import tiktoken
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.known: dict[bytes, bytes] = {}  # the ids of a word's pieces, four bytes each
+        with open(ranks, "rb") as f:
+            held = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.other = tiktoken.Encoding("ranks", pat_str=WORD_PARTS, mergeable_ranks=held, special_tokens={})
+        #: Of each word, as four-byte numbers: its tokens under the second vocabulary, then its pieces under the first.
+        self.known: dict[bytes, bytes] = {}
 
-    def measure(self, bag: Counter) -> tuple[int, float, float]:
-        """Tokens, share of byte-fallback tokens and entropy in bits of a bag of words."""
+    def measure(self, bag: Counter, chars: int) -> Measures:
         new = [w for w in bag if w not in self.known]
         if new:
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
                 new = list(bag)
-            ids = self.model.encode([w.decode("utf-8") for w in new], num_threads=1)
-            self.known.update((w, np.array(i, dtype=np.int32).tobytes()) for w, i in zip(new, ids, strict=True))
+            texts = [w.decode("utf-8") for w in new]
+            ids = self.model.encode(texts, num_threads=1)
+            self.known.update((w, np.array([len(self.other.encode_ordinary(t)), *i], dtype=np.int32).tobytes()) for w, t, i in zip(new, texts, ids, strict=True))
         if not bag:
-            return 0, 0.0, 0.0
-        pieces = [self.known[w] for w in bag]
-        times = np.repeat(np.fromiter(bag.values(), np.int64, len(bag)), [len(p) // 4 for p in pieces])
-        every = np.frombuffer(b"".join(pieces), np.int32)
-        counts = np.bincount(every, weights=times, minlength=1)
-        total = int(times.sum())
+            return Measures(0, 0.0, 0.0, 0.0, 0.0)
+        held = [self.known[w] for w in bag]
+        times, sizes = np.fromiter(bag.values(), np.int64, len(bag)), np.fromiter(map(len, held), np.int64, len(held)) // 4
+        every = np.frombuffer(b"".join(held), np.int32)
+        first = np.cumsum(sizes) - sizes
+        others = int((every[first] * times).sum())
+        weights = np.repeat(times, sizes)
+        weights[first] = 0
+        fallback = float(weights[self.is_byte[np.where(weights > 0, every, 0)]].sum())
+        counts = np.bincount(every, weights=weights, minlength=1)
+        total = int(weights.sum())
         if not total:
-            return 0, 0.0, 0.0
+            return Measures(0, 0.0, 0.0, 0.0, 0.0)
         shares = counts[counts > 0] / total
-        return total, float(times[self.is_byte[every]].sum()) / total, float(-(shares * np.log2(shares)).sum())
+        return Measures(total, chars / total, fallback / total, chars / others if others else 0.0, float(-(shares * np.log2(shares)).sum()))
 
 
 @lru_cache(maxsize=2)
-def _fertility(path: str) -> Fertility:
-    return Fertility(path)
+def _fertility(pieces: str, ranks: str) -> Fertility:
+    return Fertility(pieces, ranks)
 
 
 def base_counts(text: bytes) -> tuple[list[bytes], int, int, int, int]:
@@ -142,55 +211,54 @@ def repeated_words(words: list[bytes], n: int = 3) -> int:
     return int(covered.sum())
 
 
-_OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, token_entropy double, base_failed boolean, kept boolean"
+_OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, fallback_share double, other_chars_per_token double, token_entropy double, base_failed boolean, kept boolean"
 
 
-def judge(model: Fertility, text: bytes, lang: str | None, languages: dict[str, Band], scripts: dict[str, Band]) -> tuple:
+def judge(model: Fertility, text: bytes, lang: str | None, languages: dict[str, Language], scripts: dict[str, Band]) -> tuple:
     """The columns of _OUT for one text."""
     words, chars, symbols, duplicates, repeated = base_counts(text)
-    tokens, fallback, entropy = model.measure(Counter(words))
-    per_token = chars / tokens if tokens else 0.0
+    m = model.measure(Counter(words), chars)
     failed = len(words) < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * len(words)
     band = languages.get(lang) if lang is not None else None
     if band is None and not failed:
         band = scripts[script_of(text.decode("utf-8"))]
-    return len(words), chars, symbols, duplicates, repeated, tokens, per_token, fallback, entropy, failed, not failed and not band.rejects(per_token, fallback, entropy)
+    return len(words), chars, symbols, duplicates, repeated, *m, failed, not failed and not band.rejects(m)
 
 
-def _scores(path: str, languages: dict[str, Band], scripts: dict[str, Band]):
+def _scores(paths: tuple[str, str], languages: dict[str, Language], scripts: dict[str, Band]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _fertility(path)
+        model = _fertility(*paths)
         for b in batches:
             rows = []
             for k in range(0, b.num_rows, SLICE):
                 part = b.slice(k, SLICE)
                 rows += [judge(model, text, lang, languages, scripts) for text, lang in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
             names = [c.split()[0] for c in _OUT.split(", ")]
-            kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.bool_()] * 2
+            kinds = [pa.int64()] * 6 + [pa.float64()] * 4 + [pa.bool_()] * 2
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", *names])
 
     return run
 
 
-def score_quality(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: dict[str, Band] | None = None, scripts: dict[str, Band] | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, paths: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: dict[str, Language] | None = None, scripts: dict[str, Band] | None = None) -> DataFrame:
     """One row for each row of docs: its counts, its fertility measures, base_failed and kept.
 
-    path names a sentencepiece file that every executor has at the same place. A null text has no words and
+    paths name a sentencepiece file and one of byte-level ranks, which every executor has at the same places. A null text has no words and
     fails; a null or unknown language is judged by the bands of the text's script; repeated rows are scored
     each; an empty table gives no rows. Other columns are not read.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), utf8(F.col(text_col)).alias("t"), F.col(lang_col).cast("string").alias("lang"))
-    run = _scores(path, languages or LANGUAGES, scripts or SCRIPTS)
+    run = _scores(tuple(paths), languages or LANGUAGES, scripts or SCRIPTS)
     return slim.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {_OUT}")
 
 
-def keep_good(docs: DataFrame, path: str, text_col: str = "text", lang_col: str = "lang", languages: dict[str, Band] | None = None, scripts: dict[str, Band] | None = None) -> DataFrame:
+def keep_good(docs: DataFrame, paths: tuple[str, str], text_col: str = "text", lang_col: str = "lang", languages: dict[str, Language] | None = None, scripts: dict[str, Band] | None = None) -> DataFrame:
     """The rows of docs that the rules keep, with all columns. Each row is judged where it is, by its text and language."""
     held = languages or LANGUAGES, scripts or SCRIPTS
 
     def start():
-        model = _fertility(path)
+        model = _fertility(*paths)
         return lambda rows: [judge(model, text or b"", None if lang is None else lang.decode("utf-8"), *held)[-1] for text, lang in rows]
 
     return filter_rows(docs, [text_col, lang_col], start)

@@ -21,6 +21,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def quality_vocabularies() -> tuple[str, str]:
+    return vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_multi_50k.tiktoken")
+
+
 def op1_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
 
@@ -54,8 +58,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.score_quality(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "fallback_share", "token_entropy")
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), quality_vocabularies())
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "fallback_share", "other_chars_per_token", "token_entropy")
 
 
 def op9_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:

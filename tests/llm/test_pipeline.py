@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from logweave.llm import decontaminate, mixing, quality, simhash
 from logweave.llm.frames import table
-from logweave.llm.queries import vocabulary
+from logweave.llm.queries import quality_vocabularies
 
 
 def test_stages_run_in_order(spark, sf):
@@ -29,13 +29,13 @@ def test_pipeline_of_an_empty_table(spark, sf):
 
 
 def test_rows_without_a_unique_id(spark, sf):
-    good = [r["text"] for r in quality.keep_good(table(spark, sf, "documents"), vocabulary("piece_bpe_32k.model")).where("lang = 'en'").orderBy("doc_id").limit(4).collect()]
+    good = [r["text"] for r in quality.keep_good(table(spark, sf, "documents"), quality_vocabularies()).where("lang = 'en'").orderBy("doc_id").limit(4).collect()]
     assert len(set(good)) == 4
     frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
     junk = "# $ % " * 60
     rows = [(None, junk), (None, good[0]), (7, junk), (7, good[1]), (None, None)]
-    assert texts(quality.keep_good(frame(rows), vocabulary("piece_bpe_32k.model"))) == Counter({(None, good[0]): 1, (7, good[1]): 1})
+    assert texts(quality.keep_good(frame(rows), quality_vocabularies())) == Counter({(None, good[0]): 1, (7, good[1]): 1})
 
     rows = [(None, good[0]), (None, good[0]), (7, good[1]), (7, good[1]), (8, good[2]), (None, good[2]), (8, good[3])]
     assert texts(simhash.keep_one(frame(rows))) == Counter({(None, good[0]): 1, (7, good[1]): 1, (8, good[2]): 1, (8, good[3]): 1})

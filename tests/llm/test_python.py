@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from logweave.llm import components, decontaminate, html, quality, simhash, tokens
-from logweave.llm.queries import vocabulary
+from logweave.llm.queries import quality_vocabularies, vocabulary
 
 ODD = [None, "", " \t\n", "one", "one two", "Straße ﬁ é 漢字 🙂 <|endoftext|> don't", "a" * 3000, "word " * 4000, "x\x00y\x1cz", "same same", "same same"]
 
@@ -118,7 +118,7 @@ def brute_quality(t):
 
 
 def test_quality_equals_brute_force(spark, sf, odd):
-    path = vocabulary("piece_bpe_32k.model")
+    path = quality_vocabularies()
     for df in (odd, spark.read.parquet(f"{sf}/documents.parquet")):
         got = quality.score_quality(df, path).collect()
         assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == Counter((r["doc_id"], *brute_quality(r["text"])) for r in df.collect())
@@ -131,22 +131,35 @@ def test_quality_equals_brute_force(spark, sf, odd):
 def test_fertility_equals_direct_counts(texts):
     import sentencepiece
 
-    path = vocabulary("piece_bpe_32k.model")
-    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), quality.Fertility(path)
+    path = quality_vocabularies()
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path[0]), quality.Fertility(*path)
     for t in list(texts.values())[:40]:
         ids = [i for w in t.encode().split() for i in sp.encode(w.decode())]
-        n, share, entropy = model.measure(Counter(t.encode().split()))
+        m = model.measure(Counter(t.encode().split()), len("".join(t.split())))
+        n, share, entropy = m.tokens, m.fallback, m.entropy
+        assert m.other == pytest.approx(m.chars * n / sum(len(model.other.encode_ordinary(w.decode())) for w in t.encode().split()) if n else 0)
         counts = Counter(ids)
         assert n == len(ids) and share == pytest.approx(sum(sp.is_byte(i) for i in ids) / max(1, len(ids)))
         assert entropy == pytest.approx(-sum(c / len(ids) * math.log2(c / len(ids)) for c in counts.values()), abs=1e-9)
 
 
 def test_quality_keeps_good_documents(spark):
-    d = "/root/testdata/sf0.01"
-    scored = quality.score_quality(spark.read.parquet(f"{d}/documents.parquet"), vocabulary("piece_bpe_32k.model"))
-    held = scored.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
-    shares = dict(map(tuple, held))
-    assert shares[1] > 0.97 and shares.get(0, 0) < 0.5
+    """On documents that the bands were not fitted on: odd ids, and of short ones the same."""
+    d = "/root/testdata/sf0.1"
+    scored = quality.score_quality(spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 2 = 1"), quality_vocabularies())
+    held = scored.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed").select("quality", "kept", "n_words").collect()
+    share = lambda q, test=lambda r: True: sum(r["kept"] for r in held if r["quality"] == q and test(r)) / max(1, sum(r["quality"] == q and test(r) for r in held))
+    assert share(1) > 0.995 and share(1, lambda r: r["n_words"] < 80) > 0.95 and share(0) < 0.05
+
+
+def test_bands_are_what_the_fit_gives(spark):
+    d = "/root/testdata/sf0.1"
+    scored = quality.score_quality(spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 2 = 0"), quality_vocabularies())
+    good = scored.join(spark.read.parquet(f"{d}/labels.parquet").where("quality = 1"), "doc_id").where("not base_failed").join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = good.orderBy("doc_id").collect()
+    for lang, band in quality.LANGUAGES.items():
+        made = quality.fit_language([quality.Measures(r["n_tokens"], r["chars_per_token"], r["fallback_share"], r["other_chars_per_token"], r["token_entropy"]) for r in rows if r["lang"] == lang])
+        assert made == band
 
 
 def test_scripts():

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A reference table is broadcast only while it has at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A reference table is broadcast only while it has at most this many rows and its values this many bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 #: Address ranges are cut at blocks of this many addresses, which are the keys of the range join.
 BLOCK = 1 << 16
 
 
 def _small(table: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    return table.limit(limit + 1).count() <= limit
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in table.schema]
+    rows, size = table.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(sizes, F.lit(0))), F.lit(0))).first()
+    return rows <= limit and size <= BROADCAST_BYTES
 
 
 def lookup_join(events: DataFrame, table: DataFrame, key: str, out: str, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -72,6 +72,10 @@ class ParserLineage:
         state, field = self.analyze(), field.strip()
         anchors = self.anchors()
         names = candidates(field, list(dict.fromkeys(a.anchor for a in anchors)))
+        named: dict[str, list[Anchor]] = {}
+        for a in anchors:
+            named.setdefault(a.anchor, []).append(a)
+        reached = {p for n in names for p in prefixes(n)}
         rows: dict[Lineage, None] = {}
         diagnostics = list(self.diagnostics)
         templates = []
@@ -87,7 +91,7 @@ class ParserLineage:
                 if token != name and pattern.match(name):
                     note = f"matched dynamic destination {token}"
                     found += [replace(r, status="dynamic").noted(note) for r in state.get(token)]
-            own = [a for p in prefixes(name) for a in anchors if a.anchor == p]
+            own = [a for p in prefixes(name) for a in named.get(p, ())]
             if len(own) * len(found) > MAX_ANCHORED:
                 diagnostics.append(Diagnostic("anchor_conditioned_fanout", "warning", f"{name}: {len(own) * len(found)} anchored mappings; sampled", None, name))
                 found, own = found[:SAMPLE], own[:SAMPLE]
@@ -99,7 +103,7 @@ class ParserLineage:
         if not rows:
             diagnostics.append(Diagnostic("no_assignment", "warning", f"no assignment found for {field!r}", None, field))
         return QueryResult(
-            field, names, list(rows), [a for a in anchors if any(a.anchor in prefixes(n) for n in names)],
+            field, names, list(rows), [a for a in anchors if a.anchor in reached],
             [d.message for d in diagnostics if d.kind == "unsupported"], [d.message for d in diagnostics if d.kind == "warning"], diagnostics, max(1, min(int(sample_limit), SAMPLE)) if compact else None,
         )
 

@@ -12,6 +12,8 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 
 MAX_DEPTH = 64
+#: Blocks without an end behind which reading goes on, line by line; the next one takes the rest of the source.
+MAX_UNCLOSED = 64
 
 Value = "str | bool | list | Pairs"
 
@@ -101,49 +103,70 @@ class _Error(Exception):
         self.at, self.message = at, message
 
 
+_MATCH_BEFORE = re.compile(r"[=!]~\s*$")
 _REGEX_BEFORE = re.compile(r"(?:[=!]~|=>|[\[,(])\s*$")
 _NAME = re.compile(r"[A-Za-z_@][A-Za-z0-9_.@-]*")
-_BARE = re.compile(r"[^\s{}\[\],\"'=]+(?:=(?!>)[^\s{}\[\],\"'=]+)*")
+#: An unquoted word: braces belong to it in pairs, an equals sign if it is no arrow.
+_BARE = re.compile(r"(?:[^\s{}\[\],\"'=]++|=(?!>)|(?<=[\w/.:=-])\{[^\s{}\"',]*+\})+")
+#: A quoted path that ends in a backslash, at the end of a line or before a delimiter.
+_LAST_BACKSLASH = re.compile(r"([\"'])[\w:./-]*+(?:\\[\w:./-]++)*+\\\1(?=[ \t]*(?:[}\],\n]|\Z))")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "b": "\b", "v": "\v", "\\": "\\"}
+REFERENCE = re.compile(r"%\{([^}]+)\}")
 _HEX = re.compile(r"x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}")
 
 
 def _quote_end(text: str, at: int) -> int:
-    """The place behind a quoted string that begins at ``at``, or the end of the text."""
-    mark, at = text[at], at + 1
-    while at < len(text):
-        if text[at] == "\\":
-            at += 2
-        elif text[at] == mark:
-            return at + 1
-        else:
-            at += 1
-    return len(text)
+    """The place behind a quoted string that begins at ``at``, or the end of the text.
+
+    A backslash takes the next character's meaning, but where that would carry a path such as "\\" or "C:\\dir\\" beyond
+    its line, its last quote closes it.
+    """
+    start, mark = at, text[at]
+    at += 1
+    while at < len(text) and text[at] != mark:
+        at += 2 if text[at] == "\\" else 1
+    end = min(at + 1, len(text))
+    if (at >= len(text) or "\n" in text[start:end]) and (m := _LAST_BACKSLASH.match(text, start)):
+        return m.end()
+    return end
+
+
+def _slash(text: str, at: int, lines: bool) -> int | None:
+    """The place behind the slash that closes a regex literal: on its line none inside a class, if its classes are closed."""
+    stop = len(text) if lines else text.find("\n", at)
+    stop = len(text) if stop < 0 else stop
+    for classes in (False,) if lines else (True, False):
+        inside, i = False, at + 1
+        while i < stop:
+            c = text[i]
+            if c == "\\":
+                i += 1
+            elif c == "/" and not inside:
+                return i + 1
+            elif classes and c in "[]":
+                inside = c == "["
+            i += 1
+    return None
 
 
 def _regex_end(text: str, at: int) -> int | None:
-    """The place behind a regex literal on one line, or None."""
-    inside, i = False, at + 1
-    while i < len(text) and text[i] != "\n":
-        c = text[i]
-        if c == "\\":
-            i += 1
-        elif c == "[":
-            inside = True
-        elif c == "]":
-            inside = False
-        elif c == "/" and not inside:
-            return i + 1
-        i += 1
-    # A class that is never closed: the first slash ends it.
-    i = at + 1
-    while i < len(text) and text[i] != "\n":
-        if text[i] == "\\":
-            i += 1
-        elif text[i] == "/":
-            return i + 1
-        i += 1
-    return None
+    """The place behind the regex literal whose slash is at ``at``, or None.
+
+    Behind a match operator any slash begins one, which may go over lines if a block or a logical word follows it.
+    Elsewhere a literal ends its value, so /var/log/x and /a_{/b/} are paths.
+    """
+    end = _slash(text, at, False)
+    if _MATCH_BEFORE.search(text[max(0, at - 8) : at]):
+        if end is None and (far := _slash(text, at, True)) and re.compile(r"\s*(?:[{)]|and\b|or\b)").match(text, far):
+            return far
+        return end
+    return end if end is None or end == len(text) or text[end] in " \t\r\n,]})" else None
+
+
+def _in_url(text: str, at: int) -> bool:
+    """Whether a number sign stands inside an unquoted address."""
+    start = max(text.rfind(c, 0, at) for c in " \t\n,\"'[{") + 1
+    return "://" in text[start:at]
 
 
 def strip_comments(text: str) -> str:
@@ -166,6 +189,9 @@ def strip_comments(text: str) -> str:
         line_end = text.find("\n", at)
         line_end = len(text) if line_end < 0 else line_end
         if c == "#":
+            if _in_url(text, at):
+                at += 1
+                continue
             blank(at, line_end)
             at = line_end
         elif text.startswith("/*", at):
@@ -189,6 +215,7 @@ class Reader:
         self.text = strip_comments(text)
         self.at = 0
         self.diagnostics: list[Diagnostic] = []
+        self.unclosed = 0
         self.starts = [0, *[m.end() for m in re.finditer("\n", self.text)]]
         self.first_line = first_line
 
@@ -277,20 +304,31 @@ class Reader:
         return False
 
     def header(self) -> str:
-        """Raw text up to the brace that opens a block."""
+        """Text up to the brace that opens a block; white space is one space outside of regexes, and as it is beside quotes."""
         start, i, text, depth = self.at, self.at, self.text, 0
+        regexes: list[tuple[int, int]] = []
         while i < len(text):
             c = text[i]
             if c in "\"'":
                 i = _quote_end(text, i)
                 continue
             if c == "/" and _REGEX_BEFORE.search(text[max(start, i - 8) : i]) and (end := _regex_end(text, i)):
+                regexes.append((i, end))
                 i = end
                 continue
+            if m := REFERENCE.match(text, i):
+                i = m.end()
+                continue
             depth += (c in "[(") - (c in "])")
             if c == "{" and depth <= 0:
                 self.at = i
-                return " ".join(text[start:i].split()) if '"' not in text[start:i] and "'" not in text[start:i] else text[start:i].strip()
+                if '"' in text[start:i] or "'" in text[start:i]:
+                    return text[start:i].strip()
+                out, plain = [], start
+                for a, b in regexes:
+                    out += [re.sub(r"\s+", " ", text[plain:a]), text[a:b]]
+                    plain = b
+                return "".join([*out, re.sub(r"\s+", " ", text[plain:i])]).strip()
             i += 1
         raise _Error(start, "missing '{'")
 
@@ -358,9 +396,13 @@ class Reader:
             return out, self.diagnostics[known:]
         except (_Error, RecursionError) as e:
             at, message = (e.at, e.message) if isinstance(e, _Error) else (open_at, "configuration is nested too deeply")
+            end = self.block_end(open_at)
+            if end is None and self.unclosed < MAX_UNCLOSED:  # no configuration, but a block that is never closed
+                self.unclosed += 1
+                raise _Error(open_at, "missing '}'") from e
             note = self.note(at, message)
             self.diagnostics.pop()  # it belongs to the plugin
-            self.at = self.block_end(open_at) or len(self.text)
+            self.at = end or len(self.text)
             return Pairs(), [note]
 
     def pairs(self, end: str, depth: int) -> Pairs:
@@ -504,6 +546,3 @@ def field_name(ref: str) -> str:
         parts = [p.strip("\"'") for p in re.findall(r"\[([^\[\]]+)\]", m[2])]
         return ".".join([*([m[1]] if m[1] else []), *parts])
     return ref
-
-
-REFERENCE = re.compile(r"%\{([^}]+)\}")

@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from logweave.plans.syntax import Bare, For, If, Io, Pairs, Plugin, Unknown, field_name, parse, strip_comments, unescape
+from logweave.plans.syntax import Bare, For, If, Io, Pairs, Plugin, Regex, Unknown, field_name, parse, strip_comments, unescape
 
 
 def only(code):
@@ -72,3 +72,31 @@ def test_strings_come_back(values):
 
 def test_bare_words():
     assert isinstance(only("x { a => word }").config.first("a"), Bare)
+
+
+def test_unquoted_paths_are_no_regexes():
+    c = only('mutate { replace => { p => /opt_{/data/} q => /opt/log/app r => /spool/app_{day}/ u => https://a:b@h.example:1/x#part "z" => "1" } m => /x[/]y/ } # end').config
+    assert c.first("replace") == [("p", "/opt_{/data/}"), ("q", "/opt/log/app"), ("r", "/spool/app_{day}/"), ("u", "https://a:b@h.example:1/x#part"), ("z", "1")]
+    assert isinstance(c.first("m"), Regex) and c.first("m") == "x[/]y"
+
+
+def test_regexes_over_lines():
+    s = only("if [m] =~ /one\n  two \\{\n three/ { x { } }")
+    assert s.arms[0].condition == "[m] =~ /one\n  two \\{\n three/" and s.arms[0].body[0].name == "x"
+    assert only("if [m] =~ /a  b/  and  [n] == 1 { x { } }").arms[0].condition == "[m] =~ /a  b/ and [n] == 1"
+
+
+def test_paths_that_end_in_a_backslash():
+    c = only('mutate { add_field => { "n" => "%{o}" }\n split => { "n" => "\\" }\n join => { "n" => "C:\\dir\\" }\n x => "a\\"b" }').config
+    assert c.first("split") == [("n", "\\")] and c.first("join") == [("n", "C:\\dir\\")] and c.first("x") == 'a"b'
+
+
+def test_loops_over_references():
+    f = only("for k, v in %{items} { y { } }")
+    assert isinstance(f, For) and f.iterable == "%{items}" and f.body[0].name == "y"
+
+
+def test_a_block_without_an_end_hides_only_itself():
+    p = parse('filter {\n if [a] == "1" {\n mutate { replace => {\n "k" => "v"\n mutate {\n replace => { "b" => "1" }\n }\n}\n')
+    assert p.diagnostics and not any(s.diagnostics for s in p.statements if isinstance(s, Plugin))
+    assert parse("x {\n" * 3000).diagnostics

@@ -10,6 +10,8 @@ other, and one long log line would end its executor.
 
 from __future__ import annotations
 
+from logweave.functions.services import SERVICES
+
 
 def shortened(words: str, least: int = 3) -> str:
     """Words that may be cut after their first letters: Jan(?:uary)?"""
@@ -194,10 +196,10 @@ SERVERS = {
     "POSTGRESQL": "%{DATESTAMP:timestamp} %{TZ} %{DATA:user_id} %{GREEDYDATA:connection_id} %{POSINT:pid}",
     # Others.
     "RUBY_LOGLEVEL": "DEBUG|FATAL|ERROR|WARN|INFO", "RUBY_LOGGER": r"[DFEWI], \[%{TIMESTAMP_ISO8601:timestamp} #%{POSINT:pid}\] *%{RUBY_LOGLEVEL:loglevel} -- +%{DATA:progname}: %{GREEDYDATA:message}",
-    "RUUID": f"{HEX}{{32}}", "BACULA_DEVICE": "%{USER}",
+    "RUUID": f"{HEX}{{32}}",
     "BIND9_TIMESTAMP": "%{MONTHDAY}-%{MONTH}-%{YEAR} %{TIME}",
     "BIND9": r"%{BIND9_TIMESTAMP:timestamp} queries: %{LOGLEVEL:loglevel}: client %{IP:clientip}#%{POSINT:clientport} \(%{GREEDYDATA:query}\): query: %{GREEDYDATA:query} IN %{GREEDYDATA:querytype} \(%{IP:dns}\)",
     "NAGIOSTIME": r"\[%{NUMBER:nagios_epoch}\]",
 }
 
-LIBRARY: dict[str, str] = {**BASIC, **SYSLOG, **WEB, **HAPROXY, **CISCO, **FIREWALLS, **SERVERS}
+LIBRARY: dict[str, str] = {**BASIC, **SYSLOG, **WEB, **HAPROXY, **CISCO, **FIREWALLS, **SERVERS, **SERVICES}

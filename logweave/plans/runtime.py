@@ -419,11 +419,17 @@ class Compiler:
             hits = [self.col(self.temp("grok", F.coalesce(text.rlike(regex), F.lit(False)))) for regex, _ in options]
             values: dict[str, list] = {}
             for (regex, found), hit in zip(options, hits, strict=True):
+                same: dict[str, list] = {}
                 for c in found:
-                    value = F.regexp_extract(text, regex, c.group)
-                    if c.kind in ("int", "float"):
-                        value = value.try_cast("long" if c.kind == "int" else "double")
-                    values.setdefault(field_name(c.token), []).append((hit, value, {"int": "bigint", "float": "double"}.get(c.kind, "string")))
+                    same.setdefault(field_name(c.token), []).append(c)
+                for token, group in same.items():
+                    kind = {"int": "bigint", "float": "double"}.get(group[0].kind, "string")
+                    value = [F.regexp_extract(text, regex, c.group) for c in group]
+                    if kind != "string":
+                        value = F.coalesce(*[v.try_cast(kind) for v in value])
+                    else:  # of a name's groups, such as those of alternatives, the first that took something
+                        value = value[0] if len(value) == 1 else F.coalesce(*[F.nullif(v, F.lit("")) for v in value], F.lit(""))
+                    values.setdefault(token, []).append((hit, value, kind))
             taken = None
             exclusive = []
             for hit in hits:  # the first pattern that matches is the one that counts

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.functions import grok, patterns, transforms
+from logweave.functions import grok, patterns, services, transforms
 from logweave.plans.predicate import ConditionError, parse_condition, to_column
 from logweave.plans.runtime import Runtime, UnsupportedPlugin, run_parser
 
@@ -98,6 +98,19 @@ def test_grok_log_lines(spark):
         "RUBY_LOGGER": ("I, [2003-10-11T22:14:15.003 #1]  INFO -- prog: hi", {"pid": "1", "loglevel": "INFO", "progname": "prog"}),
         "REDISMONLOG": ('1470637867.953466 [0 195.168.1.1:52500] "SELECT" "1"', {"database": "0", "command": "SELECT", "params": '"1"'}),
     }
+    tab = "\t".join
+    lines |= {
+        "NAGIOSLOGLINE": ("[1427925600] SERVICE ALERT: web1;HTTP;CRITICAL;HARD;3;timed out; again", {"nagios_epoch": "1427925600", "nagios_type": "SERVICE ALERT", "nagios_hostname": "web1", "nagios_service": "HTTP", "nagios_state": "CRITICAL", "nagios_attempt": "3", "nagios_message": "timed out; again"}),
+        "NAGIOS_EC_LINE_SCHEDULE_HOST_DOWNTIME": ("EXTERNAL COMMAND: SCHEDULE_HOST_DOWNTIME;web1;1;2;1;0;60;ann;upgrade", {"nagios_command": "SCHEDULE_HOST_DOWNTIME", "nagios_hostname": "web1", "nagios_end_time": "2", "author": "ann", "comment": "upgrade"}),
+        "BRO_CONN": (tab(["1.5", "Cx", "10.0.0.1", "4000", "10.0.0.2", "53", "udp", "dns", "0.1", "30", "60", "SF", "-", "0", "Dd", "1", "58", "1", "88", "(empty)"]), {"uid": "Cx", "resp_p": "53", "service": "dns", "tunnel_parents": "(empty)"}),
+        "CLOUDFRONT_ACCESS_LOG": (tab(["2024-05-01", "10:11:12", "LHR3", "512", "10.0.0.9", "GET", "d.example.net", "/a", "200", "-", "ua", "q=1", "-", "Hit", "id1", "h.example", "https", "99", "0.012", "-", "TLSv1.3", "AES", "Hit"]), {"timestamp": "2024-05-01\t10:11:12", "clientip": "10.0.0.9", "cs_uri_stem": "/a", "x_edge_response_result_type": "Hit"}),
+        "EXIM": ("2024-05-01 10:11:12 1s1abc-000dEF-Gh <= ann@example.org H=mx.example.org (helo.example) [10.0.0.9]:2525 P=esmtps S=1234 id=x@y", {"exim_msgid": "1s1abc-000dEF-Gh", "exim_sender_email": "ann@example.org", "remote_heloname": "helo.example", "remote_host": "10.0.0.9", "remote_port": "2525", "protocol": "esmtps", "exim_msg_size": "1234", "exim_header_id": "x@y"}),
+        "RAILS3": ('Started GET "/users?p=1" for 10.0.0.9 at 2024-05-01 10:11:12 +0000\n  Processing by UsersController#index as HTML\n  Rendered x\nCompleted 200 OK in 35ms (Views: 20.1ms | ActiveRecord: 3.2ms)', {"verb": "GET", "request": "/users?p=1", "controller": "UsersController", "action": "index", "response": "200", "totalms": "35", "viewms": "20.1", "activerecordms": "3.2"}),
+        "MCOLLECTIVE": ("I, [2024-05-01T10:11:12.123456 #77]  INFO -- : up", {"pid": "77", "event_level": "INFO"}),
+        "SFW2": ("May  1 10:11:12 fw kernel: SFW2-INext-DROP-DEFLT IN=eth0 OUT= MAC=00:11:22:33:44:55:66:77:88:99:aa:bb:08:00 SRC=10.0.0.1 DST=10.0.0.2 LEN=40 PROTO=TCP SPT=1234 DPT=22 WINDOW=1", {"nf_action": "DROP-DEFLT", "nf_src_ip": "10.0.0.1", "nf_dst_ip": "10.0.0.2", "nf_protocol": "TCP", "nf_src_port": "1234", "nf_dst_port": "22"}),
+        "CISCOFW313005": ("No matching connection for ICMP error message: icmp src out:10.0.0.1 dst in:10.0.0.2 (type 3, code 1) on out interface. Original IP payload: udp src 10.0.0.2/53 dst 10.0.0.1/999.", {"err_src_ip": "10.0.0.1", "err_icmp_type": "3", "interface": "out", "orig_src_port": "53", "orig_dst_ip": "10.0.0.1"}),
+        "BACULA_LOGLINE": ('01-May 10:11 backup-dir JobId 12: Start Backup JobId 12, Job=nightly.2024-05-01_10.11.12_03', {"bts": "01-May 10:11", "hostname": "backup-dir", "jobid": "12", "job": "nightly.2024-05-01_10.11.12_03"}),
+    }
     for name, (line, want) in lines.items():
         got = run(spark, f'grok {{ match => {{ "message" => "%{{{name}}}" }} }}', line, fields=list(want))[0]
         assert {k: got[k] for k in want} == want, name
@@ -106,7 +119,7 @@ def test_grok_log_lines(spark):
 @pytest.mark.parametrize("unit", ['"', "\\", "/", "a.", "a", "1", "1.", "a:", ":", " ", "[", "a/", "A$.", "%", "-", "a b "])
 def test_long_lines_end_no_executor(spark, unit):
     """Every pattern of the library against a long line of one unit, alone and within quotes."""
-    every = [grok.compile_pattern(f"%{{{name}:x}}", grok.LIBRARY)[0] for name in patterns.BASIC if name not in ("TIMESTAMP_ISO8601",)]
+    every = [grok.compile_pattern(f"%{{{name}:x}}", grok.LIBRARY)[0] for name in [*patterns.BASIC, *services.COLUMNS, *services.SENSOR, *services.MAIL, *services.WORKERS, "NAGIOSLOGLINE"] if name not in ("TIMESTAMP_ISO8601",)]
     texts = [unit * (20_000 // len(unit)), '"' + unit * (20_000 // len(unit)) + '"']
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for k in range(0, len(every), 10):

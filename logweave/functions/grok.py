@@ -74,16 +74,27 @@ class Capture:
     group: int = 0
 
 
-def captures(pattern: str, library: dict[str, str] | None = None, depth: int = 0) -> list[Capture]:
-    """The named captures of a pattern, in order, and with a library those inside the patterns that it refers to."""
-    found: list[tuple[int, Capture]] = []
-    for m in _REFERENCE.finditer(pattern):
-        if m[2]:
-            found.append((m.start(), Capture(m[2], m[0], m[3])))
-        if library is not None and depth < MAX_DEPTH and ":" in library.get(m[1], ""):
-            found += [(m.start(), c) for c in captures(library[m[1]], library, depth + 1)]
-    found += [(m.start(), Capture(m[1], m[0], None)) for m in _NAMED.finditer(pattern)]
-    return [c for _, c in sorted(found, key=lambda x: x[0])]
+def captures(pattern: str, library: dict[str, str] | None = None) -> list[Capture]:
+    """The named captures of a pattern, in order, and with a library those inside the patterns that it refers to, for
+    each pattern once in a text."""
+    known: dict[str, list[Capture]] = {}
+
+    def inside(text: str, above: tuple[str, ...]) -> list[Capture]:
+        found: list[tuple[int, Capture]] = []
+        seen: set[str] = set()
+        for m in _REFERENCE.finditer(text):
+            if m[2]:
+                found.append((m.start(), Capture(m[2], m[0], m[3])))
+            if library is None or m[1] in seen or m[1] in above or len(above) >= MAX_DEPTH:
+                continue
+            seen.add(m[1])
+            if m[1] not in known:
+                known[m[1]] = inside(library.get(m[1], ""), (*above, m[1]))
+            found += [(m.start(), c) for c in known[m[1]]]
+        found += [(m.start(), Capture(m[1], m[0], None)) for m in _NAMED.finditer(text)]
+        return [c for _, c in sorted(found, key=lambda x: x[0])]
+
+    return inside(pattern, ())
 
 
 def compile_pattern(pattern: str, library: dict[str, str]) -> tuple[str, list[Capture]]:

@@ -9,7 +9,7 @@ from logweave.operators import corpus
 from logweave.plans.runtime import run_parser
 from logweave.queries import _event_line, table
 from logweave.sources.events import file_stream
-from logweave.streaming.stateful import drain, elapsed_stream, run_parser_stream
+from logweave.streaming.stateful import drain, elapsed_stream, run_parser_stream, throttle_stream
 
 COUNTRY = "event.idm.read_only_udm.principal.location.country"
 
@@ -85,6 +85,25 @@ def lineage_soundness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observed.join(unknown, "token", "left").select("token", "events", F.col("unknown").isNull().alias("known"))
 
 
+#: A branch below an equality, by what the equality's value decides: a regex, its negation, and a list.
+DECIDED = {"target.ip": '[n] =~ /^NATION_1[0-9]?$/', "target.hostname": '[n] !~ /^NATION_1[0-9]?$/', "target.url": '[n] in ["NATION_3", "NATION_14", "NATION_2"]', "target.port": '[n] == "NATION_5" and [n] =~ /5$/'}
+
+
+def lineage_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields set in branches that contradict the condition above them, or do not."""
+    inner = "".join(f'  if {c} {{ mutate {{ replace => {{ "{f}" => "1" }} }} }}\n' for f, c in DECIDED.items())
+    code = F.concat(F.lit('filter {\n if [n] == "'), F.col("n_name"), F.lit('" {\n' + inner + " }\n}\n"))
+    raw = corpus.stored(corpus.analyze_corpus(table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), code.alias("code"))))
+    return corpus.query_fields(raw, list(DECIDED))[0].select("path", "udm_field", "status")
+
+
+def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    events = file_stream(spark, sf_dir, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = drain(throttle_stream(events, "user_id", "ts", "event_id", 3), "stream-throttle")
+    return out.select(F.col("tie").alias("event_id"), "throttled")
+
+
 def stream_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A compiled parser on a stream of the events."""
     schema = table(spark, sf_dir, "events").schema
@@ -101,7 +120,7 @@ def stream_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _C = f"'{COUNTRY}'"
-QUERIES = {f.__name__: f for f in (lineage_query, lineage_mappings, lineage_list_fields, lineage_compat_counts, lineage_audit_totals, lineage_affected_fields, lineage_anchors, lineage_failure_routes, lineage_regressions, lineage_soundness, stream_route, stream_elapsed)}
+QUERIES = {f.__name__: f for f in (lineage_query, lineage_mappings, lineage_list_fields, lineage_compat_counts, lineage_audit_totals, lineage_affected_fields, lineage_anchors, lineage_failure_routes, lineage_regressions, lineage_soundness, lineage_contradictions, stream_route, stream_elapsed, stream_throttle)}
 SQL = {
     "lineage_query": """SELECT n_name AS path, udm_field, CASE WHEN n_regionkey = 1 AND mappings > 0 THEN 'conditional' ELSE status END AS status, is_conditional OR (n_regionkey = 1 AND mappings > 0) AS is_conditional, has_dynamic, has_unresolved, has_taints, mappings FROM nation, (VALUES
         ('principal.location.country', 'conditional', true, false, false, false, CAST(2 AS BIGINT)), ('principal.ip', 'derived', false, false, false, false, 1), ('target.ip', 'unresolved', false, false, true, false, 0)) AS f(udm_field, status, is_conditional, has_dynamic, has_unresolved, has_taints, mappings)
@@ -118,4 +137,7 @@ SQL = {
     "lineage_soundness": "SELECT token, events, true AS known FROM (SELECT 'a.b' AS token, count(*) FILTER (WHERE event_type = 'click') AS events FROM events UNION ALL SELECT t.token, count(*) FROM events, (VALUES ('n'), ('m'), ('tags')) AS t(token) GROUP BY 1) WHERE events > 0",
     "stream_route": "SELECT event_id, CAST(user_id AS VARCHAR) AS \"user\", CASE WHEN event_type = 'click' THEN 'CLICK' ELSE 'REST' END AS verb FROM events WHERE event_type <> 'view'",
     "stream_elapsed": "SELECT event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS seconds FROM events",
+    "lineage_contradictions": """SELECT n_name AS path, f.udm_field, CASE WHEN f.holds THEN 'conditional' ELSE 'unresolved' END AS status FROM nation, LATERAL (VALUES ('target.ip', regexp_matches(n_name, '^NATION_1[0-9]?$')), ('target.hostname', NOT regexp_matches(n_name, '^NATION_1[0-9]?$')),
+        ('target.url', n_name IN ('NATION_3', 'NATION_14', 'NATION_2')), ('target.port', n_name = 'NATION_5')) AS f(udm_field, holds)""",
+    "stream_throttle": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 3 AS throttled FROM events",
 }

@@ -43,6 +43,12 @@ def _facts(node, holds: bool) -> tuple[tuple[Fact, ...], ...]:
             return (((node.left.name, literal(value), (node.op == "==") == holds),),)
         if node.op in ("=~", "!~") and node.right.kind == "regex" and (held := language(value)) is not None:
             return (((node.left.name, held, (node.op == "=~") == holds),),)
+        if node.op in ("in", "not in") and node.right.kind == "list" and value and all(isinstance(v, Literal) and v.kind == "string" or isinstance(v, str) for v in value):
+            texts = dict.fromkeys(v if isinstance(v, str) else v.value for v in value)
+            found = (node.op == "in") == holds
+            each = [(node.left.name, literal(v), found) for v in texts]
+            out = tuple((x,) for x in each) if found else (tuple(each),)
+            return out if len(out) <= MAX_COMBINATIONS else ((),)
     return ((),)
 
 

@@ -162,6 +162,19 @@ CASES: dict[str, Case] = {
     "grok_firewall": Case(made("events", lambda: F.concat(F.lit("Deny tcp src outside:10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".1/"), (F.col("event_id") % 60000).cast("string"), F.lit(' dst inside:192.168.0.7/443 by access-group "acl" [0x0, 0x0]')), "event_id"), 'filter { grok { match => { "message" => "%{CISCOFW106023}" } } }', ("event_id",), {"action": "action", "protocol": "protocol", "src_ip": "src", "src_port": "port", "dst_ip": "dst", "policy_id": "policy"}, "SELECT event_id, 'Deny' AS action, 'tcp' AS protocol, '10.0.' || user_id % 256 || '.1' AS src, CAST(event_id % 60000 AS VARCHAR) AS port, '192.168.0.7' AS dst, 'acl' AS policy FROM events"),
     "grok_web": Case(made("events", lambda: F.concat(F.lit('10.1.2.3 - bob [10/Oct/2000:13:55:36 -0700] "GET /'), F.col("event_type"), F.lit("?id="), F.col("event_id").cast("string"), F.lit(' HTTP/1.1" 200 '), F.col("user_id").cast("string"), F.lit(' "-" "curl/8"')), "event_id"), 'filter { grok { match => { "message" => "%{HTTPD_COMBINEDLOG}" } } }', ("event_id",), {"clientip": "client", "verb": "verb", "request": "request", "response": "status", "bytes": "bytes", "agent": "agent"}, "SELECT event_id, '10.1.2.3' AS client, 'GET' AS verb, '/' || event_type || '?id=' || event_id AS request, '200' AS status, CAST(user_id AS VARCHAR) AS bytes, '\"curl/8\"' AS agent FROM events"),
     "grok_load_balancer": Case(made("events", lambda: F.concat(F.lit("Feb  6 12:14:14 lb haproxy[14]: 10.0.1.2:33317 [06/Feb/2009:12:14:14.655] http-in static/srv"), F.col("user_id").cast("string"), F.lit(" 10/0/30/69/109 200 "), F.col("event_id").cast("string"), F.lit(' - - ---- 1/1/1/1/0 0/0 "GET /'), F.col("event_type"), F.lit(' HTTP/1.1"')), "event_id"), 'filter { grok { match => { "message" => "%{HAPROXYHTTP}" } } }', ("event_id",), {"server_name": "server", "bytes_read": "bytes", "http_verb": "verb", "http_request": "path"}, "SELECT event_id, 'srv' || user_id AS server, CAST(event_id AS VARCHAR) AS bytes, 'GET' AS verb, '/' || event_type AS path FROM events"),
+    "grok_monitoring": Case(made("events", lambda: F.concat(F.lit("["), (F.col("event_id") + 1_700_000_000).cast("string"), F.lit("] SERVICE ALERT: web"), F.col("user_id").cast("string"), F.lit(";"), F.col("event_type"), F.lit(";CRITICAL;HARD;3;timed out; again")), "event_id"), 'filter { grok { match => { "message" => "%{NAGIOSTIME} %{NAGIOS_SERVICE_ALERT}" } } }', ("event_id",), {"nagios_epoch": "epoch", "nagios_type": "type", "nagios_hostname": "host", "nagios_service": "service", "nagios_state": "state", "nagios_message": "text"}, "SELECT event_id, CAST(event_id + 1700000000 AS VARCHAR) AS epoch, 'SERVICE ALERT' AS type, 'web' || user_id AS host, event_type AS service, 'CRITICAL' AS state, 'timed out; again' AS text FROM events"),
+    "grok_monitoring_lines": Case(made("events", lambda: F.concat(F.lit("[17] "), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("CURRENT HOST STATE: h"), F.col("user_id").cast("string"), F.lit(";UP;HARD;1;ok"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("EXTERNAL COMMAND: ENABLE_SVC_CHECK;h"), F.col("user_id").cast("string"), F.lit(";"), F.col("event_type"))).otherwise(F.lit("nothing known"))), "event_id"), 'filter { grok { match => { "message" => "%{NAGIOSLOGLINE}" } on_error => "bad" } }', ("event_id",), {"nagios_type": "type", "nagios_hostname": "host", "bad": "bad"}, "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'CURRENT HOST STATE' WHEN 1 THEN 'EXTERNAL COMMAND' END AS type, CASE WHEN event_id % 3 < 2 THEN 'h' || user_id END AS host, CASE WHEN event_id % 3 < 2 THEN 'false' ELSE 'true' END AS bad FROM events"),
+    "grok_sensor": Case(made("events", lambda: F.concat_ws("\t", F.lit("1.5"), F.concat(F.lit("C"), F.col("event_id").cast("string")), F.lit("10.0.0.1"), F.lit("4000"), F.lit("10.0.0.2"), F.lit("53"), F.lit("udp"), F.col("event_type"), *[F.lit("-")] * 11, F.concat(F.lit("t"), F.col("user_id").cast("string"))), "event_id"), 'filter { grok { match => { "message" => "%{BRO_CONN}" } } }', ("event_id",), {"uid": "uid", "resp_p": "port", "service": "service", "tunnel_parents": "parents"}, "SELECT event_id, 'C' || event_id AS uid, '53' AS port, event_type AS service, 't' || user_id AS parents FROM events"),
+    "grok_mail": Case(made("events", lambda: F.concat(F.lit("2024-05-01 10:11:12 1s1abc-000dEF-Gh <= "), F.col("event_type"), F.lit("@example.org H=mx.example.org ["), F.lit("10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit("]:25 P=esmtps S="), F.col("event_id").cast("string")), "event_id"), 'filter { grok { match => { "message" => "%{EXIM}" } } }', ("event_id",), {"exim_msgid": "msgid", "exim_sender_email": "sender", "remote_host": "host", "exim_msg_size": "size"}, "SELECT event_id, '1s1abc-000dEF-Gh' AS msgid, event_type || '@example.org' AS sender, '10.0.0.' || user_id % 250 AS host, CAST(event_id AS VARCHAR) AS size FROM events"),
+    "grok_backup": Case(made("events", lambda: F.concat(F.lit("01-May 10:11 backup-dir JobId "), F.col("event_id").cast("string"), F.when(F.col("event_type") == "click", F.concat(F.lit(": Start Backup JobId 1, Job=night."), F.col("user_id").cast("string"))).otherwise(F.lit(': Labeled new Volume "vol-1" on device "tape" (/dev/nst0).'))), "event_id"), 'filter { grok { match => { "message" => "%{BACULA_LOGLINE}" } } }', ("event_id",), {"jobid": "jobid", "job": "job", "volume": "volume", "device": "device"}, "SELECT event_id, CAST(event_id AS VARCHAR) AS jobid, CASE WHEN event_type = 'click' THEN 'night.' || user_id ELSE '' END AS job, CASE WHEN event_type = 'click' THEN '' ELSE 'vol-1' END AS volume, CASE WHEN event_type = 'click' THEN '' ELSE 'tape' END AS device FROM events"),
+    "grok_user_patterns": Case(EVENT_LINES, 'filter { grok { match => { "message" => "%{WHO} %{DID:act} " } } }', ("event_id",), {"who": "who", "act": "act"}, "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN CAST(user_id AS VARCHAR) END AS who, CASE WHEN event_type IN ('click', 'view') THEN 'action=' || event_type END AS act FROM events", runtime=lambda s, d: Runtime(patterns={"WHO": "user=%{INT:who}", "DID": "action=(?:click|view)"})),
+    "front_end_paths": Case(EVENT_LINES, 'filter { kv { } mutate { replace => { "a" => /var/log/app "b" => /spool/x_{y}/ "c" => https://h.example:1/p#part "d" => "\\" } } # end\n if [action] =~ /^cl/ { mutate { replace => { "a" => /opt_{/z/} } } } }', ("event_id",), {"a": "a", "b": "b", "c": "c", "d": "d"}, "SELECT event_id, CASE WHEN event_type LIKE 'cl%' THEN '/opt_{/z/}' ELSE '/var/log/app' END AS a, '/spool/x_{y}/' AS b, 'https://h.example:1/p#part' AS c, '\\' AS d FROM events"),
+    "regex_over_lines": Case(made("events", lambda: F.concat(F.col("event_type"), F.lit("\n  {"), F.col("user_id").cast("string")), "event_id"), 'filter { if [message] =~ /(click|view)\n  \\{1/ { mutate { replace => { "hit" => "y" } } } }', ("event_id",), {"hit": "hit"}, "SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND CAST(user_id AS VARCHAR) LIKE '1%' THEN 'y' END AS hit FROM events"),
+    "dns_lookup": Case(made("supplier", lambda: F.concat(F.lit("addr="), F.col("s_nationkey").cast("string")), "s_suppkey"), 'filter { kv { } dns { resolve => ["addr"] action => "replace" } }', ("s_suppkey",), {"addr": "name"}, "SELECT s_suppkey, n_name AS name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey", runtime=lambda s, d: Runtime(dialect="logstash", lookups={"dns": table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"))})),
+    "useragent_lookup": Case(made("supplier", lambda: F.concat(F.lit("agent="), F.col("s_nationkey").cast("string")), "s_suppkey"), 'filter { kv { } useragent { source => "agent" target => "ua" } }', ("s_suppkey",), {"ua.name": "name"}, "SELECT s_suppkey, n_name AS name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey", runtime=lambda s, d: Runtime(dialect="logstash", lookups={"useragent": table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("value"))})),
+    "uuid_field": Case(EVENT_LINES, 'filter { kv { } if [action] == "click" { uuid { target => "own" } } }', ("event_id",), {"own": "own"}, "SELECT event_id, event_type = 'click' AS made FROM events", then=lambda df: df.select("event_id", F.coalesce(F.col("own").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit(False)).alias("made"))),
+    "drop_percentage": Case(EVENT_LINES, 'filter { kv { } if [action] == "click" { drop { percentage => 100 } } if [action] == "view" { drop { percentage => 0 } } statedump { } }', ("event_id",), {"action": "action"}, "SELECT event_id, event_type AS action FROM events WHERE event_type <> 'click'"),
+    "tags_added_removed": Case(EVENT_LINES, 'filter { kv { } mutate { add_tag => ["a", "b"] } if [action] == "click" { mutate { remove_tag => ["a"] add_tag => ["c"] } } }', ("event_id",), {"tags": "tags"}, "SELECT event_id, CASE WHEN event_type = 'click' THEN 'b,c' ELSE 'a,b' END AS tags FROM events", then=lambda df: df.withColumn("tags", F.array_join(F.array_sort("tags"), ","))),
 }
 
 

@@ -174,3 +174,19 @@ def test_scaling_shapes():
         began = time.time()
         ParserLineage(code).analyze()
         assert time.time() - began < 10
+
+
+def test_captures_below_plain_references():
+    from logweave.functions import grok
+
+    library = {"A": "%{B}%{B}", "B": "%{C}", "C": r"(?<x>\d)%{A}", "LOOP": "%{LOOP}%{LOOP}"} | {f"N{k}": f"%{{N{k + 1}}}%{{N{k + 1}}}" for k in range(31)}
+    assert [c.token for c in grok.captures("%{A:y}", library)] == ["y", "x"]
+    assert grok.captures("%{LOOP}%{N0}", library) == []
+
+
+def test_lists_decide_branches():
+    from logweave.operators.facts import compatible
+
+    among, single = '[n] in ["A", "B"]', '[n] == "C"'
+    assert not compatible((among, single)) and compatible((among, '[n] == "B"')) and compatible((f"NOT({among})", single))
+    assert not compatible((f"NOT({among})", '[n] == "B"')) and not compatible(('[n] not in ["A"]', '[n] == "A"')) and not compatible((among, "[n] =~ /^C/"))

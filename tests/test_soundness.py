@@ -9,7 +9,7 @@ from logweave.queries import CASES
 
 #: Fields whose names only the run time gives.
 NAMED_AT_RUN_TIME = {
-    "geoip_ranges": {"geo.country"}, "syslog_pri": {"pri_severity_code", "pri_facility_code"}, "aggregate_task": {"aggregate.count", "aggregate.n"}, "throttle_row_number": {"throttled"},
+    "geoip_ranges": {"geo.country"}, "useragent_lookup": {"ua.name"}, "syslog_pri": {"pri_severity_code", "pri_facility_code"}, "aggregate_task": {"aggregate.count", "aggregate.n"}, "throttle_row_number": {"throttled"},
     "aggregate_guarded": {"aggregate.count", "aggregate.n", "aggregate.sum"}, "aggregate_map": {"aggregate.count", "aggregate.first", "aggregate.last"}, "throttle_guarded": {"throttled", "tags"},
     "output_anchor_routing": {"_output"}, "translate_regex": {"verb"},  # the analysis reads destination only
 }
@@ -21,7 +21,7 @@ def test_written_columns_are_explained(spark, sf, name):
     events = case.events(spark, sf)
     runtime = case.runtime(spark, sf)
     written = {c for c in run_parser(case.code, events, runtime).columns} - set(events.columns)
-    p = ParserLineage(case.code, dialect=runtime.dialect)
+    p = ParserLineage(case.code, dialect=runtime.dialect, patterns=runtime.patterns)
     state = p.analyze()
     live = {t for t in state.tokens() if any(r.status in LIVE for r in state.get(t))}
     if state.tags.possibly:  # failure tags are possible tags, not assignments

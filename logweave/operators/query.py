@@ -65,7 +65,7 @@ class ParserLineage:
         return [Anchor(name, conditions, unique(places)) for (name, conditions), places in held.items()]
 
     def query(self, field: str, compact: bool = False, sample_limit: int = SAMPLE) -> QueryResult:
-        """What populates a field. A compact result has at most sample_limit (1 to 50) of its rows in to_json, with totals
+        """What populates a field. A compact result has at most sample_limit (0 to 50) of its rows in to_json, with totals
         beside them; its status and flags are those of all rows."""
         if not isinstance(field, str):
             raise TypeError("the field must be a string")
@@ -104,7 +104,7 @@ class ParserLineage:
             diagnostics.append(Diagnostic("no_assignment", "warning", f"no assignment found for {field!r}", None, field))
         return QueryResult(
             field, names, list(rows), [a for a in anchors if a.anchor in reached],
-            [d.message for d in diagnostics if d.kind == "unsupported"], [d.message for d in diagnostics if d.kind == "warning"], diagnostics, max(1, min(int(sample_limit), SAMPLE)) if compact else None,
+            [d.message for d in diagnostics if d.kind == "unsupported"], [d.message for d in diagnostics if d.kind == "warning"], diagnostics, max(0, min(int(sample_limit), SAMPLE)) if compact else None,
         )
 
     def list_udm_fields(self) -> list[str]:

@@ -446,7 +446,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def counted(deal) -> DataFrame:
         dealt = once.select("host", "kind", "blocks").mapInArrow(deal, "bucket int, once binary, more binary")
-        return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "key long, n long")
+        return dealt.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "key long, n long")
 
     repeated = sc.broadcast(bit_table(counted(_deal(buckets)), log_bits).tobytes())
     shared = materialise(counted(_deal(buckets, repeated, log_bits)), "page-stretches")

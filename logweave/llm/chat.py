@@ -3,9 +3,8 @@ r"""Chat formatting by prefix-target expansion [DataFrame functions only].
 A conversation is written once, each turn as ``<s>[ROLE]role[INST]text[/INST]</s>``. Control strings inside
 roles and texts are broken by a backslash after their first character, and backslashes are doubled, so no
 text can end a turn or begin one, and reading back is exact. Every assistant turn explodes into an example of its own: all
-turns before it are context and only its text is trainable. A row holds what its example adds to the context
-of the one before, so the examples of a conversation of many thousand turns stay linear in its text;
-``example_texts`` writes every context out where that is wanted.
+turns before it are its context, written out, and only its text is trainable. Contexts are prefixes of the
+conversation's text, cut from it one at a time by bytes; together they are quadratic in a conversation's turns.
 """
 
 from __future__ import annotations
@@ -52,38 +51,36 @@ def format_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
 
 def explode_examples(conversations: DataFrame, **columns: str) -> DataFrame:
     """One row for each assistant turn: conv_id, example (from 0), context_turns, context_chars, context_bytes (of all
-    turns before it), lead, target.
+    turns before it), context, lead, target.
 
-    lead is what the context has beyond the previous example's context and reply, up to the opening of this turn;
-    target is the escaped text of the reply, on which alone is trained. Turns behind a conversation's last reply
-    (of one without replies, all) form a row without a target and without numbers. An empty table gives no rows.
+    context is the text of all turns before it and the opening of this turn, target the escaped text of the reply, on which
+    alone is trained. lead is the end of context that the previous example's context and reply do not have. Turns behind a
+    conversation's last reply (of one without replies, all) form a row without a target and without numbers, whose
+    context is the whole conversation. An empty table gives no rows.
     """
     turns = format_turns(conversations, **columns)
-    reply = lambda c: F.max(F.when(F.col("trained"), F.col(c)))
-    grouped = turns.groupBy("conv_id", F.col("replies_before").alias("example")).agg(
-        F.array_sort(F.collect_list(F.when(~F.col("trained"), F.struct("place", "piece")))).alias("others"),
-        *[reply(c).alias(c) for c in ("place", "chars_before", "bytes_before", "head", "body")],
-    )
-    return grouped.select(
-        "conv_id", "example", F.col("place").alias("context_turns"), F.col("chars_before").alias("context_chars"), F.col("bytes_before").alias("context_bytes"),
-        F.concat(F.array_join(F.col("others.piece"), ""), F.coalesce("head", F.lit(""))).alias("lead"), F.col("body").alias("target"),
+    held = F.struct("place", "piece", "trained", "chars_before", "bytes_before", F.octet_length("head").alias("head_bytes"), F.octet_length("body").alias("body_bytes"))
+    gathered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(held)).alias("turns"))
+    place = lambda t: F.struct(t["place"].alias("place"), t["chars_before"].alias("chars"), t["bytes_before"].alias("bytes"), (t["bytes_before"] + t["head_bytes"]).alias("open"), t["body_bytes"].alias("size"))
+    whole = gathered.select("conv_id", F.array_join("turns.piece", "").cast("binary").alias("whole"), F.transform(F.filter("turns", lambda t: t["trained"]), place).alias("replies"))
+    # What is behind the last reply pairs with no reply.
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("replies", lambda r: r["open"] + r["size"] + len(CLOSE)))
+    parts = whole.select("conv_id", "whole", F.zip_with(starts, "replies", lambda s, r: F.struct(s.alias("start"), r.alias("reply"))).alias("parts"))
+    # Of a column alone, since only then Spark compiles the explode and holds one copy of the conversation for all its
+    # rows; outer, since otherwise it computes the parts once more to see that there are any.
+    rows = parts.select("conv_id", "whole", F.posexplode_outer("parts").alias("example", "part"))
+    start, reply, size = F.col("part.start"), F.col("part.reply"), F.octet_length("whole")
+    piece = lambda at, n: F.substring("whole", (at + 1).cast("int"), n.cast("int")).cast("string")
+    end = F.coalesce(reply["open"], size)
+    return rows.where(reply.isNotNull() | (start < size)).select(
+        "conv_id", F.col("example").cast("long").alias("example"), reply["place"].alias("context_turns"), reply["chars"].alias("context_chars"), reply["bytes"].alias("context_bytes"),
+        piece(F.lit(0), end).alias("context"), piece(start, end - start).alias("lead"), piece(reply["open"], reply["size"]).alias("target"),
     )
 
 
-def written(example: Column) -> Column:
-    """An example's share of its conversation's text."""
-    return F.concat(example["lead"], F.coalesce(F.concat(example["target"], F.lit(CLOSE)), F.lit("")))
-
-
 def example_texts(examples: DataFrame) -> DataFrame:
-    """The training rows: conv_id, example, context, target; only target is to be trained on.
-
-    This writes every context out, which is quadratic in the turns of a conversation.
-    """
-    before = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, -1)
-    rows = examples.withColumn("__own", written(F.struct("lead", "target")))
-    context = F.concat(F.array_join(F.collect_list("__own").over(before), ""), F.col("lead"))
-    return rows.select("conv_id", "example", context.alias("context"), "target").where("target is not null")
+    """The training rows: conv_id, example, context, target; only target is to be trained on."""
+    return examples.select("conv_id", "example", "context", "target").where("target is not null")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -95,9 +92,15 @@ def read_turns(formatted: Column) -> Column:
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """What reading a conversation's examples back gives: counts and SHA-256 digests. A conversation becomes one row here."""
-    gathered = examples.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "lead", "target"))).alias("examples"))
-    formatted = F.array_join(F.transform("examples", written), "")
+    """What reading a conversation's examples back gives: counts and SHA-256 digests. A conversation becomes one row here.
+
+    Each example's context is read behind what the example before has of it.
+    """
+    own = F.substring(F.col("context").cast("binary"), (F.octet_length("context") - F.octet_length("lead") + 1).cast("int"), F.octet_length("lead")).cast("string")
+    written = F.concat(own, F.coalesce(F.concat("target", F.lit(CLOSE)), F.lit("")))
+    read = examples.select("conv_id", "example", written.alias("written"), "target")
+    gathered = read.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("example", "written", "target"))).alias("examples"))
+    formatted = F.array_join("examples.written", "")
     targets = F.filter(F.transform("examples", lambda e: e["target"]), lambda t: t.isNotNull())
     read = gathered.select("conv_id", formatted.alias("formatted"), F.array_join(F.transform(targets, unescape), "").alias("loss")).withColumn("turns", read_turns(F.col("formatted")))
     turns, loss = F.col("turns"), F.col("loss")

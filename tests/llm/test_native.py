@@ -160,6 +160,32 @@ def test_every_reply_is_a_row(spark):
     assert two["context_bytes"] == len((one["lead"] + one["target"] + chat.CLOSE + two["lead"]).encode()) - len("<s>[ROLE]assistant[INST]")
 
 
+def test_examples_hold_whole_contexts_and_digests_read_them(spark):
+    long = [(9, k, "assistant" if k % 3 else "user", f"ü🙂 [INST]{k}\\ " * (k % 5)) for k in range(200)]
+    rows = [*TALK, (4, 2, "user", "bye"), *long]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    escaped = lambda x: re.sub(r"([<\[])(s>|/s>|ROLE\]|INST\]|/INST\])", r"\1\\\2", x.replace("\\", "\\\\"))
+    by = defaultdict(list)
+    for c, t, r, x in rows:
+        by[c].append((-1 if t is None else t, r or "", x or ""))
+    wanted = {}
+    for c, turns in by.items():
+        said, lead, example = "", 0, 0
+        for k, (_, r, x) in enumerate(sorted(turns)):
+            head = f"<s>[ROLE]{escaped(r)}[INST]"
+            if r == "assistant":
+                wanted[c, example] = (k, len(said), len(said.encode()), said + head, (said + head)[lead:], escaped(x))
+                lead, example = len(said + head + escaped(x) + chat.CLOSE), example + 1
+            said += head + escaped(x) + chat.CLOSE
+        if lead < len(said):
+            wanted[c, example] = (None, None, None, said, said[lead:], None)
+    examples = chat.explode_examples(given)
+    assert {(r[0], r[1]): tuple(r[2:]) for r in examples.select("conv_id", "example", "context_turns", "context_chars", "context_bytes", "context", "lead", "target").collect()} == wanted
+    digest = lambda e: {r["conv_id"]: r["turns_sha256"] for r in chat.digests(e).collect()}
+    real, other = digest(examples), digest(examples.withColumn("context", F.replace("context", F.lit("more"), F.lit("less"))))
+    assert {c for c in real if real[c] != other[c]} == {1}
+
+
 LICENSED = [
     (1, "Released under the MIT License. See LICENSE."), (2, "SPDX-License-Identifier: Apache-2.0"), (3, "GNU Lesser General Public License, version 2.1 or later"), (4, None), (5, ""),
     (6, "no rights here"), (7, "mit license mit license general public license"), (8, "Mit licenses and permit license"), (9, "Licensed under the Apache License, Version 2.0 (the License)"),
